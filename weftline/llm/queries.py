@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sstable_tokens
+from . import bytecnn_langid, gif_media, sstable_tokens
 from .common import table
 
 
+def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_media.media_table(table(spark, sf_dir, "documents"))
+
+
+def op5_bytecnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytecnn_langid.language_table(table(spark, sf_dir, "documents"))
+
+
 def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable_tokens.token_table(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op4_gif": op4_gif,
+    "op5_bytecnn": op5_bytecnn,
     "op10_sstable": op10_sstable,
 }
 
