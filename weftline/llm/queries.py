@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytecnn_langid, gif_media, sstable_tokens
+from . import budget_mix, bytecnn_langid, gif_media, perspectives, sstable_tokens, tree_extract, warc_bundles
 from .common import table
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundles.archive_table(table(spark, sf_dir, "pages"))
+
+
 def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.media_table(table(spark, sf_dir, "documents"))
 
@@ -16,15 +20,34 @@ def op5_bytecnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn_langid.language_table(table(spark, sf_dir, "documents"))
 
 
+def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotation_table(table(spark, sf_dir, "conversations"))
+
+
+def op8_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_extract.text_table(table(spark, sf_dir, "pages"))
+
+
+def op9_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget_mix.mix_table(table(spark, sf_dir, "documents"))
+
+
 def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable_tokens.token_table(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_warc": op3_warc,
     "op4_gif": op4_gif,
     "op5_bytecnn": op5_bytecnn,
+    "op6_perspectives": op6_perspectives,
+    "op8_tree": op8_tree,
+    "op9_budget": op9_budget,
     "op10_sstable": op10_sstable,
 }
 
 #: DuckDB SQL where SQL can express the operator on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": warc_bundles.ORACLE_SQL,
+    "op6_perspectives": perspectives.ORACLE_SQL,
+}

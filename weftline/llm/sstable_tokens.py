@@ -162,7 +162,7 @@ class ShardWriter:
     def __init__(self, path: str, dtype: np.dtype):
         fs, inner = open_fs(path)
         fs.create_dir(os.path.dirname(inner), recursive=True)
-        self.out = fs.open_output_stream(inner)
+        self.out = fs.open_output_stream(inner, compression=None)
         self.dtype, self.offset, self.n_docs, self.n_tokens = dtype, 0, 0, 0
         self.block, self.size, self.first, self.last = [], 0, b"", b""
         self.index: list[tuple[bytes, int, int]] = []
