@@ -56,6 +56,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 0, F.lit(False))
 
 
+def seeded_sample(rows: DataFrame, most: int, seed: int, *key: str) -> DataFrame:
+    """At most `most` rows: those with the smallest seeded hashes of the key columns.
+
+    The hash is first cut at three times the wanted share, so that each task hands on only its part of a
+    bounded number of rows.
+    """
+    h = F.xxhash64(F.lit(seed), *(F.col(k) for k in key))
+    share = 3 * most / max(1, rows.count())
+    if share < 1:
+        rows = rows.where(h < F.lit(int(-(1 << 63) + share * (1 << 64))))
+    return rows.withColumn("__h", h).orderBy("__h", *key).limit(most).drop("__h")
+
+
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15
 WORD_BYTE = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])

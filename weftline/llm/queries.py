@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import budget_mix, bytecnn_langid, gif_media, perspectives, sstable_tokens, tree_extract, warc_bundles
+from . import budget_mix, bytecnn_langid, gif_media, perspectives, sstable_tokens, toxicity, tree_extract, warc_bundles
 from .common import table
 
 
+def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.archive_table(table(spark, sf_dir, "pages"))
 
@@ -37,6 +41,7 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxic_segments": op1_toxic_segments,
     "op3_warc": op3_warc,
     "op4_gif": op4_gif,
     "op5_bytecnn": op5_bytecnn,
