@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import budget_mix, bytecnn_langid, gif_media, perspectives, sstable_tokens, toxicity, tree_extract, warc_bundles
+from . import budget_mix, bytecnn_langid, gif_media, omh_dedup, perspectives, sstable_tokens, toxicity, tree_extract, warc_bundles
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.archive_table(table(spark, sf_dir, "pages"))
 
@@ -42,6 +46,7 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxic_segments": op1_toxic_segments,
+    "op2_order_minhash": op2_order_minhash,
     "op3_warc": op3_warc,
     "op4_gif": op4_gif,
     "op5_bytecnn": op5_bytecnn,
