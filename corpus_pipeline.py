@@ -1,21 +1,55 @@
-"""Corpus pipeline: documents through a chain of stages, each written and read again."""
+"""Corpus pipeline: documents through five stages, each written and read again.
+
+Language identification drops what has no learned language; near-duplicate detection keeps one document of
+each class; decontamination drops documents that hold a benchmark item; mixing repeats or drops documents to
+meet the sources' targets; the last stage writes token shards and returns one row per stored document.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import sstable_tokens
+from weftline.llm import budget_mix, bytecnn_langid, cgk_decontam, omh_dedup, sstable_tokens
 from weftline.llm.common import persisted, table
 
+#: Below this probability of the best language a text counts as being in none of the learned ones.
+MIN_LANGUAGE_SCORE = 0.35
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language learned from the labelled ones outside the held-out fold."""
+    found = bytecnn_langid.identify(docs, bytecnn_langid.fit(docs), lang_col="__lang", score_col="__score")
+    return found.where((F.col("__lang") != bytecnn_langid.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return omh_dedup.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return cgk_decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the sources' word targets take them."""
+    return budget_mix.mix(docs)
+
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes what is kept as token shards; one row per stored document."""
+    """Token shards of what is left; one row per stored document."""
     return sstable_tokens.token_table(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
     ("token shards", token_shards),
 ]
 
@@ -26,5 +60,5 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = persisted(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        docs = persisted(stage(spark, docs, sf_dir), "stage-" + name.lower().replace(" ", "-"))
     return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import budget_mix, bytecnn_langid, gif_media, omh_dedup, perspectives, sstable_tokens, toxicity, tree_extract, warc_bundles
+from . import budget_mix, bytecnn_langid, cgk_decontam, gif_media, omh_dedup, perspectives, sstable_tokens, toxicity, tree_extract, warc_bundles
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotation_table(table(spark, sf_dir, "conversations"))
 
 
+def op7_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cgk_decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_extract.text_table(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op4_gif": op4_gif,
     "op5_bytecnn": op5_bytecnn,
     "op6_perspectives": op6_perspectives,
+    "op7_cgk": op7_cgk,
     "op8_tree": op8_tree,
     "op9_budget": op9_budget,
     "op10_sstable": op10_sstable,
