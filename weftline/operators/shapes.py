@@ -123,7 +123,9 @@ def validate_triples(triples: DataFrame, schema: TableSchema, base: str = BASE)
     spark = triples.sparkSession
     cls = class_iri(schema.name, base)
     targets = triples.where((F.col("p") == RDF_TYPE) & (F.col("o") == cls)).select("s").distinct()
-    rows = [(property_iri(f.name, base), f.name, LEXICAL.get(DATATYPES.get(f.kind, "")), f.length, digit_pattern(f), date_pattern(f), f.required) for f in schema.fields]
+    # A date with a format of its own is held to that alone.
+    lexical = lambda f: None if f.format and f.kind in ("date", "datetime") else LEXICAL.get(DATATYPES.get(f.kind, ""))
+    rows = [(property_iri(f.name, base), f.name, lexical(f), f.length, digit_pattern(f), date_pattern(f), f.required) for f in schema.fields]
     rules = spark.createDataFrame(rows, "p string, path string, lexical string, length int, digits string, dates string, required boolean")
     values = triples.where(F.col("o_kind") == "literal").join(targets, "s", "left_semi").join(F.broadcast(rules), "p")
     bare = F.regexp_replace("o", "T00:00:00$", "")  # dates carry a midnight that the table's text hasn't
