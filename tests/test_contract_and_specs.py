@@ -69,7 +69,7 @@ LINES = [
     ("f", 5, ["Campo", "Tipo", "Longitud", "Obligatorio", "Descripción", "Formato", ""]), ("f", 6, [" ", ""]),
     ("f", 7, ["sexo ", "Alfanumérico", "1", "Sí", "M= Mujer, H= Hombre"]), ("f", 8, ["ok", "Booleano", "", "No", "SI/NO, ver Clientes.id", "a", "b", "c"]),
     ("f", 9, ["estado", "Numérico", "1", "Si", "Valores posibles: [A,  B] Deprecado", ""]), ("f", 10, ["La clave está compuesta por id + tienda"]),
-    ("f", 11, ["cdgArt", " cdgBarras y cdgEdi deben ser UNIQUE"]), ("f", 12, ["2. Otra (t_otra.CSV)"]), ("f", 13, ["x", "y"]), ("f", 14, ["Campos UNIQUE: a y b."]),
+    ("f", 11, ["cdgArt", " cdgBarras y cdgEdi deben ser UNIQUE"]), ("f", 12, ["2. Otra (t_otra.CSV)"]), ("f", 13, ["x", "y"]), ("f", 14, ["Son UNIQUE: a y b."]),
 ]
 
 
@@ -91,7 +91,7 @@ def test_spec_metadata(lines):
     assert got["USUARIOS"].primary_key == ["id", "tienda"] and got["USUARIOS"].operation == "concat" and got["USUARIOS"].expression == "id + tienda"
     assert got["USUARIOS"].unique_fields == ["cdgArt", "cdgBarras y cdgEdi"]
     assert got["OTRA"].unique_fields == ["a", "b"] and got["OTRA"].primary_key is None
-    assert got["OTRA"].notes == ["x,y", "Campos UNIQUE: a y b."]
+    assert got["OTRA"].notes == ["x,y", "Son UNIQUE: a y b."]
 
 
 def test_single_tables_and_documents(spark, lines, tmp_path):
