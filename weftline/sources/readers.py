@@ -79,8 +79,8 @@ def spec_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
     Line numbers order the lines of a file: a file is read as one row, which a specification's size allows.
     """
-    reader = spark.read.option("wholetext", True)
-    texts = (reader.option("pathGlobFilter", glob) if glob else reader).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    texts = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     rows = texts.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("place", "line"))
     # A cell is quoted or runs to the next comma.
     cells = F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(r',(\s*"(?:[^"]|"")*"\s*|[^,]*)'), F.lit(1))
