@@ -53,7 +53,10 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
 
 
 def fill(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each size to take, at most counts, for a total close to and not over budget."""
+    """How many documents of each size to take, at most counts, for a total close to budget.
+
+    The total stays within budget unless one more document brings it closer.
+    """
     total = int((sizes * counts).sum())
     if budget <= 0 or total == 0:
         return np.zeros(len(sizes), np.int64)
@@ -70,7 +73,12 @@ def fill(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_
         taken[i] += k
         left[i] -= k
         rest -= k * int(sizes[i])
-    taken += knapsack(sizes, left, rest)
+    chosen = knapsack(sizes, left, rest)
+    taken += chosen
+    short = rest - int((sizes * chosen).sum())
+    over = np.flatnonzero((counts > taken) & (sizes >= short) & (sizes < 2 * short))
+    if len(over):
+        taken[over[np.argmin(sizes[over])]] += 1
     return taken
 
 
