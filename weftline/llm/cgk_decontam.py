@@ -183,15 +183,22 @@ def verify(pairs: DataFrame, docs: DataFrame, items: DataFrame, least: float = M
     """(doc_id, item_id, distance, similarity, end_word) of the pairs that match."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, words = None, []
+        last, words, there = None, [], set()
         for batch in batches:
-            rows = []
+            rows, patterns = [], {}
             for doc, item, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text != last:
                     last, words = text, hashed_words([text])[0].tolist()
-                pattern = hashed_words([wanted])[0].tolist()
+                    there = set(words)
+                pattern = patterns.get((item, wanted))
+                if pattern is None:
+                    pattern = patterns[item, wanted] = hashed_words([wanted])[0].tolist()
+                most = int((1 - least) * len(pattern) + 1e-9)
+                # Every word of the item that the text lacks is an edit.
+                if sum(w not in there for w in pattern) > most:
+                    continue
                 distance, end = best_match(pattern, words)
-                if distance <= int((1 - least) * len(pattern) + 1e-9):
+                if distance <= most:
                     rows.append((doc, item, distance, 1 - distance / len(pattern), end))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], ["doc_id", "item_id", "distance", "similarity", "end_word"])
