@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, held_out, text_groups
+from .common import fold, held_out, seeded_sample, text_groups
 
 UNKNOWN = "und"
 WIDTHS = (2, 3, 4)
@@ -160,13 +160,9 @@ def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text, key = F.col(text_col), F.col(id_col)
     room = F.greatest(F.length(text) - WINDOW, F.lit(0)) + 1
     cut = F.array(*[text.substr(F.pmod(F.xxhash64(key, F.lit(k)), room).cast("int") + 1, F.lit(WINDOW)) for k in range(per_doc)])
-    rows = (
-        docs.where((fold(key) != 0) & F.col(label_col).isNotNull() & text.rlike(r"\p{L}"))
-        .select(F.xxhash64(key, F.lit(SEED)).alias("h"), key.alias("k"), F.col(label_col).alias("y"), cut.alias("w"))
-        .orderBy("h", "k", "y", "w")
-        .limit(max_docs)
-        .collect()
-    )
+    labelled = docs.where((fold(key) != 0) & F.col(label_col).isNotNull())
+    rows = labelled.where(text.rlike(r"\p{L}")).select(key.alias("k"), F.col(label_col).alias("y"), cut.alias("w"))
+    rows = seeded_sample(rows, max_docs, SEED, "k", "y", "w", total=labelled.count()).collect()
     classes = sorted({r.y for r in rows})
     data = [(w.lower().encode("utf-8", "replace")[:WINDOW], classes.index(r.y)) for r in rows for w in r.w]
     return windows_of([d for d, _ in data])[0], np.array([y for _, y in data], np.int64), classes

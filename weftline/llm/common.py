@@ -56,14 +56,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 0, F.lit(False))
 
 
-def seeded_sample(rows: DataFrame, most: int, seed: int, *key: str) -> DataFrame:
-    """At most `most` rows: those with the smallest seeded hashes of the key columns.
+def seeded_sample(rows: DataFrame, most: int, seed: int, *key: str, total: int | None = None) -> DataFrame:
+    """At most `most` rows: those with the smallest seeded hashes of the first key column, ties by all of them.
 
     The hash is first cut at three times the wanted share, so that each task hands on only its part of a
-    bounded number of rows.
+    bounded number of rows. total: about how many rows there are, if that is known.
     """
-    h = F.xxhash64(F.lit(seed), *(F.col(k) for k in key))
-    share = 3 * most / max(1, rows.count())
+    h = F.xxhash64(F.lit(seed), F.col(key[0]))
+    share = 3 * most / max(1, rows.count() if total is None else total)
     if share < 1:
         rows = rows.where(h < F.lit(int(-(1 << 63) + share * (1 << 64))))
     return rows.withColumn("__h", h).orderBy("__h", *key).limit(most).drop("__h")
