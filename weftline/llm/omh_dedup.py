@@ -12,6 +12,11 @@ differ from each other; those that no links connect so far meet again where a se
 under leaders of their own. Each round's work is one comparison per member. Buckets elect by ORDERS different
 orders at first, then by one per round, so that a text meets several members of a large class.
 
+The rest. Leaders leave pairs uncompared. Whatever bucket then holds members of several classes gives all of
+them to an exact join by rare shingles: similar texts share one of the rarest shingles of each, a fifth of the
+shorter text's and a third of the longer one's at a similarity of 0.8. Common passages are not rare, so that
+members of a family with one template meet only where they share more. Texts of one class never meet.
+
 With 32 sketches of 4, long texts at the threshold (two thirds of all shingles common) have too few equal
 sketches with a chance of 0.008, those with three quarters common 0.0001, with four fifths 0.000001.
 
@@ -247,6 +252,60 @@ def refined(rows: DataFrame, marks: DataFrame) -> DataFrame:
     return deeper.withColumn("bucket", F.xxhash64("used")).dropDuplicates(["bucket", "node"])
 
 
+def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, class) of all members of buckets that hold several classes, by the labels (node, label)."""
+    rows = members.join(labels, "node", "left").select("node", F.col("sketch").alias("bucket"), F.coalesce("label", "node").alias("class"))
+    return in_classes(persisted(rows, "omh-labelled")).select("node", "class").distinct()
+
+
+def labelled_shingles(texts: DataFrame) -> DataFrame:
+    """(node, class, size, shingle) of each text's (node, class, text) shingles, labelled by their occurrence."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for b, e in text_groups(texts):
+                words, at = hashed_words(texts[b:e])
+                found = [shingles(words[at[i] : at[i + 1]]) for i in range(e - b)]
+                sizes = np.array([len(x) for x in found])
+                each = pa.array(np.repeat(np.arange(b, e), sizes))
+                labelled = np.concatenate([mixed(x + occurrences(x).astype(np.uint64) * STEP) if len(x) else x for x in found])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(each), batch.column(1).take(each), pa.array(np.repeat(sizes, sizes), pa.int32()), pa.array(labelled.view(np.int64))], ["node", "class", "size", "shingle"])
+
+    return texts.select("node", "class", "text").mapInArrow(measure, "node long, class long, size int, shingle long")
+
+
+def rare_pairs(texts: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of different classes, of (node, class, text): a superset of the similar ones.
+
+    All shingles have one order, those within one class first, then rare before frequent ones. The first common
+    shingle of two similar texts stands so early in both that enough can follow it. Node pairs are made only
+    where a shingle's classes differ, so that a large class costs one row per member and other class.
+    """
+    rows = persisted(labelled_shingles(texts), "omh-shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"), F.min("class").alias("x"), F.max("class").alias("y")).where(F.col("x") < F.col("y")).select("shingle", "often")
+    shared = rows.join(often, "shingle").groupBy("node", "class", "size").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
+    places = shared.select("node", "class", "size", F.size("shared").alias("count"), F.posexplode("shared").alias("at", "s"))
+    places = places.select("node", "class", "size", F.col("s.shingle").alias("shingle"), (F.col("size") - F.col("count") + F.col("at")).alias("place"))
+    # The least overlap with a longer text and with the shortest one that can be similar.
+    after = F.col("size") - F.col("place") + 1e-9
+    places = places.where(after >= F.col("size") * (least / (2 - least))).withColumn("early", after >= F.col("size") * least)
+    places = persisted(places, "omh-rare")
+    kinds = places.groupBy("shingle", "class").agg(F.max("early").alias("early"))
+    met = kinds.where("early").select("shingle", "class").join(kinds.select("shingle", F.col("class").alias("other")), "shingle").where(F.col("class") != F.col("other"))
+    short = places.where("early").select("shingle", "class", F.col("node").alias("a"), F.col("size").alias("n"), F.col("place").alias("i"))
+    long = places.select("shingle", F.col("class").alias("other"), F.col("node").alias("b"), F.col("size").alias("m"), F.col("place").alias("j"))
+    enough = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) + 1e-9 >= (F.col("n") + F.col("m")) * (least / 2)
+    pairs = short.join(met, ["shingle", "class"]).join(long, ["shingle", "other"]).where((F.col("n") <= F.col("m")) & enough)
+    return pairs.select(*ordered("a", "b")).distinct()
+
+
+def exact_links(rest: DataFrame, texts: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
+    """All similar pairs (a, b) of different classes among the rest (node, class)."""
+    pairs = persisted(rare_pairs(texts.join(rest, "node"), least), "omh-rare-pairs")
+    return verify(pairs, texts).where(F.col("similarity") >= least).select("a", "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's component, for the nodes of the edges (a, b).
 
@@ -277,7 +336,9 @@ def classes(docs: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(involved, "doc_id", "left_semi")
     texts = persisted(texts.groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")), "omh-texts")
     marks = persisted(nodes.join(involved.withColumnRenamed("doc_id", "node"), "node", "left_semi").select("node", "sketches"), "omh-marks")
-    labels = components(links(members, marks, texts, least))
+    found = persisted(links(members, marks, texts, least), "omh-found")
+    rest = persisted(mixed_buckets(members, components(found)), "omh-mixed")
+    labels = components(found.unionByName(exact_links(rest, texts, least)))
     named = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"), "copies")
     return rows.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
