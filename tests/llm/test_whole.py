@@ -33,7 +33,16 @@ def template_family():
     return rows
 
 
-KINDS = [template_family]
+def short_texts():
+    """Texts of 6 to 13 words, each with a copy that has a word or two more at one end."""
+    rng, rows = random.Random(22), []
+    for k in range(160):
+        own, more = words_of(rng, 6 + k % 8), words_of(rng, 1 + k % 3 // 2)
+        rows += [" ".join(own), " ".join([*own, *more] if k % 16 < 8 else [*more, *own])]
+    return rows
+
+
+KINDS = [template_family, short_texts]
 
 
 @pytest.fixture(scope="module")

@@ -16,6 +16,8 @@ The rest. Leaders leave pairs uncompared. Whatever bucket then holds members of
 them to an exact join by rare shingles: similar texts share one of the rarest shingles of each, a fifth of the
 shorter text's and a third of the longer one's at a similarity of 0.8. Common passages are not rare, so that
 members of a family with one template meet only where they share more. Texts of one class never meet.
+All texts of at most SHORT shingles take part, as few shingles make few different sketches: of their pairs
+none is left out.
 
 With 32 sketches of 4, long texts at the threshold (two thirds of all shingles common) have too few equal
 sketches with a chance of 0.008, those with three quarters common 0.0001, with four fifths 0.000001.
@@ -47,6 +49,8 @@ SHINGLE, MIN_SIMILARITY = 5, 0.8
 SKETCHES, PICKED, AGREEING, SEED = 32, 4, 2, 41
 #: Leaders are elected by so many different orders in the first round, and in so many rounds of refined buckets.
 ORDERS, ROUNDS = 8, 4
+#: Texts of at most so many shingles are compared exactly, whatever their sketches.
+SHORT = 30
 BLOCK = 1 << 15
 
 _rng = np.random.default_rng(SEED)
@@ -146,20 +150,21 @@ def aligned(a: list[int], b: list[int], band: int) -> int:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, sketches) of every row; the digest is null for a null text."""
+    """(doc_id, digest, sketches, size in shingles) of every row; the digest is null for a null text."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for b, e in text_groups(texts):
                 words, at = hashed_words(texts[b:e])
-                found = [sketch(shingles(words[at[i] : at[i + 1]])) for i in range(e - b)]
+                runs = [shingles(words[at[i] : at[i + 1]]) for i in range(e - b)]
+                found, sizes = [sketch(x) for x in runs], [len(x) for x in runs]
                 part = batch.slice(b, e - b)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "digest", "sketches"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["doc_id", "digest", "sketches", "size"])
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
-    return rows.mapInArrow(measure, "doc_id long, digest binary, sketches array<long>")
+    return rows.mapInArrow(measure, "doc_id long, digest binary, sketches array<long>, size int")
 
 
 def promising(pairs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -326,18 +331,22 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
     """doc_id, class_id, copies (rows with an equal text) of every row."""
     rows = persisted(sketches(docs), "omh-sketches")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sketches"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sketches", "size"))
     nodes = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(first.alias("f"), F.count("*").alias("copies"))
-    nodes = persisted(nodes.select("digest", F.col("f.doc_id").alias("node"), "copies", F.col("f.sketches").alias("sketches")), "omh-nodes")
+    nodes = persisted(nodes.select("digest", F.col("f.doc_id").alias("node"), "copies", F.col("f.sketches").alias("sketches"), F.col("f.size").alias("size")), "omh-nodes")
     members = nodes.where(F.col("node").isNotNull()).select("node", F.explode("sketches").alias("sketch"))
     shared = members.groupBy("sketch").agg(F.min("node").alias("x"), F.max("node").alias("y")).where(F.col("x") < F.col("y")).select("sketch")
     members = persisted(members.join(shared, "sketch").select("node", "sketch"), "omh-buckets")
-    involved = members.select(F.col("node").alias("doc_id")).distinct()
+    # A single shingle is similar to an equal one only, which has the same sketch.
+    short = nodes.where(F.col("node").isNotNull() & F.col("size").between(2, SHORT)).select("node")
+    involved = members.select("node").union(short).select(F.col("node").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(involved, "doc_id", "left_semi")
     texts = persisted(texts.groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")), "omh-texts")
     marks = persisted(nodes.join(involved.withColumnRenamed("doc_id", "node"), "node", "left_semi").select("node", "sketches"), "omh-marks")
     found = persisted(links(members, marks, texts, least), "omh-found")
-    rest = persisted(mixed_buckets(members, components(found)), "omh-mixed")
+    labels = components(found)
+    rest = mixed_buckets(members, labels).union(short.join(labels, "node", "left").select("node", F.coalesce("label", "node"))).distinct()
+    rest = persisted(rest, "omh-mixed")
     labels = components(found.unionByName(exact_links(rest, texts, least)))
     named = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"), "copies")
     return rows.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
