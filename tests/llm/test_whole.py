@@ -42,7 +42,18 @@ def short_texts():
     return rows
 
 
-KINDS = [template_family, short_texts]
+def one_equal_sketch():
+    """Pairs at the threshold of which only one sketch is equal."""
+    rng, rows = random.Random(23), []
+    while len(rows) < 24:
+        both = words_of(rng, 84)
+        pair = [" ".join([*both, *words_of(rng, 20)]) for _ in range(2)]
+        if len(set.intersection(*(set(omh_dedup.sketch(shingles_of(t))) for t in pair))) == 1:
+            rows += pair
+    return rows
+
+
+KINDS = [template_family, short_texts, one_equal_sketch]
 
 
 @pytest.fixture(scope="module")

@@ -5,7 +5,7 @@ shingle. Shingles are labelled by their occurrence; each of SKETCHES seeded hash
 ones, and their hashes in text order are one sketch. Equal sketches are likely for texts that share their
 shingles in the same order, that is for a large edit similarity.
 
-Candidates. Texts with an equal sketch share a bucket, and only pairs with AGREEING equal sketches are aligned.
+Candidates. Texts with an equal sketch share a bucket; leaders are aligned with members of AGREEING equal sketches.
 No bucket emits its pairs: a leader is elected and every member is compared with it. Members unlike their
 leader are compared with the bucket's best linked member, which finds the centre of a class whose members
 differ from each other; those that no links connect so far meet again where a second sketch is equal too,
@@ -13,14 +13,14 @@ under leaders of their own. Each round's work is one comparison per member. Buck
 orders at first, then by one per round, so that a text meets several members of a large class.
 
 The rest. Leaders leave pairs uncompared. Whatever bucket then holds members of several classes gives all of
-them to an exact join by rare shingles: similar texts share one of the rarest shingles of each, a fifth of the
+them, with a single equal sketch too, to an exact join by rare shingles: similar texts share one of the rarest shingles of each, a fifth of the
 shorter text's and a third of the longer one's at a similarity of 0.8. Common passages are not rare, so that
 members of a family with one template meet only where they share more. Texts of one class never meet.
 All texts of at most SHORT shingles take part, as few shingles make few different sketches: of their pairs
 none is left out.
 
-With 32 sketches of 4, long texts at the threshold (two thirds of all shingles common) have too few equal
-sketches with a chance of 0.008, those with three quarters common 0.0001, with four fifths 0.000001.
+With 32 sketches of 4, long texts at the threshold (two thirds of all shingles common) have no equal sketch
+with a chance of 0.0009, those with three quarters common 0.000005, with four fifths 0.00000005.
 
 Verification. Two texts of n and m shingles whose best alignment has L equal shingles are similar if
 2 L / (n + m) is at least MIN_SIMILARITY. The alignment is restricted to the band that any alignment of that
