@@ -130,6 +130,13 @@ def test_spec_files(spark, tmp_path):
     assert {(1, ("Campo", "Tipo")), (2, ("a", 'x, "y"')), (4, ("b", "z"))} <= got and not any("q" in c for _, c in got)
 
 
+def test_quoted_line_breaks(spark, tmp_path):
+    text = 'Campo,Nota\r\n"a","one\n""two"", three"\r\nb, "x\ny" ,z\n5" pipe,"open\nc,d'
+    (tmp_path / "T_X.csv").write_bytes(text.encode())
+    got = [r.cells for r in readers.spec_lines(spark, str(tmp_path)).orderBy("line_no").collect()]
+    assert got == [["Campo", "Nota"], ["a", 'one\n"two", three'], ["b", "x\ny", "z"], ['5" pipe', '"open'], ["c", "d"]]
+
+
 def test_schema_match(spark):
     files = spark.createDataFrame([("/in/Ventas_sample.csv",), ("/in/x.csv",)], "path string")
     schemas = spark.createDataFrame([("VENTAS.yaml",)], "schema string")

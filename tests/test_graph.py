@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions.iri import BASE, token
-from weftline.operators import entail, quality, shapes, triples
+from weftline.operators import entail, numbering, quality, shapes, triples
 from weftline.plans import pipeline
 from weftline.plans.config import Field, Step, TableSchema
-from weftline.sources import writers
+from weftline.sources import shared, writers
 
 XSD = triples.XSD
 
@@ -34,8 +34,46 @@ def test_subjects(spark):
 def test_row_numbers_are_contiguous(spark):
     values = list(range(997))
     random.Random(1).shuffle(values)
-    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(7)
-    assert {(r.v, r.row_id) for r in triples.with_row_number(df, ["v"]).collect()} == {(v, v + 1) for v in range(997)}
+    df = spark.createDataFrame([(v, f"x{v}") for v in values], "v long, other string").repartition(7)
+    assert {(r.v, r.other, r.row_id) for r in numbering.with_row_number(df, ["v"]).collect()} == {(v, f"x{v}", v + 1) for v in range(997)}
+    tied = numbering.with_row_number(df.withColumn("v", F.lit(1)), ["v"]).collect()
+    assert sorted(r.row_id for r in tied) == list(range(1, 998)) and len({r.other for r in tied}) == 997
+    back = numbering.with_row_number(df, [F.col("v").desc_nulls_last()]).where("row_id <= 2").collect()
+    assert {(r.v, r.row_id) for r in back} == {(996, 1), (995, 2)}
+    assert numbering.with_row_number(df.limit(0), ["v"]).count() == 0
+
+
+def test_totals_and_ranks(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "CHUNK", 64)
+    df = spark.createDataFrame([(i, i % 7, None if i % 3 else i) for i in range(500)], "i long, v long, w long")
+    numbered = numbering.with_row_number(df, ["i"])
+    got = numbering.with_running_total(numbering.with_shift(numbered, F.col("v"), 2, "back"), F.col("w"), "upto").collect()
+    assert {(r.i, r.back, r.upto) for r in got} == {(i, (i - 2) % 7 if i > 1 else None, sum(range(0, i + 1, 3))) for i in range(500)}
+    places = sorted(range(500), key=lambda i: i % 7)
+    mean = {v: sum(k + 1 for k, i in enumerate(places) if i % 7 == v) / sum(i % 7 == v for i in range(500)) for v in range(7)}
+    assert {r["__ranked"]: r.place for r in numbering.ranked_values(df, F.col("v"), "place").collect()} == mean
+
+
+def test_shared_folders():
+    class Session:
+        """Just what new_folder() asks for: no checkpoint folder, and a cluster."""
+
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        shared.new_folder(Session, "x")
+
+
+def test_stored_tables_can_be_deleted(spark):
+    path = shared.new_folder(spark, "test")
+    assert shared.stored(spark.range(3), path).count() == 3
+    shared.delete_folder(spark, path)
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(path).count()
 
 
 def test_tbox(spark):

@@ -116,6 +116,45 @@ def test_reducers_and_order(mixed):
     assert apply_steps(mixed, [formula("c", "a.cumsum()")]).missing == ["c"]
 
 
+def test_powers_are_exact(spark):
+    df = spark.createDataFrame([(3, 37), (-3, 37), (2, 62), (2, 63), (7, 0), (-1, 65), (-1, 66), (0, 5), (1, 9_000_000_000), (5, -1), (None, 0), (2, None)], "a long, n long")
+    want = [3**37, -(3**37), 2**62, None, 1, -1, 1, 0, 1, None, None, None]
+    assert value(df, "a ** n") == want
+    assert value(df, "a ** 37")[:3] == [3**37, -(3**37), 2**37] and value(df, "a ** 0") == [1] * 10 + [None, 1] and value(df, "a ** 64")[:2] == [None, None]
+    assert value(df, "a ** 1")[0] == 3 and value(df, "a ** -1")[0] == pytest.approx(1 / 3)
+
+
+def test_ranks_are_those_of_pandas(spark):
+    pandas = pytest.importorskip("pandas")
+    values = [3.0, 1.0, None, 3.0, float("nan"), 2.0, 3.0, 1.0]
+    df = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(values)], "i long, v double, g long")
+    want = [None if r != r else r for r in pandas.Series(values, dtype=float).rank()]
+    done = apply_steps(df, [Step("i", "i"), formula("r", "v.rank() + 0")])
+    assert [r for _, r in sorted(rows(done.df))] == want
+    within = apply_steps(df, [Step("i", "i"), formula("r", "v.rank()")], partition_by=["g"])
+    frame = pandas.DataFrame({"v": pandas.Series(values, dtype=float), "g": [i % 2 for i in range(8)]})
+    assert [r for _, r in sorted(rows(within.df))] == [None if r != r else r for r in frame.groupby("g").v.rank()]
+
+
+def test_order_of_all_rows_is_that_of_pandas(spark):
+    pandas = pytest.importorskip("pandas")
+    values = [(i * 37) % 101 for i in range(101)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v long").repartition(5)
+    done = apply_steps(df, [Step("i", "i"), formula("b", "v.shift(2)"), formula("f", "v.shift(-1)"), formula("s", "v.cumsum()"), formula("d", "v.diff()")], order_by=["i"])
+    v = pandas.Series(values)
+    want = [[None if x != x else int(x) for x in c] for c in (v.shift(2), v.shift(-1), v.cumsum(), v.diff())]
+    assert [list(c) for c in zip(*(r[1:] for r in sorted(rows(done.df))), strict=True)] == want
+
+
+def test_exact_audit(spark):
+    df = spark.createDataFrame([(None, "p"), (None, "q")], "a string, b string")
+    steps = [Step("b", "a"), Step("b", "b"), Step("o", "a"), Step("o", "b")]
+    done = apply_steps(df, steps, overwrite=False, exact_audit=True)
+    assert [s for _, _, s in done.audit] == ["overwritten", "overwritten", "generated", "generated"] and done.overwritten == ["b", "b"]
+    assert [s for _, _, s in apply_steps(df, steps, overwrite=False).audit] == ["overwritten", "generated", "generated", "generated"]
+    assert rows(done.df) == [("p", "p"), ("q", "q")]
+
+
 def test_sql_prefix(ab):
     assert value(ab, "sql: a * 2") == [2, 4]
     assert apply_steps(ab, [formula("x", "sql: nothing(a)")]).missing == ["x"]

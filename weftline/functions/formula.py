@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import Window
 
 INT, FLOAT, TEXT, BOOL, OTHER = "int", "float", "text", "bool", "other"
 NUMERIC = (INT, FLOAT)
@@ -44,13 +44,17 @@ class Compiled:
     """A formula's column and what must be joined to the table before it can be selected.
 
     reducers: aggregates of the whole table by alias. members: (probe, values, alias) for membership of a
-    column's values in another column's; the alias is true where a value is found.
+    column's values in another column's; the alias is true where a value is found. ranks: (values, alias) of
+    ranks in the whole table. places: (method, values, n, alias) of what the order of all rows gives: the n-th
+    row before (`shift`) or the sum so far (`cumsum`).
     """
 
     column: Column
     kind: str
     reducers: dict[str, Column] = field(default_factory=dict)
     members: list[tuple[Column, Column, str]] = field(default_factory=list)
+    ranks: list[tuple[Column, str]] = field(default_factory=list)
+    places: list[tuple[str, Column, int, str]] = field(default_factory=list)
 
 
 UNARY: dict[str, Callable[[Column], Column]] = {
@@ -89,12 +93,34 @@ def prepared(text: str) -> tuple[str, dict[str, str]]:
     return " ".join(words.get(t.string, t.string) if t.type == tokenize.OP else t.string for t in tokens).strip(), names
 
 
+def whole_power(x: Column, y: Column, literal: int | None) -> Column:
+    """An exact integer power: null beyond 64 bits and for negative exponents.
+
+    A literal exponent is multiplied out by squaring. One from a column takes as many factors as it says, 65 at
+    most: a larger power of anything but 0, 1 and -1 has overflowed by then, and those three only alternate.
+    """
+    one = F.lit(1).cast("bigint")
+    if literal is None:
+        factors = F.sequence(F.lit(1), F.when(y > 64, F.lit(64) + y % 2).otherwise(y).cast("int"))
+        return F.when(y == 0, F.when(x.isNotNull(), one)).when(y > 0, F.aggregate(factors, one, lambda total, _: F.try_multiply(total, x)))
+    found, square = None, x
+    while literal:
+        if literal & 1:
+            found = square if found is None else F.try_multiply(found, square)
+        literal >>= 1
+        if literal:
+            square = F.try_multiply(square, square)
+    return F.when(x.isNotNull(), one) if found is None else found
+
+
 class Translator:
-    def __init__(self, schema: T.StructType, pandas_inf: bool, window: WindowSpec | None, prefix: str):
-        self.schema, self.pandas_inf, self.window, self.prefix = schema, pandas_inf, window, prefix
+    def __init__(self, schema: T.StructType, pandas_inf: bool, order_by: list[str] | None, partition_by: list[str] | None, prefix: str):
+        self.schema, self.pandas_inf, self.order_by, self.partition_by, self.prefix = schema, pandas_inf, order_by, partition_by, prefix
         self.names: dict[str, str] = {}
         self.reducers: dict[str, Column] = {}
         self.members: list[tuple[Column, Column, str]] = []
+        self.ranks: list[tuple[Column, str]] = []
+        self.places: list[tuple[str, Column, int, str]] = []
 
     def value(self, node: ast.AST) -> Value:
         method = getattr(self, f"on_{type(node).__name__.lower()}", None)
@@ -121,7 +147,9 @@ class Translator:
             return Value(~self.truth(x), BOOL)
         if x.kind not in NUMERIC:
             raise FormulaError("a sign needs a number")
-        return x if isinstance(node.op, ast.UAdd) else Value(F.try_subtract(F.lit(0), x.column), x.kind)
+        if isinstance(node.op, ast.UAdd):
+            return x
+        return Value(F.try_subtract(F.lit(0), x.column), x.kind, None if x.literal is None else -x.literal)
 
     def on_binop(self, node: ast.BinOp) -> Value:
         a, b = self.value(node.left), self.value(node.right)
@@ -151,9 +179,9 @@ class Translator:
                 rest = x % F.nullif(y, F.lit(0))
                 return Value(F.when((rest != 0) & ((rest < 0) != (y < 0)), rest + y).otherwise(rest), both)
             case ast.Pow():
-                power = F.pow(x.cast("double"), y.cast("double"))
-                whole = both == INT and (b.literal is None or b.literal >= 0)
-                return Value(power.try_cast("bigint") if whole else power, INT if whole else FLOAT)
+                if both == INT and (b.literal is None or b.literal >= 0):
+                    return Value(whole_power(x, y, b.literal), INT)
+                return Value(F.pow(x.cast("double"), y.cast("double")), FLOAT)
         raise FormulaError(f"operator not supported: {type(node.op).__name__}")
 
     def quotient(self, x: Column, y: Column) -> Column:
@@ -309,35 +337,51 @@ class Translator:
         raise FormulaError(f"method not supported: {name}")
 
     def ordered(self, x: Value, name: str, args: list) -> Value:
-        if self.window is None:
+        if name == "rank":
+            return Value(self.rank(x), FLOAT)
+        if not self.order_by:
             raise FormulaError(f"{name} depends on the rows' order: name order_by")
-        w, c = self.window, x.column
-        n = args[0] if args else 1
-        if name == "shift":
-            return Value(F.lag(c, n).over(w), x.kind)
-        if x.kind not in NUMERIC:
+        c, n = x.column, args[0] if args else 1
+        if name != "shift" and x.kind not in NUMERIC:
             raise FormulaError(f"{name} needs numbers")
-        if name == "diff":
-            return Value(F.try_subtract(c, F.lag(c, n).over(w)), x.kind)
         if name == "cumsum":
-            return Value(F.when(c.isNotNull(), F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))), x.kind)
-        raise FormulaError("rank is of values, not of the rows' order: use sql: with a window")
+            return Value(F.when(c.isNotNull(), self.placed("cumsum", c, 0)), x.kind)
+        earlier = self.placed("shift", c, n)
+        return Value(earlier if name == "shift" else F.try_subtract(c, earlier), x.kind)
+
+    def rank(self, x: Value) -> Column:
+        """The mean place among equal values, of the values in ascending order; null for null and NaN."""
+        clean = F.when(~F.isnan(x.column), x.column) if x.kind == FLOAT else x.column
+        if not self.partition_by:
+            alias = f"{self.prefix}ranked_{len(self.ranks)}"
+            self.ranks.append((clean, alias))
+            return F.col(alias)
+        least = F.rank().over(Window.partitionBy(*self.partition_by).orderBy(clean.asc_nulls_last()))
+        equal = F.count("*").over(Window.partitionBy(*self.partition_by, clean))
+        return F.when(clean.isNotNull(), least + (equal - 1) / 2)
+
+    def placed(self, method: str, c: Column, n: int) -> Column:
+        if not self.partition_by:
+            alias = f"{self.prefix}placed_{len(self.places)}"
+            self.places.append((method, c, n, alias))
+            return F.col(alias)
+        w = Window.partitionBy(*self.partition_by).orderBy(*self.order_by)
+        return F.lag(c, n).over(w) if method == "shift" else F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def compile_formula(text: str, schema: T.StructType, *, pandas_inf: bool = False, order_by: list[str] | None = None, partition_by: list[str] | None = None, prefix: str = "__") -> Compiled:
     """Translates a formula for a table of this schema.
 
-    Methods that depend on the rows' order need order_by; without partition_by they sort the whole table in
-    one task, as the order demands.
+    Methods that depend on the rows' order need order_by; without partition_by the whole table is numbered in
+    that order, and ranks are those of the whole table.
     """
     if text.lstrip().startswith("sql:"):
         return Compiled(F.expr(text.lstrip()[4:]), OTHER)
-    window = Window.partitionBy(*(partition_by or [])).orderBy(*order_by) if order_by else None
-    translator = Translator(schema, pandas_inf, window, prefix)
+    translator = Translator(schema, pandas_inf, order_by, partition_by, prefix)
     source, translator.names = prepared(text)
     try:
         tree = ast.parse(source, mode="eval")
     except SyntaxError as e:
         raise FormulaError(str(e)) from e
     found = translator.value(tree.body)
-    return Compiled(found.column, found.kind, translator.reducers, translator.members)
+    return Compiled(found.column, found.kind, translator.reducers, translator.members, translator.ranks, translator.places)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.config import Contract, TableSchema
-from .steps import name_of
+from .numbering import name_of
 
 #: Directives of strptime and letters of spelled-out formats, as Spark's pattern letters.
 DIRECTIVES = {"%d": "dd", "%m": "MM", "%Y": "yyyy", "%y": "yy", "%H": "HH", "%M": "mm", "%S": "ss", "%f": "SSSSSS", "%b": "MMM", "%B": "MMMM", "%p": "a", "%I": "hh", "%j": "DDD"}
@@ -49,7 +49,7 @@ def cross_unique(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """The child rows whose reference has no parent; null references don't count."""
-    keys = parent.select(name_of(parent_column).alias("__key")).where(F.col("__key").isNotNull()).distinct()
+    keys = parent.select(name_of(parent_column).alias("__key")).where(F.col("__key").isNotNull())
     return child.where(name_of(column).isNotNull()).join(keys, name_of(column) == F.col("__key"), "left_anti")
 
 

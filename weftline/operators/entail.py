@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shapes import LEXICAL
@@ -11,15 +11,23 @@ from .triples import RDF_TYPE, RDFS, XSD
 #: Datatypes by value space: integer lies in decimal, the others share no value.
 SPACES = {XSD + "integer": "decimal", XSD + "decimal": "decimal", XSD + "float": "float", XSD + "boolean": "boolean", XSD + "dateTime": "dateTime", XSD + "string": "string"}
 
+MAX_CLOSURE = 100_000
+
 
 def closure(pairs: DataFrame) -> DataFrame:
-    """The transitive closure of (low, high): rounds of self-joins, twice the length each; schema-sized."""
+    """The transitive closure of (low, high): rounds of self-joins, twice the length each; schema-sized.
+
+    ValueError beyond MAX_CLOSURE pairs, which no schema graph should have.
+    """
     found = pairs.select("low", "high").distinct()
     n = found.count()
     while True:
         further = found.join(found.select(F.col("low").alias("high"), F.col("high").alias("top")), "high").select("low", F.col("top").alias("high"))
         # A few rows of configuration: cut the growing plan by fixing them in the session.
-        found = found.sparkSession.createDataFrame(found.unionByName(further).distinct().collect(), found.schema)
+        rows = found.unionByName(further).distinct().limit(MAX_CLOSURE + 1).collect()
+        if len(rows) > MAX_CLOSURE:
+            raise ValueError("the hierarchy is too large for a schema graph")
+        found = found.sparkSession.createDataFrame(rows, found.schema)
         if (grown := found.count()) == n:
             return found
         n = grown
@@ -58,22 +66,35 @@ def property_ranges(tbox: DataFrame) -> DataFrame:
     return tbox.where((F.col("p") == RDFS + "range") & F.col("o").startswith(XSD)).groupBy(F.col("s").alias("p")).agg(F.array_sort(F.collect_set("o")).alias("ranges"))
 
 
+def space_of(datatype: Column) -> Column:
+    """The value space of a datatype; others than those known are their own."""
+    found = None
+    for name, space in SPACES.items():
+        found = F.when(datatype == name, space) if found is None else found.when(datatype == name, space)
+    return found.otherwise(datatype)
+
+
+def malformed(text: Column, datatype: Column) -> Column:
+    """Whether the text is no value of its datatype; each pattern is a literal, compiled once."""
+    found = None
+    for name, pattern in LEXICAL.items():
+        wrong = ~text.rlike(pattern)
+        found = F.when(datatype == name, wrong) if found is None else found.when(datatype == name, wrong)
+    return found.otherwise(F.lit(False))
+
+
 def inconsistencies(triples: DataFrame, tbox: DataFrame) -> DataFrame:
     """(s, p, o, datatype, reason): literals that don't lie in every range of their property.
 
     reason is `disjoint` if the ranges share no value, `datatype` if the literal's own type has another
     value space, `lexical` if its text is no value of its type.
     """
-    space = F.create_map(*(F.lit(x) for pair in SPACES.items() for x in pair))
-    form = F.create_map(*(F.lit(x) for pair in LEXICAL.items() for x in pair))
-    own = F.coalesce("datatype", F.lit(XSD + "string"))
-    ranges = property_ranges(tbox).withColumn("spaces", F.array_distinct(F.transform("ranges", lambda r: F.coalesce(F.try_element_at(space, r), r))))
+    spaces = F.array_distinct(F.transform("ranges", space_of))
+    ranges = property_ranges(tbox).select("p", F.element_at(spaces, 1).alias("space"), (F.size(spaces) > 1).alias("apart"), F.array_contains("ranges", XSD + "integer").alias("whole"))
     literals = triples.where(F.col("o_kind") == "literal").join(F.broadcast(ranges), "p", "left")
-    declared = F.col("spaces").isNotNull()
-    within = F.exists("spaces", lambda x: x == F.coalesce(F.try_element_at(space, own), own))
-    narrow = F.array_contains("ranges", XSD + "integer") & (own == XSD + "decimal")
-    malformed = F.try_element_at(form, own).isNotNull() & ~F.regexp_like("o", F.try_element_at(form, own))
-    reason = F.when(declared & (F.size("spaces") > 1), "disjoint").when(declared & (~within | narrow), "datatype").when(malformed, "lexical")
+    own = F.coalesce("datatype", F.lit(XSD + "string"))
+    other = (F.col("space") != space_of(own)) | F.col("whole") & (own == XSD + "decimal")
+    reason = F.when(F.col("apart"), "disjoint").when(F.col("space").isNotNull() & other, "datatype").when(malformed(F.col("o"), own), "lexical")
     return literals.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("s", "p", "o", "datatype", "reason")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.config import TableSchema
-from .steps import name_of
+from .numbering import name_of
 
 
 def is_empty(c: Column) -> Column:
@@ -39,9 +39,16 @@ def violation_summary(violations: DataFrame) -> DataFrame:
     return violations.groupBy("path", "constraint").agg(F.count("*").alias("n"))
 
 
-def triple_statistics(triples: DataFrame) -> DataFrame:
-    """(p, n_triples, n_subjects) over the set of triples."""
-    return triples.select("s", "p", "o", "o_kind", "datatype").distinct().groupBy("p").agg(F.count("*").alias("n_triples"), F.count_distinct("s").alias("n_subjects"))
+def triple_statistics(triples: DataFrame, is_set: bool = False) -> DataFrame:
+    """(p, n_triples, n_subjects) over the set of triples; is_set where they are one already.
+
+    Triples are dealt by subject and property once, so that both counts of a pair are made where it lies.
+    """
+    rows = triples.select("s", "p", "o", "o_kind", "datatype")
+    if not is_set:
+        rows = rows.repartition("s", "p").distinct()
+    pairs = rows.groupBy("s", "p").agg(F.count("*").alias("n"))
+    return pairs.groupBy("p").agg(F.sum("n").alias("n_triples"), F.count("*").alias("n_subjects"))
 
 
 def sample_n(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from ..functions.iri import BASE
 from ..plans.config import Field, TableSchema
+from .contract import parsed_date
 from .quality import violation_summary
-from .steps import name_of
+from .numbering import name_of
 from .triples import RDF_TYPE, XSD, class_iri, property_iri
 
 #: Lexical forms of the datatypes.
@@ -53,6 +54,15 @@ def date_pattern(field: Field) -> str | None:
     return DATE_PATTERNS.get(field.format or "") if field.kind == "date" else None
 
 
+def wrong_date(text: Column, field: Field) -> Column:
+    """Whether a text is no date or time of the field's format; what a date pattern excludes is left to it."""
+    if not field.format:
+        return text.try_cast("timestamp").isNull()
+    parsed = parsed_date(text, [field.format]).isNull()
+    pattern = date_pattern(field)
+    return text.rlike(pattern) & parsed if pattern else parsed
+
+
 def wrong_type(c: Column, field: Field, actual: T.DataType) -> Column:
     """Whether a value that is there doesn't have the field's type."""
     if field.kind not in DATATYPES or isinstance(field.spark_type, type(actual)):
@@ -61,7 +71,7 @@ def wrong_type(c: Column, field: Field, actual: T.DataType) -> Column:
     if field.kind in ("date", "datetime"):
         if isinstance(actual, T.DateType | T.TimestampType | T.TimestampNTZType):
             return F.lit(False)
-        return c.isNotNull() & text.try_cast("timestamp").isNull() if not field.format else F.lit(False)
+        return c.isNotNull() & wrong_date(text, field)
     return c.isNotNull() & ~text.rlike(LEXICAL[DATATYPES[field.kind]])
 
 
@@ -114,32 +124,60 @@ def validate(df: DataFrame, schema: TableSchema, *, subject: Column | None = Non
     return ValidationResult(found, violation_summary(found))
 
 
+#: Datatypes that a literal of each kind may have; a plain literal is a string.
+OWN_TYPES = {"integer": ["integer"], "float": ["float"], "boolean": ["boolean"], "date": ["dateTime"], "datetime": ["dateTime", "string"], "decimal": ["decimal", "string"]}
+
+
+def broken_literal(field: Field) -> Column:
+    """The constraints that the literal in column o breaks, an array with nulls."""
+    o, own = F.col("o"), F.coalesce("datatype", F.lit(XSD + "string"))
+    bare = F.regexp_replace("o", "T00:00:00$", "")  # dates carry a midnight that the table's text hasn't
+    wrong = ~own.isin([XSD + t for t in OWN_TYPES.get(field.kind, ["string"])])
+    if field.kind in ("date", "datetime") and field.format:
+        wrong = wrong | wrong_date(bare, field)
+    elif field.kind in DATATYPES:
+        wrong = wrong | ~o.rlike(LEXICAL[DATATYPES[field.kind]])
+    tests = [("datatype", wrong)]
+    if field.length:
+        tests.append(("maxLength", F.length(o) > field.length))
+    if digits := digit_pattern(field):
+        tests.append(("pattern", ~o.rlike(digits)))
+    if dates := date_pattern(field):
+        tests.append(("pattern", ~bare.rlike(dates)))
+    if field.enum is not None:
+        tests.append(("enum", ~o.isin(field.enum)))
+    return F.array(*(F.when(t, n) for n, t in tests))
+
+
 def validate_triples(triples: DataFrame, schema: TableSchema, base: str = BASE) -> DataFrame:
-    """The same constraints on triples: the instances of the schema's class.
+    """(subject, path, constraint, value): the same constraints on triples, for instances of the schema's class.
 
-    The constraints table is as small as the schema and is broadcast; missing values are found by an anti
-    join of the instances' required paths.
+    Only the class's properties are read. One grouping by subject tells whether it is an instance, which
+    required properties it has and which of its literals broke something; those were found row by row.
     """
-    spark = triples.sparkSession
     cls = class_iri(schema.name, base)
-    targets = triples.where((F.col("p") == RDF_TYPE) & (F.col("o") == cls)).select("s").distinct()
-    # A date with a format of its own is held to that alone.
-    lexical = lambda f: None if f.format and f.kind in ("date", "datetime") else LEXICAL.get(DATATYPES.get(f.kind, ""))
-    rows = [(property_iri(f.name, base), f.name, lexical(f), f.length, digit_pattern(f), date_pattern(f), f.required) for f in schema.fields]
-    rules = spark.createDataFrame(rows, "p string, path string, lexical string, length int, digits string, dates string, required boolean")
-    values = triples.where(F.col("o_kind") == "literal").join(targets, "s", "left_semi").join(F.broadcast(rules), "p")
-    bare = F.regexp_replace("o", "T00:00:00$", "")  # dates carry a midnight that the table's text hasn't
-    tests = [
-        ("datatype", F.col("lexical").isNotNull() & ~F.regexp_like("o", F.col("lexical"))),
-        ("maxLength", F.col("length").isNotNull() & (F.length("o") > F.col("length"))),
-        ("pattern", F.col("digits").isNotNull() & ~F.regexp_like("o", F.col("digits"))),
-        ("pattern", F.col("dates").isNotNull() & ~F.regexp_like(bare, F.col("dates"))),
-    ]
-    broken = values.select(F.col("s").alias("subject"), "path", F.col("o").alias("value"), F.explode(F.array_compact(F.array(*(F.when(t, n) for n, t in tests)))).alias("constraint"))
-    required = rules.where("required").select("p", "path")
-    wanted = targets.crossJoin(F.broadcast(required))  # one row per instance and required field of the schema
-    missing = wanted.join(triples.select("s", "p"), ["s", "p"], "left_anti").select(F.col("s").alias("subject"), "path", F.lit(None).cast("string").alias("value"), F.lit("minCount").alias("constraint"))
-    return broken.unionByName(missing).select("subject", "path", "constraint", "value")
+    paths = {property_iri(f.name, base): f for f in schema.fields}
+    found = None
+    for p, f in paths.items():
+        one = F.col("p") == p
+        found = F.when(one, broken_literal(f)) if found is None else found.when(one, broken_literal(f))
+    is_type = (F.col("p") == RDF_TYPE) & (F.col("o") == cls)
+    rows = triples.where(is_type | F.col("p").isin(list(paths)))
+    if found is None:
+        found = F.lit(None).cast("array<string>")
+    literal = (F.col("o_kind") == "literal") & F.col("o").isNotNull()
+    names = F.array_compact(F.when(literal, found))
+    name = F.lit("")
+    for p, f in paths.items():
+        name = F.when(F.col("p") == p, f.name).otherwise(name)
+    detail = F.when(F.size(names) > 0, F.struct(name.alias("path"), F.col("o").alias("value"), names.alias("names")))
+    required = [(p, f) for p, f in paths.items() if f.required]
+    flags = [F.max(F.col("p") == p).alias(f"has_{i}") for i, (p, _) in enumerate(required)]
+    by = rows.groupBy("s").agg(F.max(is_type).alias("target"), F.collect_list(detail).alias("broken"), *flags).where("target")
+    absent = [F.when(~F.col(f"has_{i}"), F.struct(F.lit(f.name).alias("path"), F.lit(None).cast("string").alias("value"), F.array(F.lit("minCount")).alias("names"))) for i, (_, f) in enumerate(required)]
+    every = F.concat("broken", F.array_compact(F.array(*absent))) if absent else F.col("broken")
+    each = by.select(F.col("s").alias("subject"), F.inline(every))
+    return each.select("subject", "path", F.explode("names").alias("constraint"), "value")
 
 
 def shapes_text(schema: TableSchema, base: str = BASE) -> str:

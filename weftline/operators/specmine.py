@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed values of specifications: the form of a title, type names and their kinds, and words that mark a line as a
+# note even if it looks like a field.
 TITLE = r"(?i)^\d+\.\s+.*\(T_(.*)\.csv\)"
-#: Type names of specifications and their kinds.
 KINDS = {"Alfanumérico": "string", "Numérico": "integer", "Decimal": "float", "Fecha": "date", "Date": "date", "Booleano": "boolean"}
-#: Words that mark a line as a note even if it looks like a field.
 NOTE_WORDS = ["clave", "unique", "deprecado", "restricción", "formato", "nota", "observación"]
 
 

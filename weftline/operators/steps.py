@@ -5,6 +5,9 @@ A mapping step copies an input column; a formula step evaluates an expression ov
 overwrite=False a later mapping only fills nulls. Steps that can't be done give null and are reported as
 missing; a missing input wipes the output in either mode. The result has the steps' outputs in the order of
 their first mention, and as many rows as the input.
+
+A mapping that only fills is reported as generated. With exact_audit a column that held nothing but nulls
+until then counts as replaced: one more scan finds out, and an output named like an input is overwritten.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.formula import Compiled, FormulaError, compile_formula
 from ..plans.config import Step, as_steps
+from .numbering import name_of, ranked_values, with_row_number, with_running_total, with_shift
 
 MAPPINGS, FORMULAS = ("mapping", "map"), ("calculo", "formula")
 
@@ -36,37 +40,57 @@ class StepResult:
         return self.df.sparkSession.createDataFrame(self.audit, "step_no long, column string, status string")
 
 
-def name_of(column: str) -> Column:
-    return F.col("`" + column.replace("`", "``") + "`")
-
-
 def no_nan(df: DataFrame, column: str) -> Column:
     """The column with NaN as null."""
     c = name_of(column)
     return F.when(~F.isnan(c), c) if isinstance(df.schema[column].dataType, T.FloatType | T.DoubleType) else c
 
 
-def with_inputs(df: DataFrame, parts: Iterable[Compiled]) -> DataFrame:
+def with_inputs(df: DataFrame, parts: Iterable[Compiled], order_by: list[str] | None = None) -> DataFrame:
     """The table with what the formulas need besides its own columns.
 
     Whole-table aggregates come from one scan and are joined as a single row; membership looks values up in
-    the distinct values of the other column.
+    the distinct values of the other column, and a rank in the ranked values. Places need the rows numbered.
     """
-    joined = df
+    joined, parts = df, list(parts)
     for part in parts:
         for probe, values, alias in part.members:
             found = df.select(values.alias(f"{alias}_value")).where(F.col(f"{alias}_value").isNotNull()).distinct().withColumn(alias, F.lit(True))
             joined = joined.join(found, probe == F.col(f"{alias}_value"), "left").drop(f"{alias}_value")
+        for values, alias in part.ranks:
+            ranked = ranked_values(df, values, alias).withColumnRenamed("__ranked", f"{alias}_value")
+            joined = joined.join(ranked, values == F.col(f"{alias}_value"), "left").drop(f"{alias}_value")
     reducers = {alias: c for part in parts for alias, c in part.reducers.items()}
     if reducers:
         joined = joined.crossJoin(F.broadcast(df.agg(*(c.alias(a) for a, c in reducers.items()))))  # one row
+    places = [p for part in parts for p in part.places]
+    if places:
+        joined = with_row_number(joined, order_by, "__row")
+        for method, values, n, alias in places:
+            joined = with_shift(joined, values, n, alias, "__row") if method == "shift" else with_running_total(joined, values, alias, "__row")
     return joined
 
 
-def apply_steps(df: DataFrame, steps: Iterable[Step | dict], *, overwrite: bool = True, pandas_inf: bool = False, order_by: list[str] | None = None, partition_by: list[str] | None = None) -> StepResult:
-    """Runs the steps over df; nothing is computed before the result is used."""
+def checked(df: DataFrame, part: Compiled) -> None:
+    """Raises AnalysisException where the formula doesn't fit the table; reads nothing."""
+    known = {alias: c for alias, c in part.reducers.items()}
+    known |= {alias: F.lit(True) for _, _, alias in part.members} | {alias: F.lit(0.0) for _, alias in part.ranks}
+    known |= {alias: values for _, values, _, alias in part.places}
+    reduced = df.agg(*(c.alias(a) for a, c in part.reducers.items())).schema if part.reducers else None
+    columns = {a: F.lit(None).cast(reduced[a].dataType) if reduced is not None and a in part.reducers else c for a, c in known.items()}
+    df.select(*(probe for probe, _, _ in part.members), *(values for _, values, _ in part.members)).schema  # noqa: B018
+    df.withColumns(columns).select(part.column.alias("x")).schema  # noqa: B018
+
+
+def apply_steps(df: DataFrame, steps: Iterable[Step | dict], *, overwrite: bool = True, pandas_inf: bool = False, order_by: list[str] | None = None, partition_by: list[str] | None = None, exact_audit: bool = False) -> StepResult:
+    """Runs the steps over df.
+
+    Nothing is computed before the result is used, but for an exact audit, and for ranks and formulas in the
+    order of all rows, which number the rows first.
+    """
     names, columns, needs, result = set(df.columns), {}, [], StepResult(df)
     null = F.lit(None).cast("string")
+    fills: list[tuple[int, str, Column]] = []
 
     def note(number: int, output: str, status: str) -> None:
         getattr(result, status).append(output)
@@ -79,12 +103,14 @@ def apply_steps(df: DataFrame, steps: Iterable[Step | dict], *, overwrite: bool
                 columns[out] = name_of(step.input)
                 note(number, out, "overwritten" if out in names else "generated")
             else:
+                if out in names:
+                    fills.append((len(result.audit), out, columns[out]))
                 columns[out] = F.coalesce(columns[out], no_nan(df, step.input))
                 note(number, out, "generated")
         elif kind in FORMULAS and step.formula:
             try:
                 part = compile_formula(step.formula, df.schema, pandas_inf=pandas_inf, order_by=order_by, partition_by=partition_by, prefix=f"__{number}_")
-                with_inputs(df, [part]).select(part.column.alias("x")).schema  # noqa: B018  analyses the expression
+                checked(df, part)
             except (FormulaError, AnalysisException):
                 columns[out] = null
                 note(number, out, "missing")
@@ -95,5 +121,13 @@ def apply_steps(df: DataFrame, steps: Iterable[Step | dict], *, overwrite: bool
         else:
             columns[out] = null
             note(number, out, "missing")
-    result.df = with_inputs(df, needs).select(*(c.alias(out) for out, c in columns.items()))
+    joined = with_inputs(df, needs, order_by)
+    if exact_audit and fills:
+        held = joined.agg(*(F.count(c).alias(f"c{i}") for i, (_, _, c) in enumerate(fills))).first()
+        for (at, out, _), n in zip(fills, held, strict=True):
+            if not n:
+                result.audit[at] = (result.audit[at][0], out, "overwritten")
+                result.generated.remove(out)
+                result.overwritten.append(out)
+    result.df = joined.select(*(c.alias(out) for out, c in columns.items()))
     return result

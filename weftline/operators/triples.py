@@ -11,11 +11,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions.iri import BASE, iri, python_token, token
 from ..plans.config import Field, TableSchema
-from .steps import name_of
+from .numbering import name_of
 
 # The vocabularies' IRIs.
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -57,21 +56,6 @@ def tbox(fields: DataFrame, base: str = BASE, first_token: bool = False) -> Data
     return rows.select("s", "p", "o", F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("datatype")).distinct()
 
 
-def with_row_number(df: DataFrame, order_by: list[str], column: str = "row_id") -> DataFrame:
-    """Contiguous numbers from 1 in the order given.
-
-    Rows are range-partitioned by the order; each partition numbers its own rows and adds the rows of the
-    partitions before it, so no task sees all rows. Ties are numbered in any order.
-    """
-    keys = [name_of(c) for c in order_by]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id())
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("__part").agg(F.count("*").alias("__rows")).withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0))).select("__part", "__before")
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
-    return ranged.join(F.broadcast(offsets), "__part").withColumn(column, (F.col("__before") + place).cast("long")).select(*df.columns, column)  # one row per partition
-
-
 def subject(df: DataFrame, schema: TableSchema, base: str = BASE, *, row_id: str | None = None, first_token: bool = False, null_key: str | None = None) -> Column:
     """The subject's IRI: table and key values; the row number where there is no key or it is blank.
 
@@ -144,8 +128,16 @@ def untyped(df: DataFrame, schemas: Iterable[TableSchema], class_name: str, row_
 
 
 def graph_union(*graphs: DataFrame, disjoint: bool = False) -> DataFrame:
-    """The set union; disjoint skips the shuffle where the parts are sets that share no triple."""
+    """The set union; disjoint skips the shuffle where the parts are sets that share no triple.
+
+    The rows are dealt by subject and property, which serves what groups by these afterwards too.
+    """
     found, *rest = graphs
     for g in rest:
         found = found.unionByName(g)
-    return found if disjoint else found.distinct()
+    return found if disjoint else found.repartition("s", "p").distinct()
+
+
+def subjects_are_unique(df: DataFrame, subject: Column) -> bool:
+    """Whether each subject is of one row, so that abox() gives a set as it is; one narrow aggregation."""
+    return df.groupBy(subject.alias("s")).agg(F.count("*").alias("n")).where(F.col("s").isNotNull() & (F.col("n") > 1)).isEmpty()

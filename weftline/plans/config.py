@@ -17,9 +17,9 @@ from typing import Any
 
 from pyspark.sql import types as T
 
+# Fixed values of schema files: truth words, and the accepted spellings of each attribute and type.
 TRUE_WORDS = frozenset(["sí", "si", "yes", "true", "1"])
 FALSE_WORDS = frozenset(["no", "false", "0"])
-#: Accepted spellings of each attribute.
 SPELLINGS = {
     "name": ("name", "campo", "nombre"),
     "kind": ("type", "tipo"),

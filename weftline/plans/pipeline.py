@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..functions.iri import BASE
-from ..operators import entail, quality, shapes, specmine, triples
+from ..operators import entail, numbering, quality, shapes, specmine, triples
 from ..operators.steps import StepResult, apply_steps
 from ..sources import readers, writers
 from .config import Step, TableSchema, load_schema, load_schemas
@@ -34,7 +34,7 @@ def csv_to_triples(spark, schema_path: str, csv_path: str, output: str, *, schem
         raise ValueError(f"{schema_path}: layout not recognised")
     df = readers.read_csv(spark, csv_path)
     if order_by:
-        df = triples.with_row_number(df, order_by)
+        df = numbering.with_row_number(df, order_by)
     graph = table_to_triples(df, schema, load_schemas(schema_folder)[0], row_id="row_id" if order_by else None, check=check)
     writers.write_triples(graph, output)
 

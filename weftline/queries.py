@@ -2,43 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import queries_files, queries_formula  # noqa: F401  registered there
 from .functions.iri import BASE
-from .operators import contract, entail, quality, shapes, specmine, triples
+from .operators import contract, entail, numbering, quality, shapes, specmine, triples
 from .operators.steps import apply_steps
 from .plans.config import Field, Step, TableSchema
+from .registry import ORACLE_SQL, QUERIES, formula, query, table
+from .samples import CUSTOMER, GAPPY, NATION, ORDERS, gappy_customers, order_rows, spec_lines
 from .sources import readers, writers
 from .streaming import checks
 from .streaming.run import run_to_table, stream_of
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Registers a query under its function's name, with its SQL."""
-
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def formula(output: str, text: str) -> Step:
-    return Step(output, None, "formula", text)
-
-
 # Steps
 
 
@@ -145,19 +122,37 @@ def sample_n(spark, sf_dir):
     return quality.sample_n(table(spark, sf_dir, "orders"), 100, ["o_orderkey"])
 
 
-# Summaries
+@query("SELECT count(*) AS n_rows, least(100, count(*)) AS n_sample, least(100, count(*)) AS n_keys, least(100, count(*)) AS n_known FROM orders")
+def sample_counts(spark, sf_dir):
+    """A sample holds as many rows as it is told, all different and of the table; the steps take it as they take all."""
+    orders = table(spark, sf_dir, "orders")
+    steps = [Step("id", "o_orderkey"), formula("cents", "o_totalprice * 100")]
+    every = apply_steps(orders, steps).df
+    some = apply_steps(quality.sample_n(orders, 100, ["o_orderkey"]), steps).df
+    known = some.join(every, ["id", "cents"], "left_semi").agg(F.count("*").alias("n_known"))
+    counts = some.agg(F.count("*").alias("n_sample"), F.count_distinct("id").alias("n_keys"))
+    return every.agg(F.count("*").alias("n_rows")).crossJoin(counts).crossJoin(known)  # one row each
 
-CUSTOMER = TableSchema("Customer", [Field("c_custkey", "integer", True), Field("c_name", required=True, length=12), Field("c_mktsegment", required=True, enum=["BUILDING", "MACHINERY", "HOUSEHOLD"]), Field("c_acctbal", "float")], ["c_custkey"])
 
+@query("SELECT o_orderkey AS id, o_custkey AS who FROM orders")
+def steps_later_wins(spark, sf_dir):
+    """A step without an output is passed over, and of two steps for one output the later one counts."""
+    steps = [Step("", "o_clerk"), Step("id", "o_custkey"), Step("who", "nope"), Step("id", "o_orderkey"), Step("who", "o_custkey"), formula("", "1 + 1")]
+    return apply_steps(table(spark, sf_dir, "orders"), steps).df
 
-def gappy_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with nulls and empty texts where the table has none."""
-    df = table(spark, sf_dir, "customer")
-    return df.withColumn("c_mktsegment", F.nullif("c_mktsegment", F.lit("BUILDING"))).withColumn("c_name", F.when(F.col("c_custkey") % 10 == 3, "").otherwise(F.col("c_name")))
 
+@query("""
+SELECT r.step_no, r.column, r.status, count(*) AS n FROM customer, (VALUES
+  (CAST(1 AS BIGINT), 'c_name', 'missing'), (2, 'c_name', 'overwritten'), (3, 'c_phone', 'generated'), (4, 'c_phone', 'generated'), (5, 'id', 'missing'), (6, 'id', 'generated')) r(step_no, "column", status) GROUP BY ALL""")
+def step_exact_audit(spark, sf_dir):
+    """An output of nothing but nulls is replaced, one with values is filled: only the first counts as overwritten."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.lit("x").alias("c_phone"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"))
+    steps = [Step("c_name", "nope"), Step("c_name", "c_name"), formula("c_phone", "segment.fillna('none')"), Step("c_phone", "c_name"), Step("id", "nope"), Step("id", "c_custkey")]
+    done = apply_steps(df, steps, overwrite=False, exact_audit=True)
+    return done.report().crossJoin(done.df.agg(F.count("*").alias("n")))  # one row of counts
 
-GAPPY = "SELECT c_custkey, CASE WHEN c_custkey % 10 = 3 THEN '' ELSE c_name END AS c_name, c_nationkey, c_acctbal, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment FROM customer"
 
+# Summaries
 
 @query(f"""
 WITH g AS ({GAPPY}) SELECT * FROM (
@@ -214,6 +209,42 @@ def shape_date_pattern(spark, sf_dir):
     return broken(table(spark, sf_dir, "orders").withColumn("day", day), [Field("day", "date", format="%Y-%m-%d")], "o_orderkey")
 
 
+@query(r"""
+WITH d AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN '99/99/2020' WHEN 2 THEN 'garbage' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS day,
+                  CASE WHEN o_orderkey % 7 = 0 THEN '2020-02-31' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders)
+SELECT CAST(o_orderkey AS VARCHAR) AS subject, 'day' AS path, 'datatype' AS "constraint", day AS value FROM d WHERE try_strptime(day, '%d/%m/%Y') IS NULL UNION ALL
+SELECT CAST(o_orderkey AS VARCHAR), 'iso', 'datatype', iso FROM d WHERE try_strptime(iso, '%Y-%m-%d') IS NULL""")
+def shape_date_formats(spark, sf_dir):
+    """Dates are held to their format, whichever it is; what a pattern allows must be a date too."""
+    kinds = F.when(F.col("o_orderkey") % 5 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 5 == 1, "99/99/2020").when(F.col("o_orderkey") % 5 == 2, "garbage")
+    df = table(spark, sf_dir, "orders").withColumn("day", kinds.otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")))
+    df = df.withColumn("iso", F.when(F.col("o_orderkey") % 7 == 0, "2020-02-31").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")))
+    return broken(df, [Field("day", "date", format="%d/%m/%Y"), Field("iso", "date", format="%Y-%m-%d")], "o_orderkey")
+
+
+@query(f"""
+WITH g AS ({GAPPY}) SELECT 'whole' AS name, count(*) = 0 AS conforms FROM customer WHERE c_custkey IS NULL OR c_name IS NULL
+UNION ALL SELECT 'gappy', count(*) = 0 FROM g WHERE c_mktsegment IS NULL OR c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') OR length(c_name) > 12""")
+def shape_verdicts(spark, sf_dir):
+    """Whether a table conforms to its schema."""
+    whole = TableSchema("C", [Field("c_custkey", "integer", True), Field("c_name", required=True)])
+    found = [("whole", quality.conforms(shapes.validate(table(spark, sf_dir, "customer"), whole).violations)), ("gappy", shapes.validate(gappy_customers(spark, sf_dir), CUSTOMER).conforms)]
+    return spark.createDataFrame(found, "name string, conforms boolean")
+
+
+@query("""
+WITH t AS (SELECT p_type AS name, max(p_size) AS n, p_type LIKE '%O%' AS needed FROM part GROUP BY ALL),
+l AS (SELECT name, '    sh:property [ sh:path <http://weftline.local/ont#' || replace(url_encode(upper(name)), '+', '%20') || '> ; sh:datatype <http://www.w3.org/2001/XMLSchema#string> ; sh:minCount '
+             || CAST(CAST(needed AS INTEGER) AS VARCHAR) || ' ; sh:maxLength ' || n || ' ]' AS line, row_number() OVER (ORDER BY name) = count(*) OVER () AS at_end FROM t)
+SELECT line || CASE WHEN at_end THEN ' .' ELSE ' ;' END AS line FROM l UNION ALL
+SELECT unnest(['@prefix sh: <http://www.w3.org/ns/shacl#> .', '', '<http://weftline.local/ont#PARTSShape> a sh:NodeShape ;', '    sh:targetClass <http://weftline.local/ont#PARTS> ;'])""")
+def shape_document(spark, sf_dir):
+    """The constraints of a schema with a field per kind of part, as text."""
+    kinds = table(spark, sf_dir, "part").groupBy("p_type").agg(F.max("p_size").alias("n")).orderBy("p_type").collect()  # one row per kind
+    schema = TableSchema("Parts", [Field(k.p_type, required="O" in k.p_type, length=int(k.n)) for k in kinds])
+    return spark.createDataFrame([(line,) for line in shapes.shapes_text(schema).splitlines()], "line string")
+
+
 @query(f"""
 WITH g AS ({GAPPY}), v AS (
   SELECT 'c_name' AS path, 'maxLength' AS "constraint" FROM g WHERE length(c_name) > 12 UNION ALL
@@ -297,16 +328,27 @@ def check_counts(spark, sf_dir):
     return contract.check_counts(table(spark, sf_dir, "lineitem"), ["l_discount < 0.08", "l_quantity * 2 > l_linenumber"])
 
 
-# Triples
+LAYOUT = ["c_custkey", "C_NAME", "c_mktsegment", "c_nationkey", "c_fax"]
 
-ORDERS = TableSchema("Orders", [Field("o_orderkey", "integer", True), Field("o_custkey", "integer"), Field("o_orderstatus"), Field("o_orderdate", "date"), Field("open", "boolean")], ["o_orderkey"])
-NATION = TableSchema("Nation", [Field("n_nationkey", "integer", True), Field("n_name")], ["n_name"])
-XSD, RDF, RDFS, OWL = triples.XSD, triples.RDF_TYPE, triples.RDFS, triples.OWL
 
+@query(f"""
+WITH a AS (SELECT column_name AS name, row_number() OVER () AS position FROM (DESCRIBE SELECT * FROM customer)),
+e AS (SELECT unnest({LAYOUT}) AS name, generate_subscripts({LAYOUT}, 1) AS position),
+m AS (SELECT c.folded, coalesce(a.position, e.position) AS position, e.name AS expected, a.name AS actual,
+             CASE WHEN e.name IS NULL THEN 'extra' WHEN a.name IS NOT NULL AND (e.name = a.name OR c.folded AND lower(e.name) = lower(a.name)) THEN 'ok'
+                  WHEN EXISTS (SELECT 1 FROM a x WHERE e.name = x.name OR c.folded AND lower(e.name) = lower(x.name)) THEN 'moved' ELSE 'missing' END AS status
+      FROM (VALUES (true), (false)) c(folded), a FULL JOIN e ON a.position = e.position)
+SELECT NOT folded AS case_sensitive, CAST(position AS BIGINT) AS position, expected, actual, status FROM m""")
+def column_layout(spark, sf_dir):
+    """Declared against present columns, place by place, with and without regard to case."""
+    df, schema = table(spark, sf_dir, "customer"), TableSchema("Customer", [Field(n) for n in LAYOUT])
+    exact, folded = (contract.column_order(df, schema, case).withColumn("case_sensitive", F.lit(case)) for case in (True, False))
+    return exact.unionByName(folded)
 
-def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "orders")
-    return df.withColumn("open", F.col("o_orderstatus") == "O").withColumn("o_custkey", F.nullif("o_custkey", F.lit(7).cast("long")))
+
+# Triples
+
+XSD, RDF, RDFS, OWL = triples.XSD, triples.RDF_TYPE, triples.RDFS, triples.OWL
 
 
 @query(f"""
@@ -350,7 +392,7 @@ def abox_triples(spark, sf_dir):
 def graph_union(spark, sf_dir):
     orders = triples.abox(order_rows(spark, sf_dir), ORDERS)
     nations = triples.abox(table(spark, sf_dir, "nation"), NATION)
-    return quality.triple_statistics(triples.graph_union(orders, nations, nations))
+    return quality.triple_statistics(triples.graph_union(orders, nations, nations), is_set=True)
 
 
 @query(f"""
@@ -365,7 +407,7 @@ def untyped_triples(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) AS row_id FROM lineitem")
 def row_numbers(spark, sf_dir):
-    df = triples.with_row_number(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate"])
+    df = numbering.with_row_number(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate"])
     return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "row_id")
 
 
@@ -388,6 +430,38 @@ def range_consistency(spark, sf_dir):
     return entail.inconsistencies(triples.abox(order_rows(spark, sf_dir), ORDERS), tbox).select("s", "p", "o", "reason")
 
 
+@query("""
+SELECT 'sound' AS name, true AS consistent FROM (SELECT count(*) FROM orders) UNION ALL
+SELECT 'contradicted', count(*) = 0 FROM orders WHERE o_custkey <> 7""")
+def graph_verdict(spark, sf_dir):
+    """Whether the triples of the orders contradict the declared ranges, by their own schema and with another one."""
+    rows = triples.abox(order_rows(spark, sf_dir), ORDERS)
+    own = triples.schema_fields(spark, [ORDERS])
+    other = triples.schema_fields(spark, [ORDERS, TableSchema("Ledger", [Field("o_custkey", "boolean")])])
+    found = [("sound", entail.consistent(rows, triples.tbox(own))), ("contradicted", entail.consistent(rows, triples.tbox(other)))]
+    return spark.createDataFrame(found, "name string, consistent boolean")
+
+
+@query(f"""
+SELECT '{BASE}Slim_' || c_custkey AS s, '{RDF}' AS p, '{BASE}SLIM' AS o FROM customer UNION ALL
+SELECT '{BASE}Slim_' || c_custkey, '{BASE}C_NAME', c_name FROM customer""")
+def abox_present_fields(spark, sf_dir):
+    """Only fields that are declared and present become triples."""
+    schema = TableSchema("Slim", [Field("c_name"), Field("c_fax")], ["c_custkey"])
+    return triples.abox(table(spark, sf_dir, "customer"), schema).select("s", "p", "o")
+
+
+@query(f"""
+SELECT '{BASE}Bag_' || p_partkey AS subject, 'p_size' AS path, CAST(p_size AS VARCHAR) AS value, 'datatype' AS "constraint" FROM part UNION ALL
+SELECT '{BASE}Bag_' || p_partkey, 'p_brand', p_brand, 'enum' FROM part WHERE p_brand NOT IN ('Brand#11', 'Brand#12') UNION ALL
+SELECT '{BASE}Bag_' || p_partkey, 'made', '31/02/2020', 'datatype' FROM part WHERE p_partkey % 3 = 0""")
+def triple_shape_kinds(spark, sf_dir):
+    """Lists, the literals' own datatypes and dates with a format, on triples: sizes are numbers, but declared as texts."""
+    made = F.when(F.col("p_partkey") % 3 == 0, "31/02/2020").when(F.col("p_partkey") % 3 == 1, "28/02/2020")
+    schema = TableSchema("Bag", [Field("p_size"), Field("p_brand", enum=["Brand#11", "Brand#12"]), Field("made", "date", format="%d/%m/%Y")], ["p_partkey"])
+    return shapes.validate_triples(triples.abox(table(spark, sf_dir, "part").withColumn("made", made), schema), schema)
+
+
 @query(f"""
 WITH g AS ({GAPPY}) SELECT * FROM (
 SELECT '{BASE}Customer_' || c_custkey AS subject, 'c_name' AS path, c_name AS value, 'maxLength' AS "constraint" FROM g WHERE length(c_name) > 12 UNION ALL
@@ -408,30 +482,6 @@ def triple_lines(spark, sf_dir):
 
 # Specifications: one file per brand, whose lines come from the brand's parts.
 
-DESCRIPTIONS = ["Sólo SI/NO", "M= Mujer, H= Hombre", "Valores posibles: [A, B]", "Deprecado", "Ver Clientes.id"]
-
-
-def spec_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A title, a header, a field row per part and two notes; a stray line comes before the header."""
-    parts = table(spark, sf_dir, "part")
-    described = F.element_at(F.array(*(F.lit(d) for d in DESCRIPTIONS)), (F.col("p_partkey") % 5 + 1).cast("int"))
-    row = F.array(
-        F.concat(F.lit(" p"), "p_partkey"), F.when(F.col("p_partkey") % 2 == 0, "Numérico").otherwise("Alfanumérico"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "Sí").otherwise("No"), described
-    )
-    # The overflow of every seventh row belongs to its last cell.
-    row = F.when(F.col("p_partkey") % 7 == 0, F.concat(row, F.array(F.lit("x"), F.lit("y")))).otherwise(row)
-    fields = parts.select(F.col("p_brand").alias("file"), (F.col("p_partkey") + 10).alias("line_no"), row.alias("cells"))
-    brands = parts.select(F.col("p_brand").alias("file")).distinct()
-    fixed = F.array(
-        F.struct(F.lit(1).cast("long").alias("line_no"), F.array(F.concat(F.lit("1. Parts (T_"), F.col("file"), F.lit(".csv)")), F.lit("")).alias("cells")),
-        F.struct(F.lit(2).cast("long").alias("line_no"), F.array(F.lit("stray")).alias("cells")),
-        F.struct(F.lit(3).cast("long").alias("line_no"), F.array(*(F.lit(x) for x in ("Campo", "Tipo", "Longitud", "Obligatorio", "Descripción", "Formato"))).alias("cells")),
-        F.struct(F.lit(1 << 40).cast("long").alias("line_no"), F.array(F.lit("La clave está compuesta por id + tienda")).alias("cells")),
-        F.struct(F.lit((1 << 40) + 1).cast("long").alias("line_no"), F.array(F.lit("a"), F.lit(" b y c deben ser UNIQUE")).alias("cells")),
-    )
-    return fields.unionByName(brands.select("file", F.inline(fixed)))
-
-
 @query("""
 SELECT p_brand AS file, upper(p_brand) AS "table", 'p' || p_partkey AS field, CASE WHEN p_partkey % 2 = 0 THEN 'Numérico' ELSE 'Alfanumérico' END AS kind, CAST(p_size AS VARCHAR) AS length,
        CASE WHEN p_partkey % 7 = 0 THEN 'x,y' ELSE '' END AS format, CASE WHEN p_partkey % 3 = 0 THEN 'Sí' ELSE 'No' END AS required FROM part""")
@@ -440,6 +490,15 @@ def spec_fields(spark, sf_dir):
     return found.select("file", "table", "field", "kind", "length", "format", "required")
 
 
+@query("""
+SELECT p_brand AS file, 'p' || p_partkey AS field, CASE WHEN p_partkey % 2 = 0 THEN 'integer' ELSE 'string' END AS kind, CASE p_partkey % 5 WHEN 0 THEN 'SI|NO' WHEN 1 THEN 'M|H' WHEN 2 THEN 'A|B' END AS enum FROM part
+UNION ALL SELECT DISTINCT p_brand, 'La clave está compuesta por id + tienda', '', NULL FROM part UNION ALL SELECT DISTINCT p_brand, 'a', 'b y c deben ser UNIQUE', NULL FROM part""")
+def spec_fields_and_notes(spark, sf_dir):
+    """Lines below a header are fields, notes too: they are told apart in spec_notes."""
+    found = specmine.enriched(specmine.spec_fields(spec_lines(spark, sf_dir)))
+    return found.select("file", "field", "kind", F.array_join("enum", "|").alias("enum"))
+
+
 @query("""
 SELECT 'p' || p_partkey AS field, CASE WHEN p_partkey % 2 = 0 THEN 'integer' ELSE 'string' END AS kind,
        CASE p_partkey % 5 WHEN 0 THEN 'SI|NO' WHEN 1 THEN 'M|H' WHEN 2 THEN 'A|B' END AS enum, p_partkey % 5 = 3 AS deprecated,

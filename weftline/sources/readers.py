@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.contract import parsed_date
-from ..operators.steps import name_of
+from ..operators.numbering import name_of
 from ..plans.config import Contract, TableSchema
 
 SUFFIXES = r"(?i)(_sample|_muestra|_datos|_data)+$"
@@ -75,14 +75,16 @@ def table_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def spec_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(file, line_no, cells) of specification files; quoted cells may hold commas, not line breaks.
+    """(file, line_no, cells) of specification files; quoted cells may hold commas and line breaks.
 
-    Line numbers order the lines of a file: a file is read as one row, which a specification's size allows.
+    line_no counts the records of a file: a file is read as one row, which a specification's size allows.
     """
     reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
     texts = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    rows = texts.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("place", "line"))
-    # A cell is quoted or runs to the next comma.
-    cells = F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(r',(\s*"(?:[^"]|"")*"\s*|[^,]*)'), F.lit(1))
-    plain = F.transform(cells, lambda c: F.when(F.trim(c).rlike(r'^".*"$'), F.replace(F.regexp_extract(F.trim(c), r'^"(.*)"$', 1), F.lit('""'), F.lit('"'))).otherwise(c))
+    # A cell is quoted or runs to the next comma or line break.
+    cell = r'(?:[ \t]*+"(?:[^"]++|"")*+"[ \t]*+(?=[,\r\n]|\z)|[^,\r\n]*+)'
+    records = F.regexp_extract_all(F.concat(F.lit("\n"), F.regexp_replace("value", r"\r?\n\z", "")), F.lit(rf"\r?\n({cell}(?:,{cell})*+)"), F.lit(1))
+    rows = texts.select("file", F.posexplode(records).alias("place", "line"))
+    cells = F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(f",({cell})"), F.lit(1))
+    plain = F.transform(cells, lambda c: F.when(F.trim(c).rlike(r'(?s)^".*"$'), F.replace(F.regexp_extract(F.trim(c), r'(?s)^"(.*)"$', 1), F.lit('""'), F.lit('"'))).otherwise(c))
     return rows.select("file", (F.col("place") + 1).cast("long").alias("line_no"), plain.alias("cells"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,23 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.parquet(path)
 
 
+def write_files(files: DataFrame, folder: str) -> None:
+    """One file per row (name, value), each written by the task that has the row."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(folder)
+        system.create_dir(inner, recursive=True)
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with system.open_output_stream(f"{inner}/{name}", compression=None) as out:
+                    out.write((value or "").encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["name"])
+
+    files.select("name", "value").mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+
+
 def escaped(text: Column) -> Column:
     """A literal's text as N-Triples wants it."""
     for plain, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.quality import is_empty
 from ..operators.shapes import constraints, violations
-from ..operators.steps import name_of
+from ..operators.numbering import name_of
 from ..plans.config import TableSchema
 
 

@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weftline-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources.shared import new_folder
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +23,7 @@ def run_to_table(stream: DataFrame) -> DataFrame:
     Windows are appended once the watermark has passed their end.
     """
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = new_folder(spark, "stream")
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
