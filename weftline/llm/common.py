@@ -2,37 +2,85 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
+#: Keys with more than this part of all rows are joined by broadcast; there are fewer of them than this.
+HOT_KEYS = 1000
+
+_scratch: list[list[str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
+def shared_dir(spark: SparkSession, purpose: str, scratch: bool = False) -> str:
+    """A new folder under spark.checkpoint.dir; scratch folders go at the end of the surrounding scratch()."""
+    path = shared.new_folder(spark, purpose)
+    if scratch and _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+def persisted(df: DataFrame, purpose: str, keep: bool = False) -> DataFrame:
+    """Writes a frame to the shared folder and rereads it: cuts lineage and survives lost executors.
+
+    keep: for what belongs to an operator's output, such as the index of its files.
+    """
+    return shared.stored(df, shared_dir(df.sparkSession, purpose, scratch=not keep))
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that persisted() writes within; what is made from them must be written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            shared.delete_folder(spark, path)
+
+
+def join_by_key(rows: DataFrame, one: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """Joins rows with a table of one row per key, which counts the rows of each key in its column `rows`.
+
+    Rows of keys that hold more than a HOT_KEYS-th of the total stay where they are and get their key's row by
+    broadcast, HOT_KEYS rows at most; all others meet in a shuffle.
+    """
+    is_hot = F.col("rows") * HOT_KEYS > total
+    hot, cold = one.where(is_hot).drop("rows"), one.where(~is_hot).drop("rows")
+    if hot.isEmpty():
+        return rows.join(cold, key, how)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def text_digest(text: str) -> Column:
+    """16 bytes that tell texts apart; null for a null text."""
+    return F.unhex(F.md5(F.col(text).cast("string")))
+
+
+def key_of(doc_id: str) -> Column:
+    """The identifier, or a number in place of a null, to join on."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
+
+
+def one_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(digest, text) of the wanted digests, one row each.
 
-    Only where the session names no such folder (tests on one machine) a temporary one is set.
+    Of the documents with one text those with the smallest identifier are read, so that copies meet nowhere.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="weftline-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/weftline-{purpose}-{uuid.uuid4().hex}"
-
-
-def persisted(df: DataFrame, purpose: str) -> DataFrame:
-    """Writes a frame to the shared folder and rereads it: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    rows = docs.select(text_digest("text").alias("digest"), key_of("doc_id").alias("key"), F.col("text").cast("string").alias("text"))
+    first = rows.select("digest", "key").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("key").alias("key"))
+    found = rows.join(persisted(first, "first"), ["digest", "key"])
+    return found.groupBy("digest", "key").agg(F.first("text").alias("text")).select("digest", "text")
 
 
 def open_fs(path: str):

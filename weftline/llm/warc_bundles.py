@@ -2,14 +2,19 @@
 
 Each task packs its records into independent frames, writes them as one file with a footer seek table in
 the seekable format (a skippable frame), and returns an index that maps record identifiers to frames and
-offsets within them. Reading goes through the seek table, one frame at a time.
+offsets within them. Reading goes through the seek tables: a task reads runs of FRAMES_PER_READ frames.
 
 Records with equal payloads of at least MIN_SHARED bytes share one: that with the smallest page_id is a
-response, the others are revisits that name it and carry no payload.
+response, the others are revisits that name it and carry no payload. Responses are written first, where
+their pages were read; only digests are shuffled to find equal payloads. Revisits follow, with the
+identifiers that the index gives for the responses.
+
+Identifiers hold the bundle and the place in it besides the page, so repeated rows have different ones.
 
 Defined results: a null html has an empty payload; shorter payloads are always responses; a null page_id
 is always a response and never referred to; repeated rows that hold the smallest page_id are all
-responses; an empty table gives no file; columns other than page_id, url and html are not read.
+responses, and revisits name one of these; an empty table gives no file; columns other than page_id, url
+and html are not read.
 """
 
 from __future__ import annotations
@@ -25,43 +30,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_fs, persisted, shared_dir
+from .common import join_by_key, open_fs, persisted, shared_dir
 
 MIN_SHARED = 100
-FRAME_BYTES = 1 << 18
+FRAME_BYTES, FRAMES_PER_READ = 1 << 18, 16
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 #: Fixed values of the Zstandard seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
-INDEX = "record_id string, page_id long, path string, frame int, offset long, length long"
+INDEX = "record_id string, page_id long, digest string, path string, frame int, offset long, length long"
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:page:{page_id}>" if page_id is not None else f"<urn:page:none:{digest}>"
+def record_id(page_id: int | None, bundle: str, number: int) -> str:
+    return f"<urn:page:{'none' if page_id is None else page_id}:{bundle}:{number}>"
 
 
 def page_of(identifier: str | None) -> int | None:
-    number = (identifier or "").removeprefix("<urn:page:").removesuffix(">")
-    return None if not number or number.startswith("none:") else int(number)
+    page = identifier.split(":")[2] if identifier else "none"
+    return None if page == "none" else int(page)
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit holds the HTTP header only."""
-    revisit = refers_to is not None
-    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def warc_record(identifier: str, url: str | None, n: int, digest: str, payload: bytes, refers_to: str | None = None) -> bytes:
+    """One WARC/1.1 record of a payload of n bytes; a revisit holds the HTTP header only."""
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n
     headers = {
-        "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": record_id(page_id, digest),
+        "WARC-Type": "response" if refers_to is None else "revisit",
+        "WARC-Record-ID": identifier,
         "WARC-Date": DATE,
         "WARC-Target-URI": urllib.parse.quote(url or "", safe=":/?#[]@!$&'()*+,;=%~"),
         "WARC-Payload-Digest": f"sha256:{digest}",
         "Content-Type": "application/http;msgtype=response",
     }
-    if revisit:
-        headers["WARC-Refers-To"] = record_id(refers_to, digest)
-        headers["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-    else:
+    if refers_to is None:
         block += payload
+    else:
+        headers["WARC-Refers-To"] = refers_to
+        headers["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
     head = "".join(f"{k}: {v}\r\n" for k, v in headers.items())
     return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
@@ -151,34 +155,46 @@ class BundleReader:
         self.file.close()
 
 
-def with_roles(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest and, for revisits, refers_to."""
-    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    shared = rows.where((F.length("payload") >= MIN_SHARED) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    shared = shared.where(F.col("first") < F.col("last")).select("digest", "first")
-    return rows.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
-
-
-def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes one bundle per task and returns the index (INDEX), itself kept in the shared folder."""
+def write_records(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes one bundle per task of (page_id, url, n, digest, payload, refers_to) and gives its part of the index."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, path = None, f"{folder}/bundle-{uuid.uuid4().hex}.warc.zst"
+        writer, bundle, number = None, uuid.uuid4().hex, 0
+        path = f"{folder}/bundle-{bundle}.warc.zst"
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                rows = []
-                for page, url, payload, digest, refers in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True):
+                found = []
+                for page, url, n, digest, payload, refers in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True):
                     writer = writer or BundleWriter(path)
-                    record = warc_record(page, url, payload, digest, refers)
-                    rows.append((record_id(page, digest), page, path, *writer.add(record), len(record)))
-                columns = list(zip(*rows, strict=True))
-                kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["record_id", "page_id", "path", "frame", "offset", "length"])
+                    name = record_id(page, bundle, number)
+                    record = warc_record(name, url, n, digest, payload, refers)
+                    found.append((name, page, digest, path, *writer.add(record), len(record)))
+                    number += 1
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], ["record_id", "page_id", "digest", "path", "frame", "offset", "length"])
         if writer is not None:
             writer.close()
 
-    return persisted(with_roles(pages).mapInArrow(write, INDEX), "warc-index")
+    return rows.select("page_id", "url", "n", "digest", "payload", "refers_to").mapInArrow(write, INDEX)
+
+
+def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
+    """Writes all pages as bundles and returns the index (INDEX), itself kept in the shared folder."""
+    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.length(payload).alias("n"), F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
+    marks = persisted(rows.drop("payload"), "warc-digests")
+    named = F.col("page_id").isNotNull() & (F.col("n") >= MIN_SHARED)
+    shared = marks.where(named).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count("*").alias("rows"))
+    shared = persisted(shared.where(F.col("first") < F.col("last")).select("digest", "first", "rows"), "warc-shared")
+    total = marks.count()
+    again = F.coalesce(named & (F.col("page_id") > F.col("first")), F.lit(False))
+    first = join_by_key(rows, shared, "digest", total, "left").where(~again).withColumn("refers_to", F.lit(None).cast("string"))
+    index = persisted(write_records(first, folder), "warc-index", keep=True)
+    # One record of each shared payload, by its page; repeated rows have several.
+    named_by = index.select("digest", F.col("page_id").alias("page"), "record_id").join(shared, "digest").where(F.col("page") == F.col("first"))
+    named_by = persisted(named_by.groupBy("digest", "first").agg(F.min("record_id").alias("refers_to"), F.max("rows").alias("rows")), "warc-responses")
+    later = join_by_key(marks, named_by, "digest", total).where(again).withColumn("payload", F.lit(b""))
+    return index.unionByName(persisted(write_records(later, folder), "warc-revisits", keep=True))
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
@@ -189,9 +205,9 @@ def read_bundles(index: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, begin in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 reader = BundleReader(path)
-                for k in range(len(reader.frames)):
+                for k in range(begin, min(begin + FRAMES_PER_READ, len(reader.frames))):
                     rows = []
                     for _, _, headers, n, payload in parse_records(reader.frame(k)):
                         digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
@@ -204,7 +220,11 @@ def read_bundles(index: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
                 reader.close()
 
-    return index.select("path").distinct().mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    bundles = index.groupBy("path").agg(F.max("frame").alias("last"))
+    runs = bundles.select("path", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(FRAMES_PER_READ))).alias("begin"))
+    # A number of partitions that adaptive execution leaves alone: the rows are few, the files behind them aren't.
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return runs.repartition(n, "path", "begin").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_table(pages: DataFrame) -> DataFrame:
