@@ -12,12 +12,13 @@ its p-value within its text is at most MAX_P. A logistic curve over the sum and
 normalised scores, fitted on the sample, gives the text's score.
 
 Learning uses a bounded sample of MAX_DOCS labelled documents outside the held-out fold, in the order of a
-seeded hash, one of each group of copies; at most MAX_TOKENS tokens are kept. Labels, languages, sources and
-identifiers never enter a score.
+seeded hash, one of each group of copies; every token of the sample that passes the test is kept. Labels,
+languages, sources and identifiers never enter a score.
 
 Defined results: null and empty texts have no passage and the curve's lowest score; without labels of both
-classes all scores are 0; a document labelled more than once is toxic if any label is; null labels and
-identifiers are not learned from; repeated rows score alike; an empty table gives no rows.
+classes all scores are 0; a document labelled more than once is toxic if any label is, and so are equal texts;
+of near copies the first in a hash's order is learned from, with its own label; null labels and identifiers
+are not learned from; repeated rows score alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,18 +26,22 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold, held_out, persisted, seeded_sample
+from .common import fold, hashed_words, held_out, persisted, seeded_sample
+from .omh_dedup import shingles
 
-MAX_DOCS, MAX_TOKENS, SEED = 20_000, 50_000, 29
+MAX_DOCS, SEED = 20_000, 29
+#: Copies are told by the smallest hashes of their shingles, so many of each text, half of which must be equal.
+MARKS = 64
 PRIOR, MIN_G2, DRIFT, MAX_P = 500.0, 24.0, 0.25, 0.01
 CACHE_WORDS = 400_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -53,31 +58,38 @@ def tokens_of(word: str) -> list[str]:
 
 
 def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first word, last word, score) of a text.
+    """All maximal scoring segments (first word, last word, score) of a text, in linear time.
 
     hits: places and scores of the positive words, ascending; every other word scores -drift. Each segment
-    keeps the running totals before its start and at its end; a new hit is joined to earlier segments as
-    long as that raises the total.
+    keeps the running totals before its start and at its end, and a link to the nearest earlier segment with a
+    smaller total before its start. Links are followed instead of the list, so each is passed once.
     """
-    found: list[list[float]] = []  # first word, last word, total before, total at the end
+    first: list[int] = []
+    last: list[int] = []
+    before: list[float] = []
+    after: list[float] = []
+    link: list[int] = []
     total, at = 0.0, 0
     for place, score in hits:
         total -= drift * (place - at)
-        left = total
+        begin, low = place, total
         total += score
         at = place + 1
-        new = [place, place, left, total]
-        while found:
-            # The nearest earlier segment whose left total is below the new one's.
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                break
-            new[0], new[2] = found[j][0], found[j][2]
-            del found[j:]
-        found.append(new)
-    return [(int(a), int(b), r - left) for a, b, left, r in found]
+        j = len(first) - 1
+        while j >= 0 and before[j] >= low:
+            j = link[j]
+        while j >= 0 and after[j] < total:
+            # The new segment reaches back to that one's start, whose link is right for it.
+            begin, low, k = first[j], before[j], link[j]
+            for kept in (first, last, before, after, link):
+                del kept[j:]
+            j = k
+        first.append(begin)
+        last.append(place)
+        before.append(low)
+        after.append(total)
+        link.append(j)
+    return [(a, b, r - left) for a, b, left, r in zip(first, last, before, after, strict=True)]
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, prior: float = PRIOR) -> np.ndarray:
@@ -186,18 +198,39 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS
     return persisted(without_copies(rows.select("text", "toxic")), "tox-sample")
 
 
+def marked(texts: DataFrame) -> DataFrame:
+    """Adds marks, the MARKS smallest hashes of the text's shingles of five words, to (text, toxic)."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(0).to_pylist():
+                runs = np.unique(shingles(hashed_words([text])[0]))[:MARKS]
+                found.append(runs.view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["text", "toxic", "marks"])
+
+    return texts.mapInArrow(measure, "text string, toxic int, marks array<long>")
+
+
+def seeded_hash(seed: int) -> Callable[[Column], Column]:
+    return lambda m: F.xxhash64(F.lit(seed), m)
+
+
 def without_copies(rows: DataFrame) -> DataFrame:
     """One text of each group of copies, lest a group's ordinary words look toxic.
 
-    Three times one text stays of those that share the smallest seeded hash of their longer words, which
-    near copies share with a chance as large as their words' overlap.
+    Three times the texts meet that share the smallest seeded hash of their marks, and a text goes if half of
+    its marks are those of the first text there: that is, if it shares about a third of all five-word shingles.
     """
+    equal = rows.where(F.col("text").isNotNull()).groupBy("text").agg(F.max("toxic").alias("toxic"))
+    rows = marked(equal).withColumn("h", F.xxhash64("text"))
     for seed in range(3):
-        words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 5)
-        least = F.array_min(F.transform(words, lambda w, k=seed: F.xxhash64(F.lit(k), w)))
-        rows = rows.withColumn("mark", F.coalesce(least, F.xxhash64("text"))).groupBy("mark").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("r"))
-        rows = rows.select("r.text", "r.toxic")
-    return rows
+        mark = F.coalesce(F.array_min(F.transform("marks", seeded_hash(seed))), F.col("h"))
+        group = W.partitionBy("mark").orderBy("h", "text")
+        rows = rows.withColumn("mark", mark).withColumn("first", F.first("marks").over(group)).withColumn("place", F.row_number().over(group))
+        common = F.size(F.array_intersect("marks", "first"))
+        rows = rows.where((F.col("place") == 1) | (2 * common < F.size("marks"))).select("text", "toxic", "marks", "h")
+    return rows.select("text", "toxic")
 
 
 def token_counts(sample: DataFrame) -> DataFrame:
@@ -224,9 +257,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Toxic
     if not n_clean or not n_toxic:
         return None
     share = n_toxic / (n_toxic + n_clean)
-    # A token below this many toxic documents can't pass the test.
+    # A token below this many toxic documents can't pass the test, so that few of the sample's tokens are gathered.
     least = MIN_G2 / (2 * math.log(1 / share))
-    rows = token_counts(sample).where((F.col("in_toxic") >= least) & (F.col("in_toxic") > share * (F.col("in_toxic") + F.col("in_clean")))).orderBy(F.desc("in_toxic"), "token").limit(MAX_TOKENS).collect()
+    rows = token_counts(sample).where((F.col("in_toxic") >= least) & (F.col("in_toxic") > share * (F.col("in_toxic") + F.col("in_clean")))).collect()
+    rows = sorted(rows, key=lambda r: r.token)
     toxic, clean = (np.array([r[k] for r in rows], np.float64) for k in (1, 2))
     weights = log_odds(toxic, clean, n_toxic, n_clean)
     kept = (g2(toxic, clean, share) >= MIN_G2) & (weights > 2 * DRIFT)
@@ -296,7 +330,7 @@ _scanners: dict[int, Scanner] = {}
 
 
 def scorer(spark, model: ToxicModel | None):
-    """A function from a text column to struct(score, passages); the model is broadcast (MAX_TOKENS at most)."""
+    """A function from a text column to struct(score, passages); the model, as small as the sample, is broadcast."""
     if model is None:
         return lambda text: F.struct(F.lit(0.0).alias("score"), F.array().cast(PASSAGE).alias("passages"))
     shared = spark.sparkContext.broadcast(model)
