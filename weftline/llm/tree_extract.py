@@ -2,9 +2,12 @@
 
 Paragraph-like blocks earn points for their length and commas and pass them to their ancestors, less the
 further away; a container's points are discounted by its share of link text. The best container, raised to
-the article or main element around it, is kept with those siblings that score or read like content.
-Elements that are no article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, comments) are dropped first by tag, role and the words of class and id.
+the innermost article or main element around it, is kept with those siblings that score or read like content.
+
+Scripts, styles, controls, menus, footers, asides and hidden elements are left out by tag, role and attribute.
+Forms, headers and elements whose class or id has a word for something beside the text (adverts, comments,
+notices and so on) are only suspected. One stays, as a wrapper, if every article, main element and headline of
+the page is in it and there is an article, or if it holds most of the page's points; comments never do by that.
 
 Defined results: null or empty html and pages without article text give an empty text; markup that is cut
 off or badly nested is read as far as it goes; repeated rows get equal texts; an empty table no rows.
@@ -30,35 +33,49 @@ ENDS = {t: frozenset(["p"]) for t in BLOCK - {"body", "html", "caption", "tbody"
 ENDS |= {"li": frozenset(["p", "li"]), "dt": frozenset(["p", "dt", "dd"]), "dd": frozenset(["p", "dt", "dd"]), "tr": frozenset(["p", "td", "th", "tr"]), "td": frozenset(["p", "td", "th"]), "th": frozenset(["p", "td", "th"]), "option": frozenset(["option"])}
 #: Elements that such an implied end does not reach beyond.
 SCOPE = frozenset("table td th button caption html body article section div main ul ol dl blockquote".split())
-DROPPED = frozenset("script style noscript template head title nav footer aside form button select textarea iframe object embed svg canvas audio video dialog menu datalist label".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+DROPPED = frozenset("script style noscript template head title nav footer aside button select textarea iframe object embed svg canvas audio video dialog menu datalist label".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 UNLIKELY = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu menus modal nav navbar navigation navigations newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion related remark reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+#: Words of reader comments, which may be longer than the article.
+COMMENTS = frozenset("comment comments commentlist disqus remark reply replies respond".split())
 PARAGRAPHS = frozenset("p pre td th li dd dt blockquote h1 h2 h3 h4 h5 h6 figcaption".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "points", "chars", "commas", "links", "dropped")
+    __slots__ = ("tag", "parent", "children", "points", "chars", "commas", "links", "dropped", "suspect", "mass", "heads", "articles")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.children, self.dropped = tag, parent, [], dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, suspect: str = ""):
+        self.tag, self.parent, self.children, self.dropped, self.suspect = tag, parent, [], dropped, suspect
         self.points, self.chars, self.commas, self.links = 0.0, 0, 0, 0
+        self.mass, self.heads, self.articles = 0.0, 0, 0
 
 
-def unlikely(tag: str, attrs: dict[str, str | None], within_article: bool) -> bool:
-    """Whether an element holds something other than article text."""
-    if tag in DROPPED or tag == "header" and not within_article:
+def left_out(tag: str, attrs: dict[str, str | None]) -> bool:
+    """Whether an element can hold no text of an article."""
+    if tag in DROPPED:
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body"):
         return False
     style = (attrs.get("style") or "").replace(" ", "").lower()
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
         return True
-    if (attrs.get("role") or "").lower() in ROLES:
-        return True
-    return any(w.lower() in UNLIKELY for name in ("class", "id") for w in WORD.findall(attrs.get(name) or ""))
+    return (attrs.get("role") or "").lower() in ROLES
+
+
+def suspicion(tag: str, attrs: dict[str, str | None], within_article: bool) -> str:
+    """`comments`, `other` or nothing: what an element seems to hold instead of the article."""
+    if tag == "form" or tag == "header" and not within_article:
+        return "other"
+    if not attrs or tag in ("html", "body", "main") or tag == "article" and not within_article:
+        return ""
+    words = {w.lower() for name in ("class", "id") for w in WORD.findall(attrs.get(name) or "")}
+    if words & COMMENTS:
+        return "comments"
+    # The head of an article is part of it.
+    return "other" if (words - {"header", "tags"} if within_article else words) & UNLIKELY else ""
 
 
 class TreeBuilder(HTMLParser):
@@ -79,7 +96,8 @@ class TreeBuilder(HTMLParser):
         inside = self.at
         while inside is not None and inside.tag not in ("article", "main"):
             inside = inside.parent
-        node = Node(tag, self.at, self.at.dropped or unlikely(tag, dict(attrs), inside is not None))
+        known = dict(attrs)
+        node = Node(tag, self.at, self.at.dropped or left_out(tag, known), suspicion(tag, known, inside is not None))
         if not node.dropped:
             self.at.children.append(node)
         self.at = node
@@ -121,33 +139,75 @@ def nodes_in_order(root: Node) -> list[Node]:
     return found
 
 
-def score(root: Node) -> list[Node]:
-    """Fills chars, commas, links and points of all nodes; returns the nodes in order."""
-    nodes = nodes_in_order(root)
+def given(node: Node) -> float:
+    """The points that a block gives for its text: of a paragraph all of it, of another block its own."""
+    if node.tag in PARAGRAPHS:
+        chars, commas = node.chars, node.commas
+    elif node.tag in BLOCK:
+        text = "".join(c for c in node.children if isinstance(c, str)).strip()
+        chars, commas = len(text), text.count(",")
+    else:
+        return 0.0
+    return (1 + commas + min(chars / 100, 3)) * (1 - link_density(node)) if chars else 0.0
+
+
+def measure(nodes: list[Node]) -> None:
+    """Fills what nodes hold: chars, commas, links, mass, headlines and articles."""
+    for node in nodes:
+        node.chars, node.commas, node.links, node.mass, node.heads, node.articles = 0, 0, 0, 0.0, 0, 0
     for node in reversed(nodes):
         own = [c for c in node.children if isinstance(c, str)]
         node.chars += sum(len(c.strip()) for c in own)
         node.commas += sum(c.count(",") for c in own)
         if node.tag == "a":
             node.links = node.chars
-        if node.parent is not None:
-            node.parent.chars += node.chars
-            node.parent.commas += node.commas
-            node.parent.links += node.links
-        text = "".join(own).strip()
-        if node.tag in PARAGRAPHS or text and node.tag in BLOCK:
-            chars, commas = (node.chars, node.commas) if node.tag in PARAGRAPHS else (len(text), text.count(","))
-            given = 1 + commas + min(chars / 100, 3) if chars else 0
-            given *= 1 - link_density(node)
-            # A block with text of its own is a container of it too.
-            if node.tag not in PARAGRAPHS:
-                node.points += given
-            above, share = node.parent, 1.0
-            for level in range(1, 6):
-                if above is None or above.tag in ("#root", "html"):
-                    break
-                above.points += given * share
-                above, share = above.parent, 1 / (2 * level)
+        node.mass += given(node)
+        node.heads += node.tag in ("h1", "main")
+        node.articles += node.tag == "article" and not node.suspect
+        above = node.parent
+        if above is not None:
+            for name in ("chars", "commas", "links", "mass", "heads", "articles"):
+                setattr(above, name, getattr(above, name) + getattr(node, name))
+
+
+def without_suspects(root: Node) -> None:
+    """Takes suspected elements out of the tree, from the outermost on, but those that hold the page's text."""
+    nodes = nodes_in_order(root)
+    if not any(n.suspect for n in nodes):
+        return
+    measure(nodes)
+    open_nodes = [root]
+    while open_nodes:
+        node = open_nodes.pop()
+        kept = []
+        for c in node.children:
+            if isinstance(c, Node):
+                whole = c.heads == root.heads and c.articles == root.articles
+                large = 2 * c.mass > root.mass and c.suspect != "comments"
+                if c.suspect and not (whole and (root.articles or large)):
+                    continue
+                open_nodes.append(c)
+            kept.append(c)
+        node.children = kept
+
+
+def score(root: Node) -> list[Node]:
+    """Fills chars, commas, links and points of all nodes; returns the nodes in order."""
+    nodes = nodes_in_order(root)
+    measure(nodes)
+    for node in reversed(nodes):
+        points = given(node)
+        if not points:
+            continue
+        # A block with text of its own is a container of it too.
+        if node.tag not in PARAGRAPHS:
+            node.points += points
+        above, share = node.parent, 1.0
+        for level in range(1, 6):
+            if above is None or above.tag in ("#root", "html"):
+                break
+            above.points += points * share
+            above, share = above.parent, 1 / (2 * level)
     return nodes
 
 
@@ -166,10 +226,9 @@ def chosen(root: Node) -> list[Node]:
     if best is None or best.points <= 0:
         return [root] if root.chars else []
     above = best
-    while above is not None:
-        if above.tag in ("article", "main"):
-            best = above
+    while above is not None and above.tag not in ("article", "main"):
         above = above.parent
+    best = above or best
     if best.tag == "body" or best.parent is None:
         return [best]
     least = max(1.0, 0.2 * final(best))
@@ -216,6 +275,7 @@ def main_text(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
+    without_suspects(builder.root)
     return "\n".join(blocks(chosen(builder.root)))
 
 
