@@ -2,12 +2,13 @@
 
 `encode_gif` stores a byte payload as the palette indices of 64 pixels wide frames. `decode_gif` reads any
 GIF89a/87a file: global and local palettes, interlacing, transparency, disposal methods 0 to 3, delays and
-clear codes. A frame's column entry holds its time, delay, placement, disposal and the histogram of the
-composed canvas's brightness in 16 bins.
+clear codes. A frame's column entry holds its time, delay, placement, disposal and the histograms of the
+composed canvas's red, green and blue in 16 bins each.
 
 Defined results: a null or empty text has a payload of 64 zero bytes; payloads of any length are stored
 whole, in as many frames as needed; equal texts have equal media; bytes that are no GIF raise ValueError
-in `decode_gif` and give a null frame list in `decode_media`; null media give nulls.
+in `decode_gif` and give a null frame list in `decode_media`, and so do files that are cut off, code streams
+that end before their pixels and codes outside the palette; null media give nulls.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ WIDTH, FRAME_ROWS, DELAY_MS, BINS = 64, 128, 40, 16
 MAX_CODES = 4096
 #: Grey levels: index i is the colour (i, i, i).
 GREYS = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
-FRAME_TYPE = "struct<frame: int, t_ms: long, delay_ms: int, x: int, y: int, w: int, h: int, disposal: int, transparent: int, histogram: array<int>>"
+FRAME_TYPE = "struct<frame: int, t_ms: long, delay_ms: int, x: int, y: int, w: int, h: int, disposal: int, transparent: int, red: array<int>, green: array<int>, blue: array<int>>"
 
 
 @dataclass
@@ -43,14 +44,21 @@ class Frame:
     disposal: int
     transparent: int
     t_ms: int = 0
-    histogram: np.ndarray | None = None
+    histograms: np.ndarray | None = None  # (red, green, blue) x BINS
     canvas: np.ndarray | None = field(default=None, repr=False)
 
 
-def brightness_bins(colours: np.ndarray) -> np.ndarray:
-    """The histogram bin of each colour."""
-    r, g, b = (colours[..., k].astype(np.uint32) for k in range(3))
-    return ((299 * r + 587 * g + 114 * b) // 1000 * BINS // 256).astype(np.uint8)
+def colour_bins(colours: np.ndarray) -> np.ndarray:
+    """One number for the bins of each colour's red, green and blue."""
+    r, g, b = (colours[..., k].astype(np.uint16) * BINS >> 8 for k in range(3))
+    return (r * BINS + g) * BINS + b
+
+
+def histograms(bins: np.ndarray) -> np.ndarray:
+    """(3, BINS) counts of red, green and blue of a canvas of colour_bins."""
+    cube = np.bincount(bins.ravel(), minlength=BINS**3).reshape(BINS, BINS, BINS)
+    plane = cube.sum(axis=2)
+    return np.stack([plane.sum(axis=1), plane.sum(axis=0), cube.sum(axis=(0, 1))])
 
 
 def code_widths(min_bits: int) -> np.ndarray:
@@ -116,7 +124,7 @@ def pack(runs: list[list[int]], min_bits: int = 8) -> bytes:
 
 
 def unlzw(stream: bytes, min_bits: int, n_pixels: int) -> bytes:
-    """Decodes a code stream, at most n_pixels indices; missing pixels are 0.
+    """Decodes a code stream, at most n_pixels indices; ValueError if it ends before.
 
     Widths follow from the place after the last clear code, so the codes up to the next clear or end code
     are cut out of the bits together.
@@ -171,7 +179,9 @@ def unlzw(stream: bytes, min_bits: int, n_pixels: int) -> bytes:
                 emit(table[code])
                 size += len(table[code])
     data = b"".join(out)[:n_pixels]
-    return data + bytes(n_pixels - len(data))
+    if len(data) < n_pixels:
+        raise ValueError("the code stream ends before its pixels")
+    return data
 
 
 def sub_blocks(data: bytes) -> bytes:
@@ -207,7 +217,7 @@ def deinterlaced(indices: np.ndarray) -> np.ndarray:
 def decode_gif(data: bytes, canvases: bool = True) -> list[Frame]:
     """All frames, drawn in turn on the canvas with palettes, transparency and disposal.
 
-    Without canvases only their histograms are kept, drawn from the palettes' brightness.
+    Without canvases only their histograms are kept, and bins are drawn instead of colours.
     """
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF file")
@@ -227,8 +237,8 @@ def _decode(data: bytes, canvases: bool) -> list[Frame]:
         at += 3 * n
     empty = shared[background] if flags & 0x80 and background < len(shared) else np.zeros(3, np.uint8)
     # Without canvases the drawing is of histogram bins.
-    tone = (lambda colours: colours) if canvases else brightness_bins
-    canvas = np.empty((height, width, 3) if canvases else (height, width), np.uint8)
+    tone = (lambda colours: colours) if canvases else colour_bins
+    canvas = np.empty((height, width, 3), np.uint8) if canvases else np.empty((height, width), np.uint16)
     canvas[:] = empty = tone(empty)
     delay, disposal, transparent = 0, 0, -1
 
@@ -262,11 +272,16 @@ def _decode(data: bytes, canvases: bool) -> list[Frame]:
             area = canvas[y : y + h, x : x + w]
             seen = indices[: area.shape[0], : area.shape[1]]
             tones = tone(palette)
-            colours = tones[seen if len(tones) == 256 else np.minimum(seen, len(tones) - 1)]
             hidden = seen == transparent if transparent >= 0 else None
+            if len(tones) < 256:
+                outside = seen >= len(tones)
+                if (outside if hidden is None else outside & ~hidden).any():
+                    raise ValueError("a code outside the palette")
+                seen = np.where(outside, 0, seen)
+            colours = tones[seen]
             area[:] = colours if hidden is None else np.where(hidden[..., None] if canvases else hidden, area, colours)
-            histogram = np.bincount((brightness_bins(canvas) if canvases else canvas).ravel(), minlength=BINS)
-            frames.append(Frame(indices, x, y, delay, disposal, transparent, t, histogram, canvas.copy() if canvases else None))
+            counts = histograms(colour_bins(canvas) if canvases else canvas)
+            frames.append(Frame(indices, x, y, delay, disposal, transparent, t, counts, canvas.copy() if canvases else None))
             t += delay
             if disposal == 2:
                 canvas[y : y + h, x : x + w] = empty
@@ -294,7 +309,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([encode_gif(payload_of(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return persisted(rows.mapInArrow(encode, "doc_id long, n_bytes long, media binary"), "gif")
+    return persisted(rows.mapInArrow(encode, "doc_id long, n_bytes long, media binary"), "gif", keep=True)
 
 
 def decode_media(media: DataFrame) -> DataFrame:
@@ -306,7 +321,7 @@ def decode_media(media: DataFrame) -> DataFrame:
     names = [f.name for f in media.schema]
     if "media" not in names:
         raise ValueError("a media column is needed")
-    frame = pa.struct([("frame", pa.int32()), ("t_ms", pa.int64()), ("delay_ms", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("w", pa.int32()), ("h", pa.int32()), ("disposal", pa.int32()), ("transparent", pa.int32()), ("histogram", pa.list_(pa.int32()))])
+    frame = pa.struct([("frame", pa.int32()), ("t_ms", pa.int64()), ("delay_ms", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("w", pa.int32()), ("h", pa.int32()), ("disposal", pa.int32()), ("transparent", pa.int32()), *((c, pa.list_(pa.int32())) for c in ("red", "green", "blue"))])
     kinds = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("frames", pa.list_(frame))]
 
     def row(data: bytes | None) -> tuple:
@@ -323,7 +338,7 @@ def decode_media(media: DataFrame) -> DataFrame:
             hashlib.sha256(payload).hexdigest(),
             zlib.crc32(payload[-64:]),
             *own,
-            [{"frame": k, "t_ms": f.t_ms, "delay_ms": f.delay_ms, "x": f.x, "y": f.y, "w": f.indices.shape[1], "h": f.indices.shape[0], "disposal": f.disposal, "transparent": f.transparent, "histogram": f.histogram} for k, f in enumerate(frames)],
+            [{"frame": k, "t_ms": f.t_ms, "delay_ms": f.delay_ms, "x": f.x, "y": f.y, "w": f.indices.shape[1], "h": f.indices.shape[0], "disposal": f.disposal, "transparent": f.transparent, **dict(zip(("red", "green", "blue"), f.histograms, strict=True))} for k, f in enumerate(frames)],
         )
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,8 +355,9 @@ def decode_media(media: DataFrame) -> DataFrame:
 
 
 def media_table(docs: DataFrame) -> DataFrame:
-    """The digest of each document's media; feature: frames, duration and the brightness histogram over all frames."""
-    sums = F.expr(f"transform(sequence(0, {BINS - 1}), b -> aggregate(frames, 0L, (s, f) -> s + f.histogram[b]))")
+    """The digest of each document's media, its frames, and feature: their number, duration and summed histograms."""
+    sums = [F.expr(f"transform(sequence(0, {BINS - 1}), b -> aggregate(frames, 0L, (s, f) -> s + f.{c}[b]))") for c in ("red", "green", "blue")]
     last = F.element_at("frames", -1)
-    feature = F.concat_ws(";", F.concat(F.lit("frames="), F.size("frames")), F.concat(F.lit("ms="), last["t_ms"] + last["delay_ms"]), F.concat(F.lit("hist="), F.array_join(sums.cast("array<string>"), ",")))
-    return decode_media(store_media(docs)).withColumn("feature", feature).drop("frames")
+    told = [F.concat(F.lit(f"{c}="), F.array_join(x.cast("array<string>"), ",")) for c, x in zip("rgb", sums, strict=True)]
+    feature = F.concat_ws(";", F.concat(F.lit("frames="), F.size("frames")), F.concat(F.lit("ms="), last["t_ms"] + last["delay_ms"]), *told)
+    return decode_media(store_media(docs)).withColumn("feature", feature)
