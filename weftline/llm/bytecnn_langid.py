@@ -199,12 +199,13 @@ def identify(docs: DataFrame, model: ByteCNN | None, text_col: str = "text", lan
     """Adds the predicted language and its probability to all columns of docs."""
     text = F.col(text_col)
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    guess = docs.withColumn("__guess", predictor(model)(text))
-    return (
-        guess.withColumn(lang_col, F.when(letters, F.col("__guess.lang")).otherwise(UNKNOWN))
-        .withColumn(score_col, F.when(letters, F.col("__guess.score")).otherwise(F.lit(0.0)))
-        .drop("__guess")
-    )
+    name = "guess"
+    while name in docs.columns:
+        name += "_"
+    guess = docs.withColumn(name, predictor(model)(text))
+    lang = F.when(letters, F.col(f"{name}.lang")).otherwise(UNKNOWN)
+    score = F.when(letters, F.col(f"{name}.score")).otherwise(F.lit(0.0))
+    return guess.withColumn(lang_col, lang).withColumn(score_col, score).drop(name)
 
 
 def language_table(docs: DataFrame) -> DataFrame:
