@@ -185,11 +185,54 @@ def test_contamination_against_all_pairs(spark):
     assert kept == {d for d, *_ in docs} - {d for d, _ in got}
 
 
+def with_edits(rng, words, n):
+    """Exactly n edits, each of one word."""
+    found = list(words)
+    for _ in range(n):
+        at = rng.randrange(len(found))
+        kind = rng.randrange(3)
+        found[at : at + (kind < 2)] = [] if kind == 1 else [f"new{rng.randrange(10**6)}"]
+    return found
+
+
+def test_items_with_all_edits_allowed(spark):
+    """Recall at the limit: a fifth of the words edited, which the number of walks is derived from."""
+    rng, rows, items = random.Random(21), [], []
+    for i in range(400):
+        item = [rng.choice(VOCABULARY) + str(rng.randrange(50)) for _ in range(rng.randint(8, 90))]
+        items.append((i, " ".join(item)))
+        around = [[rng.choice(VOCABULARY) for _ in range(rng.randint(0, 120))] for _ in range(2)]
+        rows.append((i, " ".join(around[0] + with_edits(rng, item, cgk_decontam.edits_of(len(item))) + around[1]), "en", "s", 1))
+    got = {(r.doc_id, r.item_id) for r in cgk_decontam.contamination(spark.createDataFrame(rows, DOCUMENTS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((i, i) in got for i in range(400)) >= 400 * (cgk_decontam.RECALL - 0.02)
+
+
+def test_short_items_are_found_exactly(spark):
+    rng = random.Random(5)
+    few = VOCABULARY[:12]
+    items = [[rng.choice(few) for _ in range(rng.randint(1, 7))] for _ in range(60)]
+    docs = [[rng.choice(few) for _ in range(rng.randint(0, 25))] for _ in range(150)]
+    df = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(docs)], DOCUMENTS)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in cgk_decontam.contamination(df, bench).collect()}
+    want = {(d, i): n for d, t in enumerate(docs) for i, x in enumerate(items) if (n := sellers(x, t)) <= int(0.2 * len(x) + 1e-9)}
+    assert got == want and len(want) > 500
+
+
 def test_odd_contamination(spark, odd_documents, no_documents):
-    bench = spark.createDataFrame([(1, "the same few words of a text that is here"), (1, "the same few words of a text that is here"), (2, None), (3, "words"), (None, "the same few words of a text that is here")], "item_id long, text string").withColumn("doc_id", F.lit("clash"))
-    got = sorted((r.doc_id, r.item_id, r.distance) for r in cgk_decontam.contamination(odd_documents, bench).collect())
-    assert got == [(4, 1, 0), (5, 1, 0)]
-    assert cgk_decontam.clean(odd_documents, bench).count() == 7
+    text = "the same few words of a text that is here"
+    bench = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "words"), (None, "few words of a text"), (4, " ")], "item_id long, text string").withColumn("doc_id", F.lit("clash")).withColumn("digest", F.lit(1))
+    odd = odd_documents.withColumn("item", F.lit(1)).withColumn("digest", F.lit(2)).withColumn("key", F.lit(3))
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in cgk_decontam.contamination(odd, bench).collect())
+    assert got == [(4, 1, 0), (4, 3, 0), (5, 1, 0), (5, 3, 0)]
+    # The row without an identifier holds an item too; null texts and rows with one identifier stay by their texts.
+    kept = cgk_decontam.clean(odd, bench)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect()) == [(False, 0), (True, -9), (True, 1), (True, 2), (True, 3), (True, 9_000_000_000)]
+    twice = spark.createDataFrame([(7, text), (7, "nothing of that kind")], "doc_id long, text string")
+    assert [r.text for r in cgk_decontam.clean(twice, bench).collect()] == ["nothing of that kind"]
+    nameless = bench.where("item_id IS NULL")
+    assert cgk_decontam.contamination(odd, nameless).count() == 0 and cgk_decontam.clean(odd, nameless).count() == odd.count() - 3
     assert cgk_decontam.contamination(no_documents, bench).count() == 0 and cgk_decontam.contamination(odd_documents, bench.limit(0)).count() == 0
 
 

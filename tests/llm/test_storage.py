@@ -55,8 +55,10 @@ def test_token_table(spark, tokenizer, odd_documents):
 
 def test_lookup(spark, tokenizer, odd_documents, no_documents):
     manifest = sstable_tokens.write_sstables(odd_documents, sstable_tokens.default_tokenizer(), shared_dir(spark, "test"), shards=4)
-    found = sstable_tokens.lookup(manifest, [4, -9, 77]).collect()
-    assert sorted(r.doc_id for r in found) == [-9, 4, 4]
+    found = sstable_tokens.lookup(manifest, [4, -9, 77, None]).collect()
+    assert sorted(r.doc_id for r in found if r.doc_id is not None) == [-9, 4, 4] and sum(r.doc_id is None for r in found) == 2
+    ends = [(r["first"], r["last"]) for r in manifest.orderBy("shard").collect()]
+    assert ends[0][0] is None and ends[-1][1] == 9_000_000_000 and len(ends) > 1
     assert next(r.ids for r in found if r.doc_id == -9) == [*tokenizer.encode("!!! ??? 123", add_special_tokens=False).ids, 1]
     assert sstable_tokens.token_table(no_documents).count() == 0
 
@@ -89,6 +91,25 @@ def test_archives_equal_the_sql(spark):
     assert warc_bundles.archive_table(pages.limit(0)).count() == 0
 
 
+def test_identifiers_are_unique(spark):
+    rows = [(1, None, "x" * 100)] * 3 + [(2, None, "x" * 100)] * 2 + [(None, None, "x" * 100)] * 2
+    index = warc_bundles.write_bundles(spark.createDataFrame(rows, PAGES), shared_dir(spark, "test")).collect()
+    assert len({r.record_id for r in index}) == len(index) == 7
+    named = set()
+    for r in index:
+        reader = warc_bundles.BundleReader(r.path)
+        headers = next(warc_bundles.parse_records(reader.record(r.frame, r.offset, r.length)))[2]
+        named.add(headers.get("WARC-Refers-To"))
+    assert named - {None} < {r.record_id for r in index if r.page_id == 1} and len(named) == 2
+
+
+def test_runs_of_frames(spark, monkeypatch):
+    monkeypatch.setattr(warc_bundles, "FRAME_BYTES", 500)
+    rows = [(i, "u", f"{i % 7} " * (60 + i % 5)) for i in range(300)]
+    pages = spark.createDataFrame(rows, PAGES).coalesce(1)
+    assert sorted(r.page_id for r in warc_bundles.archive_table(pages).collect()) == list(range(300))
+
+
 def test_records_by_index(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * 30_000) for i in range(9)], PAGES)
     index = warc_bundles.write_bundles(pages.coalesce(1), shared_dir(spark, "test")).collect()
@@ -109,12 +130,50 @@ def test_gif_round_trip():
             assert gif_media.unlzw(gif_media.pack(list(gif_media.lzw_codes(data))), 8, n) == data
 
 
-def test_gif_against_another_reader(tmp_path):
-    image = pytest.importorskip("PIL.Image")
-    data = bytes(range(256)) * 64
-    (tmp_path / "x.gif").write_bytes(gif_media.encode_gif(data))
-    with image.open(tmp_path / "x.gif") as im:
-        assert im.n_frames == 2 and im.convert("L").tobytes() == data[: 64 * 128]
+def plain_indices(data):
+    """All frames' indices by the plainest reading: one bit string, one code at a time."""
+    flags, at, frames = data[10], 13, []
+    at += 3 * (2 << (flags & 7)) if flags & 0x80 else 0
+    while data[at] != 0x3B:
+        kind = data[at]
+        at += 2 if kind == 0x21 else 10
+        if kind == 0x2C:
+            width, height = (int.from_bytes(data[at - 5 + k : at - 3 + k], "little") for k in (0, 2))
+            assert not data[at - 1] & 0xC0
+            bits_0, at = data[at], at + 1
+        body = b""
+        while data[at]:
+            body += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        if kind != 0x2C:
+            continue
+        stream = "".join(format(b, "08b")[::-1] for b in body)
+        out, table, place, bits, last = b"", None, 0, bits_0 + 1, None
+        while True:
+            code = int(stream[place : place + bits][::-1], 2)
+            place += bits
+            if code == 1 << bits_0:
+                table, bits, last = [bytes([i]) for i in range(1 << bits_0)] + [None, None], bits_0 + 1, None
+                continue
+            if code == (1 << bits_0) + 1:
+                break
+            word = table[code] if code < len(table) else last + last[:1]
+            if last is not None and len(table) < 4096:
+                table.append(last + word[:1])
+            if len(table) == 1 << bits and bits < 12:
+                bits += 1
+            out, last = out + word, word
+        assert len(out) == width * height
+        frames.append(out)
+    return frames
+
+
+def test_gif_against_a_plain_reader():
+    rng = random.Random(7)
+    for data in (bytes(range(256)) * 64, bytes(rng.randrange(256) for _ in range(12_800)), bytes([7]) * 640, (b"some words and more words " * 900)[:20_480]):
+        frames = plain_indices(gif_media.encode_gif(data))
+        assert b"".join(frames) == data and all(len(f) <= 64 * 128 for f in frames)
 
 
 def graphic(disposal, transparent=None, delay=5):
@@ -142,7 +201,8 @@ def test_palettes_transparency_and_disposal():
     assert seen == [[red] * 4, [red, green, green, red], [white, red, red, red], [black, red, red, white]]
     assert [(f.t_ms, f.delay_ms) for f in frames] == [(0, 50), (50, 50), (100, 70), (170, 50)]
     for f, g in zip(frames, gif_media.decode_gif(head + b"".join(parts) + b"\x3b", canvases=False), strict=True):
-        assert f.histogram.tolist() == g.histogram.tolist() and f.histogram.sum() == 4
+        assert f.histograms.tolist() == g.histograms.tolist() and f.histograms.sum(axis=1).tolist() == [4, 4, 4]
+        assert [h[15] for h in g.histograms.tolist()] == [sum(c[k] == 255 for c in f.canvas.reshape(-1, 3).tolist()) for k in range(3)]
 
 
 def test_interlacing_and_damage():
@@ -150,7 +210,10 @@ def test_interlacing_and_damage():
     rows = [0, 8, 4, 2, 6, 1, 3, 5, 7, 9]
     frame = gif_media.decode_gif(head + picture(0, 0, 1, 10, [r % 4 for r in rows], None, True) + b"\x3b")[0]
     assert frame.indices.ravel().tolist() == [r % 4 for r in range(10)]
-    for bad in (b"", b"PNG", gif_media.encode_gif(bytes(64))[:-30], head):
+    short = gif_media.pack(list(gif_media.lzw_codes(bytes(9), 2)), 2)
+    early = b"\x2c" + b"".join(v.to_bytes(2, "little") for v in (0, 0, 1, 10)) + b"\0\x02" + gif_media.sub_blocks(short)
+    beyond = picture(0, 0, 1, 1, [3], [(0, 0, 0), (9, 9, 9)] * 2).replace(b"\x81" + bytes((0, 0, 0, 9, 9, 9)), b"\x80")
+    for bad in (b"", b"PNG", gif_media.encode_gif(bytes(64))[:-30], head, head + early + b"\x3b", head + beyond + b"\x3b"):
         with pytest.raises(ValueError):
             gif_media.decode_gif(bad)
 
@@ -166,6 +229,9 @@ def test_media_table(spark, odd_documents, no_documents):
     of = {}
     for r in got:
         assert of.setdefault(r.payload_sha256, (r.media_bytes, r.media_sha256, r.feature)) == (r.media_bytes, r.media_sha256, r.feature)
+    for r in got:
+        shown = sum(64 * min(128, r.payload_bytes // 64) for _ in r.frames)
+        assert [sum(sum(f[c]) for f in r.frames) for c in ("red", "green", "blue")] == [shown] * 3 and sum(f.w * f.h for f in r.frames) == r.payload_bytes
     assert gif_media.media_table(no_documents).count() == 0
     bad = spark.createDataFrame([(1, bytearray(b"no")), (2, None)], "k long, media binary")
     assert [(r.k, r.media_bytes, r.frames) for r in gif_media.decode_media(bad).orderBy("k").collect()] == [(1, 2, None), (2, None, None)]

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -36,6 +37,32 @@ def test_segments_are_all_maximal_ones():
         assert [(a, b, round(t, 6)) for a, b, t in got] == maximal(scores)
 
 
+def test_segments_take_linear_time():
+    """Ten times the hits take about ten times as long, however far apart they are."""
+    for gap in (2, 100):
+        took = []
+        for n in (20_000, 200_000):
+            hits = [(gap * i, 2.0) for i in range(n)]
+            began = time.process_time()
+            toxicity.segments(hits)
+            took.append(time.process_time() - began)
+        assert took[1] < 40 * took[0]
+
+
+def test_unrelated_texts_stay_in_the_sample(spark):
+    """Only copies go: common words, and even a shared passage, make none."""
+    rng = random.Random(15)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+    passage = rng.choices(words, weights, k=40)
+    texts = [rng.choices(words, weights, k=200) for _ in range(300)]
+    rows = [(" ".join(t), 0) for t in texts] + [(" ".join(passage + t[:160]), 0) for t in (rng.choices(words, weights, k=160) for _ in range(100))]
+    copies = [(" ".join([w if rng.random() > 0.02 else "changed" for w in t]), 1) for t in texts[:100]] + [(" ".join(texts[0]), 1)]
+    kept = {r.text: r.toxic for r in toxicity.without_copies(spark.createDataFrame(rows + copies, "text string, toxic int")).collect()}
+    assert 400 <= len(kept) <= 402 and sum(t in kept for t, _ in rows[300:]) == 100
+    assert kept.get(" ".join(texts[0]), 1) == 1
+
+
 def test_extreme_values():
     scores, shares = np.array([-0.25, 5.0]), np.array([0.999, 0.001])
     lam, k = toxicity.extreme_values(scores, shares)
@@ -131,6 +158,103 @@ def test_main_text():
     assert tree_extract.main_text(plain) == "Long enough, with commas, to be text.\nMore."
 
 
+def random_tree(rng, depth=0):
+    """A nested page part without the elements that are left out, and its plain form (tag, parts)."""
+    tag = rng.choice(["div", "section", "p", "a", "span", "article", "td", "li", "h2"] if depth else ["div"])
+    parts = []
+    for _ in range(rng.randint(0, 4 if depth < 5 else 1)):
+        if rng.random() < 0.45 or depth > 5 or tag in ("p", "h2", "a"):
+            parts.append(" ".join(rng.choice(["word", "and,", "more"]) for _ in range(rng.randint(0, 30))))
+        else:
+            parts.append(random_tree(rng, depth + 1))
+    return tag, parts
+
+
+def built(tree, parent):
+    node = tree_extract.Node(tree[0], parent)
+    node.children = [t if isinstance(t, str) else built(t, node) for t in tree[1]]
+    return node
+
+
+def text_of(tree):
+    return sum(len(t.strip()) if isinstance(t, str) else text_of(t)[0] for t in tree[1]), sum(t.count(",") if isinstance(t, str) else text_of(t)[1] for t in tree[1])
+
+
+def links_of(tree):
+    return text_of(tree)[0] if tree[0] == "a" else sum(0 if isinstance(t, str) else links_of(t) for t in tree[1])
+
+
+def plain_points(tree, root):
+    """Points of every element by the rule itself: look at each block below, and how far down it is."""
+    found = []
+
+    def blocks_below(t, level):
+        chars, commas = text_of(t)
+        own = "".join(x for x in t[1] if isinstance(x, str)).strip()
+        paragraph = t[0] in tree_extract.PARAGRAPHS
+        if not paragraph:
+            chars, commas = (len(own), own.count(",")) if t[0] in tree_extract.BLOCK else (0, 0)
+        if chars:
+            density = links_of(t) / text_of(t)[0] if text_of(t)[0] else 0
+            points = (1 + commas + min(chars / 100, 3)) * (1 - density)
+            if level == 0 and not paragraph:
+                yield points
+            elif 1 <= level <= 5:
+                yield points * [1, 1 / 2, 1 / 4, 1 / 6, 1 / 8][level - 1]
+        for x in t[1]:
+            if not isinstance(x, str):
+                yield from blocks_below(x, level + 1)
+
+    def visit(t):
+        found.append(sum(blocks_below(t, 0)))
+        for x in t[1]:
+            if not isinstance(x, str):
+                visit(x)
+
+    visit(tree)
+    return found
+
+
+def test_scores_against_a_recursive_scorer():
+    rng = random.Random(12)
+    for _ in range(200):
+        tree = random_tree(rng)
+        root = tree_extract.Node("#root", None)
+        root.children = [built(tree, root)]
+        got = [n.points for n in tree_extract.score(root)[1:]]
+        assert got == pytest.approx(plain_points(tree, tree))
+
+
+def generated_page(rng):
+    """A page without article elements, and its text."""
+    words = lambda n: " ".join(rng.choice(["the", "river", "ran,", "past", "old", "mills"]) for _ in range(n))
+    wrap = rng.choice([("<div class='main-content'>", "</div>"), ("<form action='/post'>", "</form>"), ("<div class='page with-sidebar'>", "</div>"), ("<div class='paywall'>", "</div>"), ("", "")])
+    parts = [f"{words(rng.randint(20, 60))}." for _ in range(rng.randint(3, 8))]
+    menu = "".join(f"<li><a href='/{i}'>{words(2)}</a></li>" for i in range(8))
+    body = f"<nav><ul>{menu}</ul></nav><div class='ad'>{words(8)}</div>{wrap[0]}<div id='text'>" + "".join(f"<p>{t}</p>" for t in parts) + f"</div><input name='q'>{wrap[1]}"
+    body += f"<div class='comments'>{'<p>' + words(40) + '</p>'}</div><div><ul>{menu}</ul></div><div class='cookie-notice'>{words(9)}</div><footer>{words(6)}</footer>"
+    return f"<html><head><title>{words(3)}</title></head><body>{body}</body></html>", "\n".join(parts)
+
+
+def test_pages_without_articles():
+    rng = random.Random(13)
+    for _ in range(150):
+        html, text = generated_page(rng)
+        assert tree_extract.main_text(html) == text
+
+
+def test_wrappers_and_nested_articles():
+    text = "Long enough, with commas, to be text."
+    for html in (
+        f"<body class='sidebar-left'><form><article><h1>T</h1><p>{text}</p></article><p>Join, us</p></form></body>",
+        f"<div class='has-comments'><article><div class='header'><h1>T</h1></div><p>{text}</p></article></div>",
+        f"<main><article><h1>T</h1><p>{text}</p></article><article class='comment'><p>{text * 9}</p></article></main>",
+    ):
+        assert tree_extract.main_text(html).removesuffix("\nJoin, us") == f"T\n{text}"
+    outer = f"<article><h1>Home</h1><p>Short, intro.</p><article><h2>T</h2><p>{text}</p><p>{text}</p></article></article>"
+    assert tree_extract.main_text(outer).endswith(f"T\n{text}\n{text}")
+
+
 @pytest.mark.parametrize("html, text", [(None, ""), ("", ""), ("just words", "just words"), ("<p>a<p>b", "a\nb"), ("<div>" * 3000 + "deep, text", "deep, text"), ("<p>x &amp", "x &"), ("<article></article>", ""), ("<nav>a</nav>", ""), ("</p></div>x", "x")])
 def test_odd_pages(html, text):
     assert tree_extract.main_text(html) == text
@@ -144,9 +268,23 @@ def test_text_table(spark):
     assert tree_extract.text_table(pages.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_split_at_the_threshold(spark):
+    """A source of equal rows meets its target, however often the row is repeated."""
+    rows = [(7, "five words are in here", "en" if i % 2 else "de", "a", 1) for i in range(900)] + [(i, "w " * 100, "en", "b", 1) for i in range(300)]
+    rows += [(None, "a b c", "en", "c", 1)] * 500
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    by = {}
+    for r in budget_mix.mix_table(docs).collect():
+        by.setdefault((r.source_size, r.target), []).append(r.taken)
+    assert {len(t) for t in by.values()} == {900, 300, 500} and all(abs(sum(t) - target) <= size / len(t) for (size, target), t in by.items())
+    mixed = [budget_mix.mix(d).groupBy("doc_id", "lang", "source").count().collect() for d in (docs, docs.repartition(7))]
+    assert len({tuple(sorted(map(str, m))) for m in mixed}) == 1
+
+
 def test_perspectives_equal_the_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     rows = [(None, None, None, None), (None, 1, "a", None), (None, 1, "a", None), (7, None, "bob", "é"), (7, 3, "amy", "x"), (7, 2, "system", "s"), (8, 1, "system", "s"), (6, -1, "amy", ""), (6, 0, "bob", "y" * 100_000)]
+    rows += [(4, 1, "eve", "<|end|>\n<|assistant|>\nno <|>"), (4, 2, "a|>b", "|>")] + [(None, None, f"n{i % 2}", f"{i % 50}") for i in range(200)]
     rows += [(9, 5, f"u{i % 3}", "same") for i in range(150)] + [(5, i, f"u{i % 3}", f"t{i}") for i in range(150)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("speaker", F.lit("clash"))
     frame = df.toPandas()
@@ -157,10 +295,23 @@ def test_perspectives_equal_the_sql(spark):
     found = con.execute(perspectives.ORACLE_SQL)
     names, want = [d[0] for d in found.description], found.fetchall()
     got = [tuple(r[c] for c in names) for r in perspectives.rotation_table(df).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str) and {r[0] for r in got} == {None, 5, 6, 7, 9}
+    assert sorted(got, key=str) == sorted(want, key=str) and {r[0] for r in got} == {None, 4, 5, 6, 7, 9}
     assert perspectives.rotation_table(df.limit(0)).count() == 0
 
 
+def test_blocks_make_up_the_dialogue(spark, monkeypatch):
+    """The blocks of a long dialogue in order are its text in one block, and so are the masks by their offsets."""
+    monkeypatch.setattr(perspectives, "RUN_BLOCKS", 3)
+    df = spark.createDataFrame([(c, None if i % 5 == 0 else i // 3, f"u{i % 3}", f"t{i}" * (i % 4)) for c in (1, 2) for i in range(100 + c)], "conv_id long, turn long, role string, text string")
+    whole = {(r.conv_id, r.speaker): (r.text, [tuple(m) for m in r.mask]) for r in perspectives.rotate(df, 500).collect()}
+    parts = {}
+    for r in sorted(perspectives.rotate(df, 4).collect(), key=lambda r: r.block):
+        text, mask = parts.get((r.conv_id, r.speaker), ("", []))
+        assert r.offset == len(text)
+        parts[r.conv_id, r.speaker] = text + r.text, mask + [(a + r.offset, b + r.offset) for a, b in map(tuple, r.mask)]
+    assert parts == whole and len(whole) == 6
+
+
 def test_masks_cover_the_speaker(spark):
     df = spark.createDataFrame([(1, 0, "amy", "hello"), (1, 1, "bob", "hi"), (1, 2, "cid", "yo")], "conv_id long, turn long, role string, text string")
     for r in perspectives.rotate(df).collect():
@@ -211,7 +362,6 @@ def test_mix(spark, odd_documents, no_documents):
         by.setdefault((r.source_size, round(r.target, 6)), []).append(r.taken)
         assert r.taken <= 2 * r.size
     assert set(by) == {(sum(n), round(want[s], 6)) for s, n in sizes.items()}
-    # Rows that are repeated stand or fall together.
     # The source with one text of 120,000 words can come no nearer than half of it.
     assert all(abs(sum(t) - target) <= (60_000 if max(t) > 1000 or size > 100_000 else 14) for (size, target), t in by.items())
     again = budget_mix.mix_table(docs.repartition(5)).collect()
