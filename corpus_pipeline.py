@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import budget_mix, bytecnn_langid, cgk_decontam, omh_dedup, sstable_tokens
-from weftline.llm.common import persisted, table
+from weftline.llm.common import scratch, shared_dir, table
 
 #: Below this probability of the best language a text counts as being in none of the learned ones.
 MIN_LANGUAGE_SCORE = 0.35
@@ -21,8 +21,9 @@ MIN_LANGUAGE_SCORE = 0.35
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language learned from the labelled ones outside the held-out fold."""
-    found = bytecnn_langid.identify(docs, bytecnn_langid.fit(docs), lang_col="__lang", score_col="__score")
-    return found.where((F.col("__lang") != bytecnn_langid.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # whatever its columns are called
+    found = bytecnn_langid.identify(docs.select(row), bytecnn_langid.fit(docs), text_col="row.text")
+    return found.where((F.col("lang_pred") != bytecnn_langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +59,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage wrote for itself is deleted with its end, its result and the shards stay."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = persisted(stage(spark, docs, sf_dir), "stage-" + name.lower().replace(" ", "-"))
+        path = shared_dir(spark, "stage-" + name.lower().replace(" ", "-"))
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
