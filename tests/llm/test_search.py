@@ -2,6 +2,8 @@
 
 import os
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -236,27 +238,106 @@ def test_odd_contamination(spark, odd_documents, no_documents):
     assert cgk_decontam.contamination(no_documents, bench).count() == 0 and cgk_decontam.contamination(odd_documents, bench.limit(0)).count() == 0
 
 
+def test_one_of_each_class_is_kept(spark):
+    """Rows are told apart by their texts, whatever their identifiers, and the row kept is always the same."""
+    text, near = " ".join(VOCABULARY[:120]), " ".join(VOCABULARY[:118])
+    other, lone = " ".join(VOCABULARY[60:180]), " ".join(VOCABULARY[100:])
+    rows = [(1, text, "x"), (1, other, "x"), (2, near, "x"), (None, near, "x"), (None, lone, "x"), (None, lone, "y"), (3, lone + " end", "x"), (None, None, "x"), (None, None, "x"), (1, text, "a"), (1, text, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("digest", F.lit(0)).withColumn("node", F.lit(0)).withColumn("class", F.lit(0))
+    kept = [sorted((str(r.doc_id), r.text or "", r.source) for r in omh_dedup.keep_one(d).collect()) for d in (docs, docs.repartition(3))]
+    assert kept[0] == kept[1]
+    assert [r[:2] for r in kept[0]] == sorted([("1", text), ("1", other), ("3", lone + " end"), ("None", ""), ("None", "")])
+    found = {(r.doc_id, r.class_id) for r in omh_dedup.classes(docs).collect()}
+    assert found == {(1, 1), (2, 1), (None, 1), (None, 3), (3, 3), (None, None)}
+
+
+def brute_classes(texts):
+    """The class of each distinct text, by comparing all pairs whose shingle sets allow it."""
+    texts = sorted(set(texts))
+    runs = [omh_dedup.shingles(hashed_words([t])[0]) for t in texts]
+    sets, parent = [set(r.tolist()) for r in runs], list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.5 * min(len(sets[i]), len(sets[j])) > 0 and omh_dedup.similarity(runs[i], runs[j]) >= 0.8:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return {t: root(i) for i, t in enumerate(texts)}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
-def test_pipeline(spark):
-    """Each stage against what its operator says of the same input, and the end against the mixed documents."""
+def test_pipeline_against_brute_force(spark):
+    """Every stage's result from its own input by plain means: all pairs, all items, the tokenizer itself."""
+    tokenizers = pytest.importorskip("tokenizers")
     import corpus_pipeline as P
+    from weftline.llm.budget_mix import targets
     from weftline.llm.common import persisted, table
+    from weftline.llm.sstable_tokens import default_tokenizer
 
     sf = "/root/testdata/sf0.001"
-    docs, kept = table(spark, sf, "documents"), {}
-    for name, stage in P.STAGES:
-        docs = persisted(stage(spark, docs, sf), "test")
-        kept[name] = docs
+    docs, stages = table(spark, sf, "documents"), []
+    for _, stage in P.STAGES:
+        after = persisted(stage(spark, docs, sf), "test")
+        stages.append((docs.collect(), after.collect(), after.columns))
+        docs = after
     columns = table(spark, sf, "documents").columns
-    assert [d.columns for d in list(kept.values())[:4]] == [columns] * 4
-    one = kept["near duplicates"]
-    assert one.count() == omh_dedup.classes(kept["language ID"]).select("class_id").distinct().count() == one.select("doc_id").distinct().count()
-    assert cgk_decontam.contamination(kept["decontamination"], table(spark, sf, "benchmark")).count() == 0
-    assert 0 < kept["decontamination"].count() < one.count()
-    counts = lambda df: {(r.doc_id, r["count"]) for r in df.groupBy("doc_id").count().collect()}
-    assert counts(kept["mixing"]) == counts(docs)
-    total = docs.orderBy(F.desc("start")).first()
-    assert total.start + total.n_tokens == docs.agg(F.sum("n_tokens")).first()[0]
+    assert [c for *_, c in stages[:4]] == [columns] * 4
+
+    before, after, _ = stages[0]
+    assert set(after) <= set(before) and {r for r in before if r.text and len(r.text) > 400} <= set(after)
+    assert not any(r.text is None or not any(c.isalpha() for c in r.text) for r in after)
+
+    before, after, _ = stages[1]
+    classes = brute_classes(r.text for r in before)
+    first = {}
+    for r in before:
+        first[classes[r.text]] = min(first.get(classes[r.text], (r.doc_id, r.text)), (r.doc_id, r.text))
+    assert sorted((r.doc_id, r.text) for r in after) == sorted(first.values())
+
+    before, after, _ = stages[2]
+    items = [hashed_words([r.text])[0].tolist() for r in table(spark, sf, "benchmark").collect()]
+    dirty = {r.doc_id for r in before if any(cgk_decontam.best_match(i, hashed_words([r.text])[0].tolist())[0] <= cgk_decontam.edits_of(len(i)) for i in items if i)}
+    assert dirty and {r.doc_id for r in after} == {r.doc_id for r in before} - dirty
+
+    before, after, _ = stages[3]
+    size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    sources = sorted({r.source for r in before}, key=lambda x: (x is None, x or ""))
+    words = {x: sum(size(r) for r in before if r.source == x) for x in sources}
+    largest = {x: max(size(r) for r in before if r.source == x) for x in sources}
+    for x, target in targets(words).items():
+        assert abs(sum(size(r) for r in after if r.source == x) - target) <= largest[x]
+    assert all(after.count(r) <= 2 * before.count(r) for r in before) and set(after) <= set(before)
+
+    before, after, _ = stages[4]
+    tokenizer, start, want = tokenizers.Tokenizer.from_file(default_tokenizer()), 0, []
+    for r in sorted(before, key=lambda r: r.doc_id):
+        ids = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        want.append((r.doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in after) == want
+
+
+def test_pipeline_of_odd_documents(spark, odd_documents, no_documents, tmp_path):
+    """Nulls, long and empty texts, repeated rows and clashing columns pass all stages; so does an empty table."""
+    import corpus_pipeline as P
+    from weftline.llm.common import persisted
+
+    odd = odd_documents
+    for c in ("__lang", "__score", "guess", "row", "__hash", "__row", "copies", "digest", "class", "path", "shard"):
+        odd = odd.withColumn(c, F.lit(1))
+    spark.createDataFrame([(1, "the same few words of a text that is here"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs, least in ((odd, 1), (no_documents, 0)):
+        columns = docs.columns
+        for name, stage in P.STAGES:
+            docs = persisted(stage(spark, docs, str(tmp_path)), "test")
+            assert docs.count() >= least, name
+            if name != "token shards":
+                assert docs.columns == columns
+        assert "ids_crc32" in docs.columns
 
 
 def test_every_operator_is_registered():

@@ -1,6 +1,7 @@
 """Toxicity, language identification, HTML extraction, perspectives and mixing."""
 
 import itertools
+import os
 import random
 import re
 import time
@@ -127,6 +128,49 @@ def test_language(spark, tongues, odd_documents, no_documents):
     assert bytecnn_langid.language_table(no_documents).count() == 0
 
 
+def test_gradients_are_those_of_differences():
+    """Each parameter's gradient against the loss's change when it is moved a little."""
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(1, 200, (12, 20)).astype(np.uint8), rng.integers(0, 3, 12)
+    model = bytecnn_langid.train(x, y, ["a", "b", "c"], steps=3, batch=8)
+    for name in ("embedding", "out", "out_bias"):
+        setattr(model, name, getattr(model, name).astype(np.float64))
+    model.taps, model.bias = [t.astype(np.float64) for t in model.taps], [b.astype(np.float64) for b in model.bias]
+
+    def loss():
+        hidden = []
+        for w, taps, bias in zip(bytecnn_langid.WIDTHS, model.tables(), model.bias, strict=True):
+            n = x.shape[1] - w + 1
+            hidden.append(np.maximum(sum(taps[k][x[:, k : k + n]] for k in range(w)).max(axis=1) + bias, 0))
+        p = bytecnn_langid.softmax(np.concatenate(hidden, axis=1) @ model.out + model.out_bias)
+        return -np.log(p[np.arange(len(x)), y]).mean()
+
+    params = [model.embedding, *model.taps, *model.bias, model.out, model.out_bias]
+    for p, g in zip(params, bytecnn_langid.gradients(model, x, y), strict=True):
+        for at in rng.choice(p.size, min(12, p.size), replace=False):
+            place = np.unravel_index(at, p.shape)
+            old, change = p[place], []
+            for d in (1e-6, -1e-6):
+                p[place] = old + d
+                change.append(loss())
+            p[place] = old
+            assert g[place] == pytest.approx((change[0] - change[1]) / 2e-6, abs=1e-6)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_held_out_accuracy(spark):
+    """What the queries predict of the documents that they did not learn from."""
+    from weftline.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    known = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None}
+    rude = [(r.predicted, known[r.doc_id]) for r in queries.op1_toxic_segments(spark, sf).where("held_out").collect() if r.doc_id in known]
+    assert sum(p == t for p, t in rude) >= 0.95 * len(rude) and sum(p for p, t in rude if t) >= 0.9 * sum(t for _, t in rude)
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect() if r.lang is not None}
+    said = [(r.lang_pred, lang[r.doc_id]) for r in queries.op5_bytecnn(spark, sf).where("held_out AND lang_pred <> 'und'").collect() if r.doc_id in lang]
+    assert sum(p == t for p, t in said) >= 0.97 * len(said) and len(said) > 100
+
+
 def test_windows_hold_every_byte():
     data = [b"", b"abc", b"x" * 256, b"y" * 257]
     windows, counts = bytecnn_langid.windows_of(data)

@@ -80,39 +80,43 @@ def train(windows: np.ndarray, labels: np.ndarray, classes: list[str], steps: in
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
         rows = rng.integers(0, len(windows), batch)
-        x, y = windows[rows], labels[rows]
-        tables, hidden, best = model.tables(), [], []
-        for w, taps, bias in zip(WIDTHS, tables, model.bias, strict=True):
-            n = x.shape[1] - w + 1
-            response = taps[0][x[:, :n]]
-            for k in range(1, w):
-                response += taps[k][x[:, k : k + n]]
-            place = response.argmax(axis=1)
-            best.append(place)
-            hidden.append(np.take_along_axis(response, place[:, None, :], 1)[:, 0] + bias)
-        h = np.concatenate(hidden, axis=1)
-        active = np.maximum(h, 0)
-        slope = softmax(active @ model.out + model.out_bias)
-        slope[np.arange(batch), y] -= 1
-        slope /= batch
-        back = (slope @ model.out.T) * (h > 0)
-        d_embedding, d_taps, d_bias = np.zeros_like(model.embedding), [], []
-        for i, w in enumerate(WIDTHS):
-            g, gradient = back[:, i * FILTERS : (i + 1) * FILTERS], np.zeros_like(model.taps[i])
-            for k in range(w):
-                of_byte = np.zeros((256, FILTERS), np.float32)
-                np.add.at(of_byte, (x[np.arange(batch)[:, None], best[i] + k], np.arange(FILTERS)[None, :]), g)
-                gradient[k] = model.embedding.T @ of_byte
-                d_embedding += of_byte @ model.taps[i][k].T
-            d_taps.append(gradient)
-            d_bias.append(g.sum(axis=0))
-        for p, g, m, v in zip(params, [d_embedding, *d_taps, *d_bias, active.T @ slope, slope.sum(axis=0)], first, second, strict=True):
+        for p, g, m, v in zip(params, gradients(model, windows[rows], labels[rows]), first, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
     return model
 
 
+def gradients(model: ByteCNN, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """The mean cross entropy's gradients, in the order embedding, taps, bias, out, out_bias."""
+    hidden, best = [], []
+    for w, taps, bias in zip(WIDTHS, model.tables(), model.bias, strict=True):
+        n = x.shape[1] - w + 1
+        response = taps[0][x[:, :n]]
+        for k in range(1, w):
+            response += taps[k][x[:, k : k + n]]
+        place = response.argmax(axis=1)
+        best.append(place)
+        hidden.append(np.take_along_axis(response, place[:, None, :], 1)[:, 0] + bias)
+    h = np.concatenate(hidden, axis=1)
+    active = np.maximum(h, 0)
+    slope = softmax(active @ model.out + model.out_bias)
+    slope[np.arange(len(x)), y] -= 1
+    slope /= len(x)
+    back = (slope @ model.out.T) * (h > 0)
+    d_embedding, d_taps, d_bias = np.zeros_like(model.embedding), [], []
+    for i, w in enumerate(WIDTHS):
+        g, gradient = back[:, i * FILTERS : (i + 1) * FILTERS], np.zeros_like(model.taps[i])
+        for k in range(w):
+            of_byte = np.zeros((256, FILTERS), g.dtype)
+            np.add.at(of_byte, (x[np.arange(len(x))[:, None], best[i] + k], np.arange(FILTERS)[None, :]), g)
+            gradient[k] = model.embedding.T @ of_byte
+            d_embedding += of_byte @ model.taps[i][k].T
+        d_taps.append(gradient)
+        d_bias.append(g.sum(axis=0))
+    return [d_embedding, *d_taps, *d_bias, active.T @ slope, slope.sum(axis=0)]
+
+
 class Scorer:
     """Scores windows with joint tables of two neighbouring bytes."""
 

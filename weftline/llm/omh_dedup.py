@@ -28,8 +28,8 @@ A text's links to leaders, as few as its sketches, are first contracted to about
 
 Defined results: null texts are alone in their class and named by their own doc_id; texts without words, empty
 ones too, are similar to equal texts only; rows without doc_id belong to classes like others, and the name is
-null where all of a class lack one; rows with one doc_id and different texts are classified by their texts; an
-empty table gives no rows. keep_one() keeps, of a class, the smallest doc_id, nulls last, of these the smallest
+null where all of a class lack one; rows with one doc_id and different texts are classified by their texts, and
+only then two classes may have one name; an empty table gives no rows. keep_one() keeps, of a class, the smallest doc_id, nulls last, of these the smallest
 digest, of equal rows with other columns one that their hash picks; null texts all stay.
 """
 
