@@ -73,12 +73,11 @@ def with_inputs(df: DataFrame, parts: Iterable[Compiled], order_by: list[str] |
 
 def checked(df: DataFrame, part: Compiled) -> None:
     """Raises AnalysisException where the formula doesn't fit the table; reads nothing."""
-    known = {alias: c for alias, c in part.reducers.items()}
-    known |= {alias: F.lit(True) for _, _, alias in part.members} | {alias: F.lit(0.0) for _, alias in part.ranks}
-    known |= {alias: values for _, values, _, alias in part.places}
-    reduced = df.agg(*(c.alias(a) for a, c in part.reducers.items())).schema if part.reducers else None
-    columns = {a: F.lit(None).cast(reduced[a].dataType) if reduced is not None and a in part.reducers else c for a, c in known.items()}
-    df.select(*(probe for probe, _, _ in part.members), *(values for _, values, _ in part.members)).schema  # noqa: B018
+    reduced = df.agg(F.count("*"), *(c.alias(a) for a, c in part.reducers.items())).schema
+    df.select(*(c for probe, values, _ in part.members for c in (probe, values))).schema  # noqa: B018
+    columns = {alias: F.lit(None).cast(reduced[alias].dataType) for alias in part.reducers}
+    columns |= {alias: F.lit(True) for *_, alias in part.members} | {alias: F.lit(0.0) for _, alias in part.ranks}
+    columns |= {alias: values for _, values, _, alias in part.places}
     df.withColumns(columns).select(part.column.alias("x")).schema  # noqa: B018
 
 
