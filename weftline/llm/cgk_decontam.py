@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, mixed, one_text, persisted, text_digest, text_groups
+from .common import hashed_words, mixed, persisted, text_digest, text_groups, with_texts
 
 MIN_WORDS, MIN_SIMILARITY = 8, 0.8
 RECALL, SAMPLES, BITS, SEED = 0.98, 4, 2, 47
@@ -292,11 +292,8 @@ def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
     return best, end
 
 
-def verify(pairs: DataFrame, texts: DataFrame, items: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
-    """(digest, item, distance, similarity, end_word) of the pairs (digest, item) that match.
-
-    texts: (digest, text), items: (item, wanted).
-    """
+def verify(pairs: DataFrame, docs: DataFrame, items: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
+    """(digest, item, distance, similarity, end_word) of the pairs (digest, item) that match; items: (item, wanted)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, words, there = None, [], set()
@@ -319,7 +316,7 @@ def verify(pairs: DataFrame, texts: DataFrame, items: DataFrame, least: float =
             kinds = (pa.binary(), pa.binary(), pa.int32(), pa.float64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], ["digest", "item", "distance", "similarity", "end_word"])
 
-    rows = pairs.join(items, "item").join(texts, "digest").select("digest", "item", "text", "wanted")
+    rows = with_texts(docs, pairs.join(items, "item")).select("digest", "item", "text", "wanted")
     return rows.mapInArrow(compare, "digest binary, item binary, distance int, similarity double, end_word int")
 
 
@@ -336,7 +333,7 @@ def matches(docs: DataFrame, items: DataFrame, least: float = MIN_SIMILARITY) ->
     hits = hits.withColumn("salt", F.pmod(F.hash("digest"), F.lit(SALTS)))
     salted = keys.select("key", "item", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     pairs = persisted(hits.join(salted, ["key", "salt"]).select("digest", "item").distinct(), "cgk-pairs")
-    return persisted(verify(pairs, one_text(docs, pairs.select("digest").distinct()), wanted.withColumnRenamed("text", "wanted"), least), "cgk-matches")
+    return persisted(verify(pairs, docs, wanted.withColumnRenamed("text", "wanted"), least), "cgk-matches")
 
 
 def contamination(docs: DataFrame, items: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:

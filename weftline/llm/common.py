@@ -72,15 +72,19 @@ def key_of(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
 
 
-def one_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(digest, text) of the wanted digests, one row each.
+def with_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (digest, ...) with the text of their digest, read once for each.
 
-    Of the documents with one text those with the smallest identifier are read, so that copies meet nowhere.
+    Of the documents with one text those with the smallest identifier are read, so that copies meet nowhere, and
+    one of them where that identifier is repeated.
     """
     rows = docs.select(text_digest("text").alias("digest"), key_of("doc_id").alias("key"), F.col("text").cast("string").alias("text"))
-    first = rows.select("digest", "key").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("key").alias("key"))
-    found = rows.join(persisted(first, "first"), ["digest", "key"])
-    return found.groupBy("digest", "key").agg(F.first("text").alias("text")).select("digest", "text")
+    counts = rows.select("digest", "key").join(pairs.select("digest").distinct(), "digest", "left_semi").groupBy("digest", "key").agg(F.count("*").alias("n"))
+    first = counts.groupBy("digest").agg(F.min(F.struct("key", "n")).alias("f"))
+    first = persisted(first.select("digest", F.col("f.key").alias("key"), F.col("f.n").alias("n")), "first")
+    if not first.where("n > 1").isEmpty():
+        rows = rows.join(first.select("digest", "key"), ["digest", "key"]).groupBy("digest", "key").agg(F.first("text").alias("text"))
+    return pairs.join(first.drop("n"), "digest").join(rows, ["digest", "key"]).drop("key")
 
 
 def open_fs(path: str):
