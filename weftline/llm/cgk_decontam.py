@@ -67,11 +67,16 @@ def symbols(words: np.ndarray) -> np.ndarray:
 def sampled_places(size: int, walk: int) -> np.ndarray:
     """(SAMPLES, BITS) ascending output places of a walk over the windows of a class.
 
-    A walk advances every other step, so places below 2 N (1 - 1 / 8) seldom lie beyond the window.
+    A walk advances every other step, so places below 2 N (1 - 1 / 8) seldom lie beyond the window. Places of one
+    sample lie apart, lest both show the same few words, which many texts hold.
     """
     rng = np.random.default_rng((SEED, size, walk))
-    steps = (2 << size) * 7 // 8
-    return np.array([np.sort(rng.choice(steps, BITS, replace=False)) for _ in range(SAMPLES)])
+    steps, found = (2 << size) * 7 // 8, []
+    while len(found) < SAMPLES:
+        places = np.sort(rng.choice(steps, BITS, replace=False))
+        if (np.diff(places) >= steps // 8).all():
+            found.append(places)
+    return np.array(found)
 
 
 def walk_keys(found: np.ndarray, starts: np.ndarray, size: int, walk: int) -> np.ndarray:
