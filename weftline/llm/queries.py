@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import budget_mix, bytecnn_langid, cgk_decontam, gif_media, omh_dedup, perspectives, sstable_tokens, toxicity, tree_extract, warc_bundles
+from . import budget_mix, bytecnn_langid, cgk_decontam, gif_media, level_packing, omh_dedup, perspectives, ptolemaic_kmeans, sstable_tokens, toxicity, tree_extract, warc_bundles, whitening
 from .common import table
 
 
@@ -48,6 +48,18 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable_tokens.token_table(table(spark, sf_dir, "documents"))
 
 
+def op11_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_table(table(spark, sf_dir, "embeddings"))
+
+
+def op12_level_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return level_packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+def op13_ptolemaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ptolemaic_kmeans.cluster_table(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxic_segments": op1_toxic_segments,
     "op2_order_minhash": op2_order_minhash,
@@ -59,6 +71,9 @@ QUERIES = {
     "op8_tree": op8_tree,
     "op9_budget": op9_budget,
     "op10_sstable": op10_sstable,
+    "op11_lanczos": op11_lanczos,
+    "op12_level_packing": op12_level_packing,
+    "op13_ptolemaic": op13_ptolemaic,
 }
 
 #: DuckDB SQL where SQL can express the operator on whole tables.
