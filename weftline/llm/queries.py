@@ -57,7 +57,7 @@ def op12_level_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_ptolemaic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ptolemaic_kmeans.cluster_table(table(spark, sf_dir, "embeddings"))
+    return ptolemaic_kmeans.cluster_table(table(spark, sf_dir, "embeddings")).drop("checked")
 
 
 QUERIES = {
@@ -80,4 +80,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": warc_bundles.ORACLE_SQL,
     "op6_perspectives": perspectives.ORACLE_SQL,
+    "op13_ptolemaic": ptolemaic_kmeans.oracle_sql(),
 }
