@@ -7,6 +7,11 @@ begins with `sql:` is a Spark SQL expression.
 Differences from Spark's own expressions: comparisons with null or NaN are False (`!=` True), logic is
 two-valued, `//` and `%` follow the divisor's sign, and errors at run time (division by zero, overflow,
 logarithm of a negative) give null. With pandas_inf, division by zero and logarithms give inf and NaN.
+
+A translated formula is total: whatever the rows hold, no node raises. Kinds are checked and patterns compiled at
+translation; a value of another kind is in no list, and equals nothing; a text that is compared with a date is
+read as one, and if it is none the comparison is False. A `sql:` expression is Spark's, outside ANSI mode: what
+can't be computed is null, whole numbers overflow as Java's do, and only what raises on purpose raises.
 """
 
 from __future__ import annotations
@@ -17,6 +22,9 @@ import tokenize
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +45,7 @@ class Value:
     kind: str
     literal: object = None
     is_column: bool = False
+    data_type: T.DataType | None = None  # of a column
 
 
 @dataclass
@@ -55,6 +64,7 @@ class Compiled:
     members: list[tuple[Column, Column, str]] = field(default_factory=list)
     ranks: list[tuple[Column, str]] = field(default_factory=list)
     places: list[tuple[str, Column, int, str]] = field(default_factory=list)
+    is_sql: bool = False
 
 
 UNARY: dict[str, Callable[[Column], Column]] = {
@@ -63,7 +73,7 @@ UNARY: dict[str, Callable[[Column], Column]] = {
     "exp": F.exp, "expm1": F.expm1, "log": F.log, "log10": F.log10, "log1p": F.log1p, "sqrt": F.sqrt,
 }
 LOGARITHMS = {"log": 0.0, "log10": 0.0, "log1p": -1.0}
-REDUCERS: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count}
+REDUCERS: dict[str, Callable[[Column], Column]] = {"sum": F.try_sum, "mean": F.try_avg, "min": F.min, "max": F.max, "count": F.count}
 CASTS = {"int": "bigint", "int64": "bigint", "float": "double", "float64": "double", "str": "string", "bool": "boolean"}
 
 
@@ -96,21 +106,46 @@ def prepared(text: str) -> tuple[str, dict[str, str]]:
 def whole_power(x: Column, y: Column, literal: int | None) -> Column:
     """An exact integer power: null beyond 64 bits and for negative exponents.
 
-    A literal exponent is multiplied out by squaring. One from a column takes as many factors as it says, 65 at
-    most: a larger power of anything but 0, 1 and -1 has overflowed by then, and those three only alternate.
+    Small literal exponents are multiplied out. Others are taken by squaring, the square and the product so far
+    being one value of a fold over the exponent's bits. 65 factors are enough: a larger power of anything but 0,
+    1 and -1 has overflowed by then, and those three only alternate.
     """
     one = F.lit(1).cast("bigint")
-    if literal is None:
-        factors = F.sequence(F.lit(1), F.when(y > 64, F.lit(64) + y % 2).otherwise(y).cast("int"))
-        return F.when(y == 0, F.when(x.isNotNull(), one)).when(y > 0, F.aggregate(factors, one, lambda total, _: F.try_multiply(total, x)))
-    found, square = None, x
-    while literal:
-        if literal & 1:
-            found = square if found is None else F.try_multiply(found, square)
-        literal >>= 1
-        if literal:
-            square = F.try_multiply(square, square)
-    return F.when(x.isNotNull(), one) if found is None else found
+    if literal is not None and literal < 8:
+        found = F.when(x.isNotNull(), one)
+        for i in range(literal):
+            found = F.try_multiply(found, x) if i else x
+        return found
+    y = F.lit(literal if literal <= 64 else 64 + literal % 2) if literal is not None else F.when(y > 64, F.lit(64) + y % 2).otherwise(y)
+    bits = F.array(*(F.lit(1 << i).cast("bigint") for i in range(7)))
+    start = F.struct(F.when(x.isNotNull() & (y >= 0), one).alias("total"), x.alias("square"))
+
+    def fold(found: Column, bit: Column) -> Column:
+        total = F.when(y.bitwiseAND(bit) != 0, F.try_multiply(found["total"], found["square"])).otherwise(found["total"])
+        return F.struct(total.alias("total"), F.try_multiply(found["square"], found["square"]).alias("square"))
+
+    return F.aggregate(bits, start, fold, lambda found: found["total"])
+
+
+def magnitude(x: Value) -> Column:
+    """The absolute value; null for the least whole number."""
+    return F.when(x.column < 0, F.try_subtract(F.lit(0).cast("bigint"), x.column.cast("bigint"))).otherwise(x.column.cast("bigint")) if x.kind == INT else F.abs(x.column)
+
+
+def whole_part(round_: Callable[[Column], Column], x: Column) -> Column:
+    """The floor or ceiling of a double as a double; beyond 2**53, and for NaN and infinities, the value itself."""
+    return F.when((x > -(2.0**53)) & (x < 2.0**53), round_(x).cast("double")).otherwise(x)
+
+
+def checked_pattern(pattern: str) -> str:
+    """The pattern, compiled once on the driver as Spark will compile it."""
+    context = SparkContext._active_spark_context
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(pattern)
+        except (Py4JJavaError, IllegalArgumentException) as e:
+            raise FormulaError(f"not a pattern: {pattern}") from e
+    return pattern
 
 
 class Translator:
@@ -133,12 +168,14 @@ class Translator:
         if name not in self.schema.names:
             raise FormulaError(f"unknown column: {name}")
         quoted = name.replace("`", "``")
-        return Value(F.col(f"`{quoted}`"), kind_of(self.schema[name].dataType), is_column=True)
+        return Value(F.col(f"`{quoted}`"), kind_of(self.schema[name].dataType), is_column=True, data_type=self.schema[name].dataType)
 
     def on_constant(self, node: ast.Constant) -> Value:
         kind = {bool: BOOL, int: INT, float: FLOAT, str: TEXT}.get(type(node.value))
         if kind is None:
             raise FormulaError(f"literal not supported: {node.value!r}")
+        if kind == INT and not -(1 << 63) <= node.value < 1 << 63:
+            raise FormulaError("a whole number beyond 64 bits")
         return Value(F.lit(node.value), kind, node.value)
 
     def on_unaryop(self, node: ast.UnaryOp) -> Value:
@@ -149,7 +186,9 @@ class Translator:
             raise FormulaError("a sign needs a number")
         if isinstance(node.op, ast.UAdd):
             return x
-        return Value(F.try_subtract(F.lit(0), x.column), x.kind, None if x.literal is None else -x.literal)
+        if x.literal is not None:
+            return Value(F.lit(-x.literal), x.kind, -x.literal)
+        return Value(F.try_subtract(F.lit(0).cast("bigint"), x.column.cast("bigint")) if x.kind == INT else -x.column.cast("double"), x.kind)
 
     def on_binop(self, node: ast.BinOp) -> Value:
         a, b = self.value(node.left), self.value(node.right)
@@ -173,8 +212,9 @@ class Translator:
                 if both == INT:  # floor of the exact quotient
                     rest = x % F.nullif(y, F.lit(0))
                     low = F.when((rest != 0) & ((rest < 0) != (y < 0)), 1).otherwise(0)
-                    return Value(F.try_subtract(F.call_function("div", x, F.nullif(y, F.lit(0))), low), INT)
-                return Value(F.floor(F.try_divide(x, y)).cast("double"), FLOAT)
+                    whole = F.when(y == -1, F.try_subtract(F.lit(0).cast("bigint"), x)).when(y != 0, F.call_function("div", x, F.when((y != 0) & (y != -1), y)))
+                    return Value(F.try_subtract(whole, low), INT)
+                return Value(whole_part(F.floor, F.try_divide(x, y)), FLOAT)
             case ast.Mod():
                 rest = x % F.nullif(y, F.lit(0))
                 return Value(F.when((rest != 0) & ((rest < 0) != (y < 0)), rest + y).otherwise(rest), both)
@@ -213,12 +253,32 @@ class Translator:
             found = one if found is None else found & one
         return Value(found, BOOL)
 
+    def alike(self, a: Value, b: Value) -> tuple[Column, Column] | None:
+        """Both sides as comparable columns, or None where their kinds never meet."""
+        if a.kind == b.kind != OTHER or a.kind in NUMERIC and b.kind in NUMERIC:
+            return a.column, b.column
+        if OTHER not in (a.kind, b.kind):
+            return None
+        x, y = a.data_type, b.data_type
+        if x is not None and y is not None and x == y:
+            return a.column, b.column
+        times = T.DateType | T.TimestampType | T.TimestampNTZType
+        if isinstance(x, times) and isinstance(y, times):
+            return a.column.cast("timestamp"), b.column.cast("timestamp")
+        if isinstance(x, times) and b.kind == TEXT:
+            return a.column, b.column.try_cast(x)
+        if isinstance(y, times) and a.kind == TEXT:
+            return a.column.try_cast(y), b.column
+        return None
+
     def comparison(self, op: ast.cmpop, a: Value, b: Value) -> Column:
-        if a.kind != b.kind and not (a.kind in NUMERIC and b.kind in NUMERIC) and OTHER not in (a.kind, b.kind):
+        unequal = F.lit(isinstance(op, ast.NotEq))
+        both = self.alike(a, b)
+        if both is None:
             if isinstance(op, ast.Eq | ast.NotEq):
-                return F.lit(isinstance(op, ast.NotEq))
+                return unequal
             raise FormulaError("values of different kinds have no order")
-        x, y = a.column, b.column
+        x, y = both
         plain = {ast.Eq: x == y, ast.NotEq: x != y, ast.Lt: x < y, ast.LtE: x <= y, ast.Gt: x > y, ast.GtE: x >= y}.get(type(op))
         if plain is None:
             raise FormulaError(f"comparison not supported: {type(op).__name__}")
@@ -226,7 +286,6 @@ class Translator:
         for v in (a, b):
             if v.kind == FLOAT and v.literal is None:
                 nan = F.isnan(v.column) if nan is None else nan | F.isnan(v.column)
-        unequal = F.lit(isinstance(op, ast.NotEq))
         known = F.coalesce(plain, unequal)
         return known if nan is None else F.when(nan, unequal).otherwise(known)
 
@@ -235,12 +294,16 @@ class Translator:
             values = [self.value(e) for e in node.elts]
             if any(v.literal is None for v in values):
                 raise FormulaError("a list holds literals")
-            return F.coalesce(x.column.isin([v.literal for v in values]), F.lit(False))
+            pairs = [both for v in values if (both := self.alike(x, v)) is not None]
+            return F.coalesce(x.column.isin([y for _, y in pairs]), F.lit(False)) if pairs else F.lit(False)
         other = self.value(node)
         if not other.is_column:
             raise FormulaError("membership needs a list or a column")
+        both = self.alike(x, other)
+        if both is None:
+            return F.lit(False)
         alias = f"{self.prefix}member_{len(self.members)}"
-        self.members.append((x.column, other.column, alias))
+        self.members.append((*both, alias))
         return F.coalesce(F.col(alias), F.lit(False))
 
     def on_call(self, node: ast.Call) -> Value:
@@ -275,9 +338,9 @@ class Translator:
         if name == "arctan2" and len(args) == 2:
             return Value(F.atan2(*columns), FLOAT)
         if name == "abs" and len(args) == 1:
-            return Value(F.abs(args[0].column), args[0].kind)
+            return Value(magnitude(args[0]), args[0].kind)
         if name in ("floor", "ceil") and len(args) == 1:
-            return Value((F.floor if name == "floor" else F.ceil)(columns[0]).cast("double"), FLOAT)
+            return Value(whole_part(F.floor if name == "floor" else F.ceil, columns[0]), FLOAT)
         raise FormulaError(f"unknown function: {name}")
 
     def text_method(self, x: Value, name: str, args: list) -> Value:
@@ -296,7 +359,7 @@ class Translator:
             case "replace", [str(old), str(new)]:
                 return Value(F.replace(c, F.lit(old), F.lit(new)), TEXT)
             case "contains", [str(pattern)]:
-                return Value(F.coalesce(c.rlike(pattern), F.lit(False)), BOOL)
+                return Value(F.coalesce(c.rlike(checked_pattern(pattern)), F.lit(False)), BOOL)
             case "startswith", [str(start)]:
                 return Value(F.coalesce(c.startswith(start), F.lit(False)), BOOL)
             case "slice", [int(a), int(b)] if 0 <= a <= b:
@@ -316,8 +379,11 @@ class Translator:
             return self.ordered(x, name, [self.literal(a) for a in nodes])
         if name == "fillna" and len(nodes) == 1:
             other = self.value(nodes[0])
-            clean = F.when(~F.isnan(c), c) if x.kind == FLOAT else c
-            return Value(F.coalesce(clean, other.column), x.kind)
+            both = self.alike(x, other)
+            if both is None:
+                raise FormulaError("a fill of another kind")
+            clean = F.when(~F.isnan(both[0]), both[0]) if x.kind == FLOAT else both[0]
+            return Value(F.coalesce(clean, both[1]), FLOAT if FLOAT in (x.kind, other.kind) else x.kind, data_type=x.data_type)
         if name == "astype" and len(nodes) == 1:
             wanted = nodes[0].id if isinstance(nodes[0], ast.Name) else self.literal(nodes[0])
             if wanted not in CASTS:
@@ -328,20 +394,46 @@ class Translator:
             return Value(null if name.startswith("is") else ~null, BOOL)
         args = [self.literal(a) for a in nodes]
         if x.kind in NUMERIC and name == "round" and len(args) <= 1:
-            return Value(F.bround(c, args[0] if args else 0), x.kind)  # half to even
+            digits = args[0] if args else 0
+            if type(digits) is not int or abs(digits) > 300:
+                raise FormulaError("round needs a number of digits")
+            if x.kind == INT:
+                return Value(self.rounded(c.cast("bigint"), digits), INT)
+            c = c.cast("double")  # beyond 2**53 there are no digits to round
+            return Value(F.when((c > -(2.0**53)) & (c < 2.0**53), F.bround(c, digits)).otherwise(c) if digits >= 0 else F.bround(c, digits), FLOAT)
         if x.kind in NUMERIC and name == "clip" and len(args) == 2:
-            low, high = (F.lit(a) for a in args)
-            return Value(F.when(c < low, low).when(c > high, high).otherwise(c), x.kind)
+            if any(type(a) not in (int, float) for a in args):
+                raise FormulaError("clip needs numbers")
+            both = FLOAT if x.kind == FLOAT or float in map(type, args) else INT
+            low, high = (self.on_constant(ast.Constant(a)).column for a in args)
+            return Value(F.when(c < low, low).when(c > high, high).otherwise(c), both)
         if x.kind in NUMERIC and name == "abs" and not args:
-            return Value(F.abs(c), x.kind)
+            return Value(magnitude(x), x.kind)
         raise FormulaError(f"method not supported: {name}")
 
+    @staticmethod
+    def rounded(c: Column, digits: int) -> Column:
+        """A whole number to tens, hundreds and so on, half to even; null where that doesn't fit in 64 bits."""
+        if digits >= 0:
+            return c
+        if digits < -18:
+            near = F.lit(True) if digits < -19 else c.between(-5 * 10**18, 5 * 10**18)
+            return F.when(c.isNotNull() & near, F.lit(0).cast("bigint"))
+        step, half = F.lit(10**-digits).cast("bigint"), 10**-digits // 2
+        mod = lambda x, y: F.call_function("mod", x, y)
+        rest = mod(mod(c, step) + step, step)  # from 0 on
+        floor = F.call_function("div", c, step) - F.when((c < 0) & (rest != 0), 1).otherwise(0)
+        down = (rest < half) | (rest == half) & (mod(floor, F.lit(2)) == 0)
+        return F.when(down, F.try_subtract(c, rest)).otherwise(F.try_add(c, step - rest))
+
     def ordered(self, x: Value, name: str, args: list) -> Value:
         if name == "rank":
             return Value(self.rank(x), FLOAT)
         if not self.order_by:
             raise FormulaError(f"{name} depends on the rows' order: name order_by")
         c, n = x.column, args[0] if args else 1
+        if type(n) is not int or not -(1 << 31) < n < 1 << 31:
+            raise FormulaError(f"{name} needs a whole number")
         if name != "shift" and x.kind not in NUMERIC:
             raise FormulaError(f"{name} needs numbers")
         if name == "cumsum":
@@ -366,7 +458,7 @@ class Translator:
             self.places.append((method, c, n, alias))
             return F.col(alias)
         w = Window.partitionBy(*self.partition_by).orderBy(*self.order_by)
-        return F.lag(c, n).over(w) if method == "shift" else F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return F.lag(c, n).over(w) if method == "shift" else F.try_sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def compile_formula(text: str, schema: T.StructType, *, pandas_inf: bool = False, order_by: list[str] | None = None, partition_by: list[str] | None = None, prefix: str = "__") -> Compiled:
@@ -376,12 +468,13 @@ def compile_formula(text: str, schema: T.StructType, *, pandas_inf: bool = False
     that order, and ranks are those of the whole table.
     """
     if text.lstrip().startswith("sql:"):
-        return Compiled(F.expr(text.lstrip()[4:]), OTHER)
+        return Compiled(F.expr(text.lstrip()[4:]), OTHER, is_sql=True)
     translator = Translator(schema, pandas_inf, order_by, partition_by, prefix)
-    source, translator.names = prepared(text)
     try:
-        tree = ast.parse(source, mode="eval")
-    except SyntaxError as e:
+        source, translator.names = prepared(text)
+        found = translator.value(ast.parse(source, mode="eval").body)
+    except FormulaError:
+        raise
+    except (SyntaxError, ValueError, TypeError, OverflowError, RecursionError, MemoryError) as e:
         raise FormulaError(str(e)) from e
-    found = translator.value(tree.body)
     return Compiled(found.column, found.kind, translator.reducers, translator.members, translator.ranks, translator.places)

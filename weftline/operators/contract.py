@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.config import Contract, TableSchema
 from .numbering import name_of
@@ -74,10 +76,16 @@ def foreign_keys(tables: dict[str, DataFrame], schemas: dict[str, TableSchema])
     return rest if found is None else found.unionByName(rest)
 
 
-def enum_violations(df: DataFrame, column: str, values: list[str]) -> DataFrame:
-    """(value, n) of values that aren't listed; nulls don't count."""
-    text = name_of(column).cast("string")
-    return df.where(text.isNotNull() & ~text.isin(values)).groupBy(text.alias("value")).agg(F.count("*").alias("n"))
+def enum_violations(df: DataFrame, column: str, values: list[str] | DataFrame) -> DataFrame:
+    """(value, n) of values that aren't listed; nulls don't count.
+
+    values: a list in the configuration, or a table whose first column lists them, however long it is.
+    """
+    rows = df.select(name_of(column).cast("string").alias("value")).where("value IS NOT NULL")
+    if isinstance(values, DataFrame):
+        listed = values.select(name_of(values.columns[0]).cast("string").alias("value")).where("value IS NOT NULL")
+        return rows.groupBy("value").agg(F.count("*").alias("n")).join(listed, "value", "left_anti")
+    return rows.where(~F.col("value").isin(values)).groupBy("value").agg(F.count("*").alias("n"))
 
 
 def column_order(df: DataFrame, schema: TableSchema, case_sensitive: bool = True) -> DataFrame:
@@ -152,28 +160,85 @@ def check_counts(df: DataFrame, checks: list[str]) -> DataFrame:
     return counts.select(F.inline(F.array(*(F.struct(F.lit(c).alias("check"), F.col(f"c{i}").alias("n")) for i, c in enumerate(checks)))))
 
 
+@dataclass
+class Rule:
+    """A rule of a table and what a row gives for it: an array of texts, null where the row gives nothing.
+
+    keyed: the texts are values that must not be repeated, and each repeated one counts once; else each counts.
+    """
+
+    rule: str
+    detail: str
+    given: Column
+    keyed: bool = False
+
+
+def table_rules(df: DataFrame, schema: TableSchema, options: dict) -> list[Rule]:
+    """Everything a contract says of one table that its rows and their grouping by value can tell."""
+    there, found = set(df.columns), []
+    text = lambda c: name_of(c).cast("string")
+    once = lambda broken: F.when(F.coalesce(broken, F.lit(False)), F.array(F.lit("")))
+    key = lambda columns: F.when(all_there(columns), F.array(F.to_json(F.array(*map(text, columns)))))
+    keys = [k for k in schema.primary_key if k in there]
+    if keys:
+        found.append(Rule("primary key", ",".join(keys), key(keys), True))
+    found += [Rule("null key", k, once(name_of(k).isNull())) for k in keys]
+    found += [Rule("unique", ",".join(u), key(u), True) for u in schema.unique if all(c in there for c in u)]
+    for columns in schema.extra.get("cross_unique") or []:
+        if all(c in there for c in columns):
+            found.append(Rule("cross unique", ",".join(columns), F.filter(F.array(*map(text, columns)), lambda v: v != ""), True))
+    for f in schema.fields:
+        if f.name not in there:
+            continue
+        value = text(f.name)
+        if f.deprecated:
+            found.append(Rule("deprecated", f.name, once(value.isNotNull())))
+        if f.required and f.name not in keys:
+            found.append(Rule("required", f.name, once(value.isNull() | (value == ""))))
+        if f.enum is not None:
+            found.append(Rule("enum", f.name, once(value.isNotNull() & ~value.isin(f.enum))))
+        formats = [*([f.format] if f.format else []), *(options.get("date_formats") or [])]
+        if f.kind in ("date", "datetime") and formats and isinstance(df.schema[f.name].dataType, T.StringType):
+            found.append(Rule("date format", f.name, once((value != "") & parsed_date(value, formats).isNull())))
+        if f.kind not in ("date", "datetime") and f.format and (pattern := number_format_pattern(f.format)):
+            found.append(Rule("number format", f.name, once(~value.rlike(pattern))))
+    return found + [Rule("check", c, once(~F.coalesce(F.expr(c), F.lit(False)))) for c in schema.checks]
+
+
+def table_report(df: DataFrame, schema: TableSchema, options: dict | None = None) -> DataFrame:
+    """(rule, detail, n) of the broken rules of a table: one scan, and one exchange of (rule, value) counts.
+
+    Each row is expanded to what it gives for each rule. Tasks count equal values first, so that a rule that
+    every row breaks, or a value that a third of all rows have, is one row per task in the shuffle.
+    """
+    rules = table_rules(df, schema, options or {})
+    if not rules:
+        return df.sparkSession.createDataFrame([], "rule string, detail string, n long")
+    numbered = lambda i: lambda v: F.struct(F.lit(i).alias("i"), v.alias("value"))
+    given = [F.transform(r.given, numbered(i)) for i, r in enumerate(rules)]
+    values = df.select(F.inline(F.flatten(F.array_compact(F.array(*given))))).groupBy("i", "value").agg(F.count("*").alias("n"))
+    n = F.when(F.col("i").isin([i for i, r in enumerate(rules) if r.keyed]), (F.col("n") > 1).cast("long")).otherwise(F.col("n"))
+    names = F.array(*(F.struct(F.lit(r.rule).alias("rule"), F.lit(r.detail).alias("detail")) for r in rules))
+    counts = values.groupBy("i").agg(F.sum(n).alias("n")).where("n > 0")
+    name = F.element_at(names, F.col("i") + 1)
+    return counts.select(name["rule"].alias("rule"), name["detail"].alias("detail"), "n")
+
+
 def contract_report(tables: dict[str, DataFrame], contract: Contract) -> DataFrame:
-    """(table, rule, detail, n): one row per broken rule of the contract, over all its tables."""
+    """(table, rule, detail, n): one row per broken rule of the contract, over all its tables.
+
+    A table is read once for all rules of its own; references and the order of columns come on top.
+    """
     spark: SparkSession = next(iter(tables.values())).sparkSession
     schemas = {n: s for n, s in contract.schemas().items() if n in tables}
     found = spark.createDataFrame([], "table string, rule string, detail string, n long")
+    add = lambda name, rows: rows.select(F.lit(name).alias("table"), "rule", "detail", F.col("n").cast("long").alias("n"))
     for name, schema in schemas.items():
-        df = tables[name]
-        add = lambda rule, detail, rows: rows.select(F.lit(name).alias("table"), F.lit(rule).alias("rule"), detail.alias("detail"), F.col("n").cast("long").alias("n"))  # noqa: B023, E731
-        keys = [k for k in schema.primary_key if k in df.columns]
-        if keys:
-            found = found.unionByName(add("primary key", F.lit(",".join(keys)), duplicates(df, keys).agg(F.count("*").alias("n"))))
-            found = found.unionByName(add("null key", F.col("column_name"), null_keys(df, keys).withColumnRenamed("n_null", "n")))
-        sets = [u for u in schema.unique if all(c in df.columns for c in u)]
-        if sets:
-            found = found.unionByName(add("unique", F.col("columns"), unique_sets(df, sets).groupBy("columns").agg(F.count("*").alias("n"))))
-        found = found.unionByName(add("deprecated", F.col("column_name"), deprecated_used(df, schema)))
-        if schema.checks:
-            found = found.unionByName(add("check", F.col("check"), check_counts(df, schema.checks)))
+        found = found.unionByName(add(name, table_report(tables[name], schema, contract.options)))
         if contract.options.get("enforce_column_order"):
-            order = column_order(df, schema, contract.options.get("column_case_sensitive", True)).where("status <> 'ok'")
-            found = found.unionByName(add("column order", F.col("status"), order.groupBy("status").agg(F.count("*").alias("n"))))
-    references = foreign_keys({n: tables[n] for n in schemas}, schemas) if schemas else None
-    if references is not None:
+            order = column_order(tables[name], schema, contract.options.get("column_case_sensitive", True)).where("status <> 'ok'")
+            found = found.unionByName(add(name, order.groupBy(F.col("status").alias("detail")).agg(F.count("*").alias("n")).withColumn("rule", F.lit("column order"))))
+    if schemas:
+        references = foreign_keys({n: tables[n] for n in schemas}, schemas)
         found = found.unionByName(references.select("table", F.col("problem").alias("rule"), F.concat_ws(" -> ", "column", "reference").alias("detail"), F.coalesce("n", F.lit(1)).alias("n")))
     return found.where("n > 0")

@@ -5,32 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .shapes import LEXICAL
 from .triples import RDF_TYPE, RDFS, XSD
 
 #: Datatypes by value space: integer lies in decimal, the others share no value.
 SPACES = {XSD + "integer": "decimal", XSD + "decimal": "decimal", XSD + "float": "float", XSD + "boolean": "boolean", XSD + "dateTime": "dateTime", XSD + "string": "string"}
 
-MAX_CLOSURE = 100_000
-
-
 def closure(pairs: DataFrame) -> DataFrame:
-    """The transitive closure of (low, high): rounds of self-joins, twice the length each; schema-sized.
+    """The transitive closure of (low, high), kept in the shared folder; cycles end.
 
-    ValueError beyond MAX_CLOSURE pairs, which no schema graph should have.
+    Round k appends to all ways of at most 2**k steps one of exactly 2**k, so that a chain of n takes about
+    log2(n) rounds and each pair of a tree is found once. Nothing passes through the driver, and whether a side
+    is broadcast is left to its size.
     """
-    found = pairs.select("low", "high").distinct()
-    n = found.count()
+    found = power = stored(pairs.select("low", "high").distinct())
     while True:
-        further = found.join(found.select(F.col("low").alias("high"), F.col("high").alias("top")), "high").select("low", F.col("top").alias("high"))
-        # A few rows of configuration: cut the growing plan by fixing them in the session.
-        rows = found.unionByName(further).distinct().limit(MAX_CLOSURE + 1).collect()
-        if len(rows) > MAX_CLOSURE:
-            raise ValueError("the hierarchy is too large for a schema graph")
-        found = found.sparkSession.createDataFrame(rows, found.schema)
-        if (grown := found.count()) == n:
+        steps = power.select(F.col("low").alias("high"), F.col("high").alias("top"))
+        on = lambda ways: ways.join(steps, "high").select("low", F.col("top").alias("high")).distinct()  # noqa: B023, E731
+        new = stored(on(found).join(found, ["low", "high"], "left_anti"))
+        if new.isEmpty():
             return found
-        n = grown
+        found, power = found.unionByName(new), stored(on(power))
 
 
 def hierarchy(tbox: DataFrame, relation: str) -> DataFrame:
@@ -38,27 +34,37 @@ def hierarchy(tbox: DataFrame, relation: str) -> DataFrame:
     return closure(tbox.where(F.col("p") == RDFS + relation).select(F.col("s").alias("low"), F.col("o").alias("high")))
 
 
+def classes_of(tbox: DataFrame, rule: str, above: DataFrame) -> DataFrame:
+    """(p, classes): what a domain or range rule says of a property, by itself and by the properties above it."""
+    rows = tbox.where((F.col("p") == RDFS + rule) & ~F.col("o").startswith(XSD)).select(F.col("s").alias("p"), F.col("o").alias("cls"))
+    inherited = above.join(rows, above["high"] == rows["p"]).select(F.col("low").alias("p"), "cls")
+    return rows.unionByName(inherited).groupBy("p").agg(F.collect_set("cls").alias(rule))
+
+
 def rdfs_closure(triples: DataFrame, tbox: DataFrame) -> DataFrame:
-    """The triples with what subproperties, domains, object ranges and subclasses entail.
+    """A set of triples with what subproperties, domains, object ranges and subclasses entail.
 
-    The schema graph is closed first, so each rule is one join of the data with a schema-sized table.
+    The schema graph is closed first, and its rules joined as tables of one row per property or class. What is
+    entailed are types and copies of triples under higher properties: only those are made distinct, with the
+    triples that may equal them; literals of other properties are passed on as they are.
     """
-    iris = lambda df: df.select("s", "p", "o", F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("datatype"))
-    above = hierarchy(tbox, "subPropertyOf")
-    data = triples
-    if not above.isEmpty():
-        more = triples.join(F.broadcast(above), triples["p"] == above["low"]).select("s", F.col("high").alias("p"), "o", "o_kind", "datatype")
-        data = triples.unionByName(more)
-    rule = lambda name, column: tbox.where((F.col("p") == RDFS + name) & ~F.col("o").startswith(XSD)).select(F.col("s").alias("p"), F.col("o").alias(column)).distinct()
-    by_domain = data.join(F.broadcast(rule("domain", "cls")), "p").select("s", F.lit(RDF_TYPE).alias("p"), F.col("cls").alias("o"))
-    by_range = data.where(F.col("o_kind") == "iri").join(F.broadcast(rule("range", "cls")), "p").select(F.col("o").alias("s"), F.lit(RDF_TYPE).alias("p"), F.col("cls").alias("o"))
-    typed = iris(by_domain.unionByName(by_range))
-    found = data.unionByName(typed).distinct()
-    classes = hierarchy(tbox, "subClassOf")
-    if classes.isEmpty():
-        return found
-    higher = found.where(F.col("p") == RDF_TYPE).join(F.broadcast(classes), F.col("o") == F.col("low")).select("s", "p", F.col("high").alias("o"))
-    return found.unionByName(iris(higher)).distinct()
+    above, classes = hierarchy(tbox, "subPropertyOf"), hierarchy(tbox, "subClassOf")
+    higher = classes.groupBy("low").agg(F.collect_set("high").alias("higher"))
+    domains, ranges = classes_of(tbox, "domain", above), classes_of(tbox, "range", above)
+    made = lambda subject, names: F.transform(names, lambda c: F.struct(subject.alias("s"), c.alias("cls"), F.lit(False).alias("stated")))
+    stated = F.when(F.col("p") == RDF_TYPE, F.array(F.struct(F.col("s").alias("s"), F.col("o").alias("cls"), F.lit(True).alias("stated"))))
+    found = F.array(made(F.col("s"), F.col("domain")), F.when(F.col("o_kind") == "iri", made(F.col("o"), F.col("range"))), stated)
+    types = triples.join(domains, "p", "left").join(ranges, "p", "left").select(F.inline(F.flatten(F.array_compact(found))))
+    raised = F.transform("higher", lambda c: F.struct(c.alias("cls"), F.lit(False).alias("stated")))
+    types = types.join(higher, types["cls"] == higher["low"], "left").select("s", F.inline(F.flatten(F.array_compact(F.array(F.array(F.struct("cls", "stated")), raised)))))
+    new = types.groupBy("s", "cls").agg(F.max("stated").alias("stated")).where(~F.col("stated"))
+    typed = new.select("s", F.lit(RDF_TYPE).alias("p"), F.col("cls").alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("datatype"))
+    if above.isEmpty():
+        return triples.unionByName(typed)
+    copies = triples.join(above, triples["p"] == above["low"]).select("s", F.col("high").alias("p"), "o", "o_kind", "datatype", F.lit(False).alias("stated"))
+    there = triples.join(above.select(F.col("high").alias("p")).distinct(), "p", "left_semi").select("s", "p", "o", "o_kind", "datatype", F.lit(True).alias("stated"))
+    more = copies.unionByName(there).groupBy("s", "p", "o", "o_kind", "datatype").agg(F.max("stated").alias("stated")).where(~F.col("stated")).drop("stated")
+    return triples.unionByName(typed).unionByName(more)
 
 
 def property_ranges(tbox: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
 """Row numbers, running totals, shifts and ranks over whole tables, without a task that sees all rows.
 
 A table is dealt in ranges of its order, sorted and stored once with each row's place in its partition; what
-lies before a partition, or before a run of CHUNK rows, is added as one row per partition or run.
+lies before a partition, or before a run of CHUNK rows, is added as one row per partition or run. Rows that
+are numbered as they stand in their files are neither sorted nor shuffled.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..sources.shared import stored
@@ -45,8 +47,32 @@ def with_row_number(df: DataFrame, order_by: list[str | Column], column: str = "
     return found.select(*(name_of(c) for c in df.columns), number.cast("long").alias(column))
 
 
+def with_file_order(df: DataFrame, column: str = "row_id", *, per_file: bool = False, file_col: str | None = None) -> DataFrame:
+    """Contiguous numbers from 1 as the rows stand in their files, files in the order of their paths.
+
+    df is what a reader of files gives, with columns added or dropped but no rows. Each task stores its rows with
+    the split that they come from; the numbers of rows before each split, one row per split, are added up and
+    broadcast. per_file: each file's rows are numbered by themselves. file_col: adds the file's path.
+    """
+    marks = {"__file": F.col("_metadata.file_path"), "__split": F.col("_metadata.file_block_start"), "__at": F.monotonically_increasing_id()}
+    placed = stored(df.withColumns(marks))
+    # A task reads its splits one after the other.
+    splits = placed.groupBy("__file", "__split").agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    order = Window.partitionBy("__file").orderBy("__split") if per_file else Window.orderBy("__file", "__split")
+    rows_before = F.coalesce(F.sum("__rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("__file", "__split", (rows_before - F.col("__first") + 1).alias("__add"))
+    found = placed.join(F.broadcast(offsets), ["__file", "__split"])
+    file = [F.col("__file").alias(file_col)] if file_col else []
+    return found.select(*(name_of(c) for c in df.columns), *file, (F.col("__at") + F.col("__add")).alias(column))
+
+
 def with_running_total(df: DataFrame, value: Column, column: str, row_id: str = "row_id") -> DataFrame:
-    """The sum of the values up to each row, in the order of the row numbers; nulls count as nothing."""
+    """The sum of the values up to each row, in the order of the row numbers; nulls count as nothing.
+
+    Whole numbers are added exactly; where a sum doesn't fit in 64 bits it is null.
+    """
+    whole = isinstance(df.select(value.alias("v")).schema["v"].dataType, T.IntegralType)
+    value = value.cast("decimal(20,0)") if whole else value
     run = F.shiftright(name_of(row_id), CHUNK.bit_length() - 1)
     rows = df.withColumn("__value", value).withColumn("__run", run)
     sums = rows.groupBy("__run").agg(F.sum("__value").alias("__sum"))
@@ -55,7 +81,8 @@ def with_running_total(df: DataFrame, value: Column, column: str, row_id: str =
     within = Window.partitionBy("__run").orderBy(row_id).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.coalesce(F.sum("__value").over(within), F.lit(0))
     found = rows.withColumn("__within", total).join(offsets, "__run")
-    return found.select(*(name_of(c) for c in df.columns), (F.col("__before") + F.col("__within")).alias(column))
+    upto = F.col("__before") + F.col("__within")
+    return found.select(*(name_of(c) for c in df.columns), (upto.try_cast("bigint") if whole else upto).alias(column))
 
 
 def with_shift(df: DataFrame, value: Column, by: int, column: str, row_id: str = "row_id") -> DataFrame:

@@ -9,6 +9,10 @@ from ..plans.config import TableSchema
 from .numbering import name_of
 
 
+#: Distinct subjects are counted by sketches of 2**SKETCH_BITS registers.
+SKETCH_BITS = 12
+
+
 def is_empty(c: Column) -> Column:
     """Null or the empty text."""
     return c.isNull() | (c.cast("string") == "")
@@ -51,7 +55,25 @@ def triple_statistics(triples: DataFrame, is_set: bool = False) -> DataFrame:
     return pairs.groupBy("p").agg(F.sum("n").alias("n_triples"), F.count("*").alias("n_subjects"))
 
 
+def with_sketches(triples: DataFrame) -> DataFrame:
+    """(p, n_triples, subjects): counts and mergeable sketches of the subjects of a set of triples, by property."""
+    return triples.groupBy("p").agg(F.count("*").alias("n_triples"), F.hll_sketch_agg("s", F.lit(SKETCH_BITS)).alias("subjects"))
+
+
+def merged_statistics(*parts: DataFrame) -> DataFrame:
+    """The statistics of with_sketches() of parts that share no triple, without reading the triples again."""
+    found, *rest = parts
+    for part in rest:
+        found = found.unionByName(part)
+    return found.groupBy("p").agg(F.sum("n_triples").alias("n_triples"), F.hll_union_agg("subjects").alias("subjects"))
+
+
+def estimated(statistics: DataFrame) -> DataFrame:
+    """(p, n_triples, n_subjects): the counts exact, the distinct subjects within about 1.6 % (one standard error)."""
+    return statistics.select("p", "n_triples", F.hll_sketch_estimate("subjects").alias("n_subjects"))
+
+
 def sample_n(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
-    """Exactly min(n, rows) rows, the same ones whatever the partitions: the smallest seeded hashes of the key."""
+    """Exactly min(n, rows) rows, the same ones whatever the partitions: the smallest MD5 hashes of seed and key."""
     columns = [name_of(k) for k in key]
-    return df.orderBy(F.xxhash64(F.lit(seed), *columns), *columns).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *(c.cast("string") for c in columns))), *columns).limit(n)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Titles and headers are carried forward in runs of so many line numbers.
+RUN = 1 << 12
 # Fixed values of specifications: the form of a title, type names and their kinds, and words that mark a line as a
 # note even if it looks like a field.
 TITLE = r"(?i)^\d+\.\s+.*\(T_(.*)\.csv\)"
@@ -26,17 +28,35 @@ def stripped_cells(lines: DataFrame) -> DataFrame:
     return lines.withColumn("cells", F.transform("cells", trimmed)).where(F.exists("cells", lambda c: c != ""))
 
 
+def carried(lines: DataFrame, marks: list[str]) -> DataFrame:
+    """The lines with each mark, a struct that begins with line_no or null, carried forward in its file.
+
+    Lines are dealt in runs of RUN line numbers of a file, and carried forward in each run; what holds before a
+    run comes from one row per run, so that a file of any length is spread over tasks.
+    """
+    rows = lines.withColumn("__file", F.coalesce("file", F.lit(""))).withColumn("__run", F.shiftright("line_no", RUN.bit_length() - 1))
+    last = rows.groupBy("__file", "__run").agg(*(F.max(m).alias(f"__last_{m}") for m in marks))
+    runs = Window.partitionBy("__file").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    before = last.select("__file", "__run", *(F.max(f"__last_{m}").over(runs).alias(f"__before_{m}") for m in marks))
+    within = Window.partitionBy("__file", "__run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Line numbers grow, so the last mark is the largest.
+    held = rows.withColumns({f"__held_{m}": F.max(m).over(within) for m in marks}).join(before, ["__file", "__run"])
+    return held.withColumns({m: F.coalesce(f"__held_{m}", f"__before_{m}") for m in marks}).drop("__file", "__run", *(f"__{k}_{m}" for k in ("held", "before") for m in marks))
+
+
+def marked(lines: DataFrame) -> DataFrame:
+    """The lines that aren't blank, with the title or the header that a line is."""
+    first = F.element_at("cells", 1)
+    rows = stripped_cells(lines).select("file", "line_no", "cells", F.when(first.rlike(TITLE), F.upper(F.regexp_extract(first, TITLE, 1))).alias("title"), F.coalesce(F.lower(first) == "campo", F.lit(False)).alias("is_header"))
+    return rows.withColumn("named", F.when(F.col("title").isNotNull(), F.struct("line_no", "title"))).withColumn("headed", F.when(F.col("is_header"), F.struct("line_no", "cells")))
+
+
 def placed(lines: DataFrame) -> DataFrame:
     """The lines with their table, table_line (of its title) and header, carried forward in each file."""
-    first = F.element_at("cells", 1)
-    marked = stripped_cells(lines).select(
-        "file", "line_no", "cells", F.when(first.rlike(TITLE), F.upper(F.regexp_extract(first, TITLE, 1))).alias("title"), F.when(F.lower(first) == "campo", F.col("cells")).alias("own_header")
-    )
-    before = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    named = marked.withColumn("table", F.last("title", ignorenulls=True).over(before)).withColumn("table_line", F.last(F.when(F.col("title").isNotNull(), F.col("line_no")), ignorenulls=True).over(before))
+    rows = carried(marked(lines), ["named", "headed"])
     # The header counts from its table's title on.
-    within = Window.partitionBy("file", "table_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return named.withColumn("header", F.last("own_header", ignorenulls=True).over(within))
+    header = F.when(F.col("named").isNull() | (F.col("headed.line_no") > F.col("named.line_no")), F.col("headed.cells"))
+    return rows.select("file", "line_no", "cells", "title", "is_header", F.col("named.title").alias("table"), F.col("named.line_no").alias("table_line"), header.alias("header"))
 
 
 def reconciled(cells: Column, header: Column) -> Column:
@@ -61,15 +81,14 @@ def with_fields(rows: DataFrame) -> DataFrame:
 
 def spec_fields(lines: DataFrame) -> DataFrame:
     """file, table, line_no, field, kind, length, required, description, format, cells of every field row."""
-    rows = placed(lines).where(F.col("table").isNotNull() & F.col("header").isNotNull() & F.col("title").isNull() & F.col("own_header").isNull())
+    rows = placed(lines).where(F.col("table").isNotNull() & F.col("header").isNotNull() & F.col("title").isNull() & ~F.col("is_header"))
     return with_fields(rows)
 
 
 def single_table_fields(lines: DataFrame) -> DataFrame:
     """The same for files of one table each, named by the file: upper case, without `T_`."""
-    marked = stripped_cells(lines).withColumn("own_header", F.when(F.lower(F.element_at("cells", 1)) == "campo", F.col("cells")))
-    before = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = marked.withColumn("header", F.last("own_header", ignorenulls=True).over(before)).where(F.col("header").isNotNull() & F.col("own_header").isNull())
+    held = carried(marked(lines), ["headed"]).withColumn("header", F.col("headed.cells"))
+    rows = held.where(F.col("header").isNotNull() & ~F.col("is_header"))
     stem = F.regexp_replace(F.regexp_extract("file", r"([^/\\]+)$", 1), r"\.[^.]*$", "")
     return with_fields(rows.withColumn("table", F.upper(F.replace(stem, F.lit("T_"), F.lit("")))))
 

@@ -12,11 +12,12 @@ until then counts as replaced: one more scan finds out, and an output named like
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import contextlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,11 +47,12 @@ def no_nan(df: DataFrame, column: str) -> Column:
     return F.when(~F.isnan(c), c) if isinstance(df.schema[column].dataType, T.FloatType | T.DoubleType) else c
 
 
-def with_inputs(df: DataFrame, parts: Iterable[Compiled], order_by: list[str] | None = None) -> DataFrame:
+def with_inputs(df: DataFrame, parts: Iterable[Compiled], order_by: list[str] | None = None, row_id: str | None = None) -> DataFrame:
     """The table with what the formulas need besides its own columns.
 
     Whole-table aggregates come from one scan and are joined as a single row; membership looks values up in
-    the distinct values of the other column, and a rank in the ranked values. Places need the rows numbered.
+    the distinct values of the other column, and a rank in the ranked values. Places need the rows numbered, by
+    row_id if there is one.
     """
     joined, parts = df, list(parts)
     for part in parts:
@@ -65,12 +67,24 @@ def with_inputs(df: DataFrame, parts: Iterable[Compiled], order_by: list[str] |
         joined = joined.crossJoin(F.broadcast(df.agg(*(c.alias(a) for a, c in reducers.items()))))  # one row
     places = [p for part in parts for p in part.places]
     if places:
-        joined = with_row_number(joined, order_by, "__row")
+        row = row_id or "__row"
+        joined = joined if row_id else with_row_number(joined, order_by, row)
         for method, values, n, alias in places:
-            joined = with_shift(joined, values, n, alias, "__row") if method == "shift" else with_running_total(joined, values, alias, "__row")
+            joined = with_shift(joined, values, n, alias, row) if method == "shift" else with_running_total(joined, values, alias, row)
     return joined
 
 
+@contextlib.contextmanager
+def lenient(spark: SparkSession) -> Iterator[None]:
+    """Expressions that are analysed within give null for what they can't compute."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def checked(df: DataFrame, part: Compiled) -> None:
     """Raises AnalysisException where the formula doesn't fit the table; reads nothing."""
     reduced = df.agg(F.count("*"), *(c.alias(a) for a, c in part.reducers.items())).schema
@@ -81,15 +95,18 @@ def checked(df: DataFrame, part: Compiled) -> None:
     df.withColumns(columns).select(part.column.alias("x")).schema  # noqa: B018
 
 
-def apply_steps(df: DataFrame, steps: Iterable[Step | dict], *, overwrite: bool = True, pandas_inf: bool = False, order_by: list[str] | None = None, partition_by: list[str] | None = None, exact_audit: bool = False) -> StepResult:
+def apply_steps(df: DataFrame, steps: Iterable[Step | dict], *, overwrite: bool = True, pandas_inf: bool = False, order_by: list[str] | None = None, partition_by: list[str] | None = None, row_id: str | None = None, exact_audit: bool = False) -> StepResult:
     """Runs the steps over df.
 
-    Nothing is computed before the result is used, but for an exact audit, and for ranks and formulas in the
+    row_id names a column of contiguous numbers in the order that formulas mean, such as that of the rows in
+    their files (with_file_order); it takes the place of order_by. Nothing is computed before the result is used, but for an exact audit, and for ranks and formulas in the
     order of all rows, which number the rows first.
     """
     names, columns, needs, result = set(df.columns), {}, [], StepResult(df)
+    order_by = order_by or ([row_id] if row_id else None)
     null = F.lit(None).cast("string")
     fills: list[tuple[int, str, Column]] = []
+    raw: dict[str, Column] = {}
 
     def note(number: int, output: str, status: str) -> None:
         getattr(result, status).append(output)
@@ -109,18 +126,26 @@ def apply_steps(df: DataFrame, steps: Iterable[Step | dict], *, overwrite: bool
         elif kind in FORMULAS and step.formula:
             try:
                 part = compile_formula(step.formula, df.schema, pandas_inf=pandas_inf, order_by=order_by, partition_by=partition_by, prefix=f"__{number}_")
-                checked(df, part)
+                with lenient(df.sparkSession) if part.is_sql else contextlib.nullcontext():
+                    checked(df, part)
             except (FormulaError, AnalysisException):
                 columns[out] = null
                 note(number, out, "missing")
             else:
                 needs.append(part)
-                columns[out] = part.column
+                if part.is_sql:
+                    columns[out] = name_of(f"__{number}_sql")
+                    raw[f"__{number}_sql"] = part.column
+                else:
+                    columns[out] = part.column
                 note(number, out, "generated")
         else:
             columns[out] = null
             note(number, out, "missing")
-    joined = with_inputs(df, needs, order_by)
+    if raw:
+        with lenient(df.sparkSession):
+            df = df.withColumns(raw)
+    joined = with_inputs(df, needs, order_by, row_id)
     if exact_audit and fills:
         held = joined.agg(*(F.count(c).alias(f"c{i}") for i, (_, _, c) in enumerate(fills))).first()
         for (at, out, _), n in zip(fills, held, strict=True):

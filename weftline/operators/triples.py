@@ -7,6 +7,7 @@ union of graphs ends in distinct() unless its parts are known to be sets that do
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,9 @@ from pyspark.sql import types as T
 
 from ..functions.iri import BASE, iri, python_token, token
 from ..plans.config import Field, TableSchema
+from ..sources.shared import new_folder, stored
 from .numbering import name_of
+from .quality import estimated, merged_statistics, with_sketches
 
 # The vocabularies' IRIs.
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -127,6 +130,34 @@ def untyped(df: DataFrame, schemas: Iterable[TableSchema], class_name: str, row_
     return df.select(s.alias("s"), F.inline(F.array(*parts))).withColumn("datatype", F.lit(None).cast("string"))
 
 
+def untyped_schema(schemas: Iterable[TableSchema], base: str = BASE) -> list[tuple]:
+    """The plain variant's classes, properties and domains: one class per schema file, upper-cased names as they are."""
+    found: dict[tuple, None] = {}
+    for schema in schemas:
+        cls = base + schema.name.upper()
+        found[cls, RDF_TYPE, OWL + "Class"] = None
+        for f in schema.fields:
+            found[base + f.name.upper(), RDF_TYPE, OWL + "DatatypeProperty"] = None
+            found[base + f.name.upper(), RDFS + "domain", cls] = None
+    return [(*triple, "iri", None) for triple in found]
+
+
+def untyped_graph(df: DataFrame | None, schemas: Iterable[TableSchema], class_name: str | None = None, row_id: str = "row_id", base: str = BASE) -> DataFrame:
+    """The plain variant's whole graph: its schema, and the rows of one class where a table is given.
+
+    ValueError if no schema file gives the class. Numbered rows share no triple with each other or the schema.
+    """
+    schemas = list(schemas)
+    if class_name is not None and class_name.upper() not in {s.name.upper() for s in schemas}:
+        raise ValueError(f"no schema for {class_name}")
+    rows = untyped_schema(schemas, base)
+    spark = df.sparkSession if df is not None else SparkSession.active()
+    graph = spark.createDataFrame(rows, TRIPLE)
+    if df is None or class_name is None:
+        return graph
+    return graph_union(graph, untyped(df, schemas, class_name, row_id, base).select(*graph.columns), disjoint=True)
+
+
 def graph_union(*graphs: DataFrame, disjoint: bool = False) -> DataFrame:
     """The set union; disjoint skips the shuffle where the parts are sets that share no triple.
 
@@ -138,6 +169,51 @@ def graph_union(*graphs: DataFrame, disjoint: bool = False) -> DataFrame:
     return found if disjoint else found.repartition("s", "p").distinct()
 
 
+#: What tells triples apart, as one text: the kind, the datatype and the text of the object.
+TERM = "concat_ws(' ', o_kind, coalesce(datatype, ''), coalesce(o, 'null'), o IS NULL)"
+
+
+@dataclass
+class StoredGraph:
+    """A set of triples kept as a table in buckets of subject, property and object, with statistics by property.
+
+    The tables' files are in the shared folder; their names are in the session's catalog. Each append is a further set of files of the same buckets, so that a union shuffles only what is new.
+    """
+
+    spark: SparkSession
+    name: str
+
+    @classmethod
+    def create(cls, graph: DataFrame, name: str, buckets: int | None = None) -> StoredGraph:
+        """Stores the set of a graph's triples; buckets: as many as shuffle partitions unless told."""
+        spark = graph.sparkSession
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        keyed = graph.select("s", "p", "o", "o_kind", "datatype", F.expr(TERM).alias("term"))
+        keyed.repartition(n, "s", "p", "term").dropDuplicates(["s", "p", "term"]).write.bucketBy(n, "s", "p", "term").sortBy("s", "p", "term").option("path", new_folder(spark, "graph")).saveAsTable(name)
+        kept = cls(spark, name)
+        with_sketches(kept.triples()).write.option("path", new_folder(spark, "graph-statistics")).saveAsTable(f"{name}_statistics")
+        return kept
+
+    def triples(self) -> DataFrame:
+        return self.spark.table(self.name).select("s", "p", "o", "o_kind", "datatype")
+
+    def missing(self, graph: DataFrame) -> DataFrame:
+        """The triples of a graph that aren't stored; the stored side is read where it lies."""
+        new = graph.select("s", "p", "o", "o_kind", "datatype", F.expr(TERM).alias("term")).dropDuplicates(["s", "p", "term"])
+        return new.join(self.spark.table(self.name).select("s", "p", "term").hint("merge"), ["s", "p", "term"], "left_anti")
+
+    def append(self, graph: DataFrame) -> None:
+        """Adds what is missing, and its statistics beside those of earlier parts."""
+        n = next(int(r["data_type"]) for r in self.spark.sql(f"DESCRIBE EXTENDED {self.name}").collect() if r["col_name"] == "Num Buckets")
+        new = stored(self.missing(graph))
+        new.write.mode("append").bucketBy(n, "s", "p", "term").sortBy("s", "p", "term").saveAsTable(self.name)
+        with_sketches(new).write.mode("append").saveAsTable(f"{self.name}_statistics")
+
+    def statistics(self) -> DataFrame:
+        """(p, n_triples, n_subjects) of all parts, from what was kept with each."""
+        return estimated(merged_statistics(self.spark.table(f"{self.name}_statistics")))
+
+
 def subjects_are_unique(df: DataFrame, subject: Column) -> bool:
     """Whether each subject is of one row, so that abox() gives a set as it is; one narrow aggregation."""
     return df.groupBy(subject.alias("s")).agg(F.count("*").alias("n")).where(F.col("s").isNotNull() & (F.col("n") > 1)).isEmpty()

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 # Fixed values of schema files: truth words, and the accepted spellings of each attribute and type.
@@ -199,30 +200,44 @@ def parse_schemas(data: Any, stem: str = "") -> list[TableSchema]:
     return []
 
 
-def read_yaml(path: str | Path) -> Any:
+def file_texts(path: str | Path, spark: SparkSession | None = None) -> dict[str, str]:
+    """The texts by name of a file, or of a folder's YAML files; with a session from whatever store Spark reads."""
+    if spark is None:
+        path = Path(path)
+        files = sorted(p for p in path.iterdir() if p.suffix in (".yaml", ".yml")) if path.is_dir() else [path]
+        return {p.name: p.read_text(encoding="utf-8") for p in files}
+    rows = spark.read.text(str(path), wholetext=True).select("_metadata.file_name", "value").collect()  # configuration: a few kilobytes
+    found = {r["file_name"]: r["value"] for r in sorted(rows)}
+    return found if len(found) == 1 else {n: t for n, t in found.items() if n.endswith((".yaml", ".yml"))}
+
+
+def read_yaml(path: str | Path, spark: SparkSession | None = None) -> Any:
     import yaml
 
-    return yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    return yaml.safe_load(next(iter(file_texts(path, spark).values())))
 
 
-def load_schema(path: str | Path) -> TableSchema | None:
-    return parse_schema(read_yaml(path), Path(path).stem)
+def load_schema(path: str | Path, spark: SparkSession | None = None) -> TableSchema | None:
+    return parse_schema(read_yaml(path, spark), Path(path).stem)
 
 
-def load_schemas(folder: str | Path) -> tuple[list[TableSchema], dict[str, str]]:
+def load_schemas(folder: str | Path, spark: SparkSession | None = None) -> tuple[list[TableSchema], dict[str, str]]:
     """All schemas of a folder, and what is wrong with each file that has none; files named `metadatos` don't count."""
     import yaml
 
     found, errors = [], {}
-    for path in sorted(p for p in Path(folder).iterdir() if p.suffix in (".yaml", ".yml") and "metadatos" not in p.stem.lower()):
+    for name, text in file_texts(folder, spark).items():
+        stem = name.rpartition(".")[0]
+        if "metadatos" in stem.lower():
+            continue
         try:
-            schemas = parse_schemas(read_yaml(path), path.stem)
+            schemas = parse_schemas(yaml.safe_load(text), stem)
         except yaml.YAMLError as e:
-            errors[path.name] = str(e)
+            errors[name] = str(e)
             continue
         found += schemas
         if not schemas:
-            errors[path.name] = "layout not recognised"
+            errors[name] = "layout not recognised"
     return found, errors
 
 
@@ -241,9 +256,9 @@ def parse_contract(data: dict, schemas: dict[str, TableSchema | None]) -> Contra
     return found
 
 
-def load_contract(path: str | Path) -> Contract:
-    data = read_yaml(path)
-    return parse_contract(data, {e["schema"]: load_schema(e["schema"]) for e in data.get("tables") or []})
+def load_contract(path: str | Path, spark: SparkSession | None = None) -> Contract:
+    data = read_yaml(path, spark)
+    return parse_contract(data, {e["schema"]: load_schema(e["schema"], spark) for e in data.get("tables") or []})
 
 
 def steps_from_json(text: str) -> list[Step]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from ..functions.iri import BASE
 from ..operators import entail, numbering, quality, shapes, specmine, triples
@@ -28,14 +29,13 @@ def table_to_triples(df: DataFrame, schema: TableSchema, schemas: Iterable[Table
 
 
 def csv_to_triples(spark, schema_path: str, csv_path: str, output: str, *, schema_folder: str, order_by: list[str] | None = None, check: bool = True) -> None:
-    """A CSV file through its schema to a folder of N-Triples."""
-    schema = load_schema(schema_path)
+    """A CSV file through its schema to a folder of N-Triples; rows are numbered as they stand in it, or as order_by says."""
+    schema = load_schema(schema_path, spark)
     if schema is None:
         raise ValueError(f"{schema_path}: layout not recognised")
     df = readers.read_csv(spark, csv_path)
-    if order_by:
-        df = numbering.with_row_number(df, order_by)
-    graph = table_to_triples(df, schema, load_schemas(schema_folder)[0], row_id="row_id" if order_by else None, check=check)
+    df = numbering.with_row_number(df, order_by) if order_by else numbering.with_file_order(df)
+    graph = table_to_triples(df, schema, load_schemas(schema_folder, spark)[0], row_id="row_id", check=check)
     writers.write_triples(graph, output)
 
 
@@ -52,6 +52,35 @@ def transform_and_validate(df: DataFrame, steps: Iterable[Step], schema: TableSc
     return Outcome(done, quality.required_empty(done.df, schema), shapes.validate(done.df, schema))
 
 
+@dataclass
+class Export:
+    """The steps' result, and what was counted while it was written: (what, path, constraint, n), and all rows."""
+
+    steps: StepResult
+    report: DataFrame
+    n_rows: int
+
+
+def export_with_report(df: DataFrame, steps: Iterable[Step], schema: TableSchema, write: Callable[[DataFrame], None], **options) -> Export:
+    """Writes the steps' table and reports its empty required columns and broken constraints, in one pass.
+
+    The counts are observed on the rows as they are written, so the table is neither read nor computed again.
+    """
+    done = apply_steps(df, steps, **options)
+    names = [f.name for f in schema.fields if f.required and f.name in done.df.columns]
+    rules = shapes.constraints(done.df, schema)
+    told = [("empty", n, "", quality.is_empty(numbering.name_of(n))) for n in names] + [("broken", r.path, r.kind, r.broken) for r in rules]
+    seen = Observation()
+    counted = done.df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *(F.count_if(F.coalesce(broken, F.lit(False))).alias(f"c{i}") for i, (*_, broken) in enumerate(told)))
+    write(counted)
+    counts = seen.get
+    sums: dict[tuple, int] = {}
+    for i, (what, path, constraint, _) in enumerate(told):
+        sums[what, path, constraint] = sums.get((what, path, constraint), 0) + counts[f"c{i}"]
+    rows = [(*key, n) for key, n in sums.items() if n]
+    return Export(done, df.sparkSession.createDataFrame(rows, "what string, path string, constraint string, n long"), counts["n_rows"])
+
+
 @dataclass
 class Mined:
     fields: DataFrame

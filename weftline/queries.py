@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import queries_files, queries_formula  # noqa: F401  registered there
+from . import queries_files, queries_formula, queries_order, queries_reports  # noqa: F401  registered there
 from .functions.iri import BASE
 from .operators import contract, entail, numbering, quality, shapes, specmine, triples
 from .operators.steps import apply_steps
@@ -116,7 +116,7 @@ def step_audit(spark, sf_dir):
     return done.report().crossJoin(done.df.agg(F.count("*").alias("n")))  # one row of counts
 
 
-@query()
+@query("SELECT * FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 100")
 def sample_n(spark, sf_dir):
     """The sampling operator itself: its row count is its argument."""
     return quality.sample_n(table(spark, sf_dir, "orders"), 100, ["o_orderkey"])

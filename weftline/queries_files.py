@@ -17,11 +17,6 @@ from .sources.shared import new_folder
 RDF, RDFS, XSD, OWL = triples.RDF_TYPE, triples.RDFS, triples.XSD, triples.OWL
 
 
-def local(folder: str) -> str:
-    """The path of a shared folder that the driver reads its configuration from."""
-    return folder.removeprefix("file://").removeprefix("file:")
-
-
 def noted_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with codes that look like numbers, and texts with all that a CSV file must quote."""
     code, note = F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"\nend'))
@@ -39,7 +34,7 @@ def csv_round_trip(spark, sf_dir):
     """A table as CSV and back by its schema: codes, quotes, commas and line breaks stay."""
     path = new_folder(spark, "csv")
     writers.write_csv(noted_customers(spark, sf_dir), path)
-    df = readers.read_csv(spark, path, multiLine=True)
+    df = readers.read_csv(spark, path)
     return readers.typed(df, TableSchema("T", [Field("code"), Field("note"), Field("segment"), Field("c_acctbal", "float")]))
 
 
@@ -129,10 +124,10 @@ def schema_files(spark, sf_dir):
     """Mined fields as one document per table, in a folder of the table's name, fields in line order."""
     path = new_folder(spark, "schemas")
     writers.write_schema_documents(pipeline.mine(spec_lines(spark, sf_dir).where(f"line_no < {1 << 40}")).fields, path)
-    fields = F.from_json("value", "array<struct<field: string, kind: string>>")
+    fields = F.from_json("value", "table string, fields array<struct<name: string, type: string>>")["fields"]
     rows = spark.read.option("basePath", path).text(path).select("table", fields.alias("fields"))
-    integers = F.filter("fields", lambda f: f["kind"] == "integer")
-    return rows.select("table", F.size("fields").cast("long").alias("n_fields"), F.size(integers).cast("long").alias("n_integers"), F.element_at("fields", 1)["field"].alias("first_field"), F.element_at("fields", -1)["field"].alias("last_field"))
+    integers = F.filter("fields", lambda f: f["type"] == "integer")
+    return rows.select("table", F.size("fields").cast("long").alias("n_fields"), F.size(integers).cast("long").alias("n_integers"), F.element_at("fields", 1)["name"].alias("first_field"), F.element_at("fields", -1)["name"].alias("last_field"))
 
 
 @query("""SELECT upper(p_brand) AS "table", 'id|tienda' AS primary_key, 'a|b y c' AS unique_fields, count(*) FILTER (p_partkey % 5 = 3) + 3 AS n_notes FROM part GROUP BY p_brand""")
@@ -158,7 +153,7 @@ def schema_folder(spark: SparkSession, sf_dir: str) -> str:
     broken = texts.select(F.concat(F.lit("y_"), "brand", F.lit(".yaml")).alias("name"), F.lit("a: [").alias("value"))
     notes = texts.select(F.concat(F.lit("metadatos_"), "brand", F.lit(".yaml")).alias("name"), "value")
     writers.write_files(files.unionByName(other).unionByName(broken).unionByName(notes), folder)
-    return local(folder)
+    return folder
 
 
 @query(f"""
@@ -167,7 +162,7 @@ SELECT '{BASE}' || t AS s, '{RDF}' AS p, '{OWL}Class' AS o FROM f UNION SELECT '
 UNION SELECT '{BASE}' || f, '{RDFS}domain', '{BASE}' || t FROM f UNION SELECT '{BASE}' || f, '{RDFS}range', '{XSD}integer' FROM f""")
 def tbox_of_folder(spark, sf_dir):
     """The schema graph of all readable schema files of a folder; others are skipped, and told."""
-    schemas, _ = config.load_schemas(schema_folder(spark, sf_dir))
+    schemas, _ = config.load_schemas(schema_folder(spark, sf_dir), spark)
     return triples.tbox(triples.schema_fields(spark, schemas)).select("s", "p", "o")
 
 
@@ -176,7 +171,7 @@ WITH b AS (SELECT DISTINCT replace(p_brand, '#', '_') AS b FROM part)
 SELECT 'x_' || b || '.yml' AS file, 'layout not recognised' AS problem FROM b UNION ALL SELECT 'y_' || b || '.yaml', 'not YAML' FROM b""")
 def skipped_files(spark, sf_dir):
     """The files of a folder that give no schema, and why."""
-    _, errors = config.load_schemas(schema_folder(spark, sf_dir))
+    _, errors = config.load_schemas(schema_folder(spark, sf_dir), spark)
     rows = [(name, text if text == "layout not recognised" else "not YAML") for name, text in errors.items()]
     return spark.createDataFrame(rows, "file string, problem string")
 
@@ -197,7 +192,7 @@ def csv_to_triples(spark, sf_dir):
     writers.write_csv(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), f"{folder}/nations.csv")
     schema = "table: Nations\nfields:\n  - {name: n_nationkey, type: integer, required: true}\n  - {name: n_name, type: string}\n"
     writers.write_files(spark.createDataFrame([("nations.yaml", schema)], "name string, value string"), f"{folder}/schemas")
-    pipeline.csv_to_triples(spark, f"{local(folder)}/schemas/nations.yaml", f"{folder}/nations.csv", f"{folder}/out", schema_folder=f"{local(folder)}/schemas", order_by=["n_name"])
+    pipeline.csv_to_triples(spark, f"{folder}/schemas/nations.yaml", f"{folder}/nations.csv", f"{folder}/out", schema_folder=f"{folder}/schemas", order_by=["n_name"])
     return spark.read.text(f"{folder}/out")
 
 

@@ -2,33 +2,98 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.contract import parsed_date
-from ..operators.numbering import name_of
+from ..operators.numbering import name_of, with_file_order
 from ..plans.config import Contract, TableSchema
 
 SUFFIXES = r"(?i)(_sample|_muestra|_datos|_data)+$"
 
 
-def read_csv(spark: SparkSession, path: str, *, header: bool = True, infer: bool = False, null_tokens: list[str] | None = None, **options) -> DataFrame:
-    """A CSV file or folder as texts, or with inferred types; ValueError if it has no columns or no rows.
+#: The column that holds the text of a record whose cells aren't as many as the columns, and a cell put after its last.
+RECORD, END = "__record", "\x01end\x01"
 
-    Texts are the default because inference turns codes such as `001` into numbers. Without a header the
-    columns are named 0, 1, ...; null_tokens are read as nulls in every text column.
+
+def csv_records(spark: SparkSession, path: str, header: bool, infer: bool, options: dict) -> tuple[DataFrame, Column]:
+    """The records of a CSV file or folder with the column RECORD, and what is wrong with each (null where nothing is).
+
+    A record is wrong if it has more cells than there are columns; one with fewer ends in nulls. A quote that
+    isn't closed takes the rest of its file into its cell, and is told where cells are missing then. Spark marks
+    records of another number of cells: only those are looked at again, with END behind them, which is among the
+    first cells exactly where none is too many and no quote is open.
     """
-    df = spark.read.options(**{"quote": '"', "escape": '"', "mode": "PERMISSIVE"} | options).csv(path, header=header, inferSchema=infer)
-    if not header:
-        df = df.toDF(*(str(i) for i in range(len(df.columns))))
-    if not df.columns or df.isEmpty():
+    given = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": True, "recursiveFileLookup": True} | options
+    first = spark.read.options(**given).csv(path, header=header, inferSchema=infer)
+    if not first.columns or first.isEmpty():
         raise ValueError(f"{path} has no rows")
+    schema = T.StructType([*first.schema.fields, T.StructField(RECORD, T.StringType())])
+    df = spark.read.options(**given, columnNameOfCorruptRecord=RECORD).schema(schema).csv(path, header=header)
+    n, sep, quote = len(first.columns), given.get("sep", given.get("delimiter", ",")), given["quote"]
+    text = F.regexp_replace(RECORD, r"[\r\n]+$", "")
+    cells = F.from_csv(F.concat(text, F.lit(sep + END)), F.lit(", ".join(f"c{i} string" for i in range(n + 1))), {"sep": sep, "quote": quote, "escape": given["escape"]})
+    fits = F.array_contains(F.array(*(cells[f"c{i}"] for i in range(n + 1))), END)
+    quotes = F.length(text) - F.length(F.replace(text, F.lit(quote), F.lit("")))
+    wrong = F.when(F.col(RECORD).isNotNull() & ~F.coalesce(fits, F.lit(False)), F.when(quotes % 2 == 1, "quote not closed").otherwise("too many cells"))
+    return df, wrong
+
+
+def named(df: DataFrame, n: int, header: bool, null_tokens: list[str] | None) -> DataFrame:
+    """The first n columns named 0, 1, ... without a header; certain words in them as nulls."""
+    names = df.columns[:n]
+    if not header:
+        df = df.toDF(*(str(i) for i in range(n)), *df.columns[n:])
+        names = df.columns[:n]
     if null_tokens:
         texts = {n for n, t in df.dtypes if t == "string"}
-        df = df.select(*(F.when(~name_of(c).isin(null_tokens), name_of(c)).alias(c) if c in texts else name_of(c) for c in df.columns))
+        df = df.withColumns({c: F.when(~name_of(c).isin(null_tokens), name_of(c)) for c in names if c in texts})
     return df
 
 
+def read_csv(spark: SparkSession, path: str, *, header: bool = True, infer: bool = False, null_tokens: list[str] | None = None, **options) -> DataFrame:
+    """A CSV file or folder as texts, or with inferred types; ValueError if it has no columns or no rows.
+
+    Texts are the default because inference turns codes such as `001` into numbers. Without a header the
+    columns are named 0, 1, ...; null_tokens are read as nulls in every text column. The names of nested folders
+    give no columns. Quoted cells may hold line
+    breaks, so that one task reads a file; multiLine=False splits large files that have none. A record with too
+    many cells, or one that ends in an open quote, fails the job that reads it; read_csv_checked() gives it.
+    """
+    df, wrong = csv_records(spark, path, header, infer, options)
+    # A column beside RECORD must be read, or Spark refuses to count.
+    told = F.raise_error(F.concat_ws(": ", F.lit(path), wrong, RECORD, name_of(df.columns[0]).cast("string"))).cast("boolean")
+    return named(df.where(F.when(wrong.isNotNull(), told).otherwise(True)).drop(RECORD), len(df.columns) - 1, header, null_tokens)
+
+
+@dataclass
+class CheckedRead:
+    """What a source holds: its good rows with their numbers (row_id), and (file, record, reason, text) of the others.
+
+    Records are numbered from 1 in each file, the header aside; rows and rejects together are all of them.
+    """
+
+    rows: DataFrame
+    rejects: DataFrame
+
+
+def read_csv_checked(spark: SparkSession, path: str, *, header: bool = True, infer: bool = False, null_tokens: list[str] | None = None, row_id: str = "row_id", **options) -> CheckedRead:
+    """As read_csv, parsed once and stored: wrong records are given as a table instead of failing the job.
+
+    row_id: the place of a row among all records, in the order of the files and of the records in each.
+    """
+    df, wrong = csv_records(spark, path, header, infer, options)
+    placed = with_file_order(df.withColumn("__wrong", wrong), row_id, file_col="__file")
+    firsts = placed.groupBy("__file").agg(F.min(row_id).alias("__first"))
+    bad = placed.where("__wrong IS NOT NULL").join(firsts, "__file")
+    rejects = bad.select(F.col("__file").alias("file"), (name_of(row_id) - F.col("__first") + 1).alias("record"), F.col("__wrong").alias("reason"), F.col(RECORD).alias("text"))
+    rows = placed.where("__wrong IS NULL").drop("__wrong", "__file", RECORD)
+    return CheckedRead(named(rows, len(df.columns) - 1, header, null_tokens), rejects)
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -50,17 +115,37 @@ def typed(df: DataFrame, schema: TableSchema, *, decimal: str = ".", date_format
     return df.select(*columns)
 
 
-def read_contract(spark: SparkSession, contract: Contract, folder: str, cast: bool = True) -> dict[str, DataFrame]:
-    """The contract's tables by name, read with its CSV options."""
+def contract_options(contract: Contract) -> dict:
+    """The contract's CSV options as Spark's."""
     given = contract.options.get("csv_options") or {}
-    options = {k: given[o] for k, o in (("sep", "delimiter"), ("quote", "quotechar"), ("encoding", "encoding")) if given.get(o)}
+    words = {"delimiter": "sep", "quotechar": "quote", "encoding": "encoding", "comment": "comment", "multiLine": "multiLine"}
+    return {word: given[k] for k, word in words.items() if given.get(k) not in (None, "")}
+
+
+def contract_typed(df: DataFrame, contract: Contract, schema: TableSchema) -> DataFrame:
+    decimal = (contract.options.get("csv_options") or {}).get("decimal", ".")
+    return typed(df, schema, decimal=decimal, date_formats=contract.options.get("date_formats"))
+
+
+def read_contract(spark: SparkSession, contract: Contract, folder: str, cast: bool = True) -> dict[str, DataFrame]:
+    """The contract's tables by name, read with its CSV options; wrong records fail the job that reads them."""
     found = {}
     for table in contract.tables:
-        df = read_csv(spark, f"{folder.rstrip('/')}/{table.file}", **options)
-        found[table.schema.name] = typed(df, table.schema, decimal=given.get("decimal", "."), date_formats=contract.options.get("date_formats")) if cast else df
+        df = read_csv(spark, f"{folder.rstrip('/')}/{table.file}", **contract_options(contract))
+        found[table.schema.name] = contract_typed(df, contract, table.schema) if cast else df
     return found
 
 
+def read_contract_checked(spark: SparkSession, contract: Contract, folder: str, cast: bool = True) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The contract's tables by name, with row_id, and (table, file, record, reason, text) of the wrong records of all."""
+    found, rejects = {}, spark.createDataFrame([], "table string, file string, record long, reason string, text string")
+    for table in contract.tables:
+        read = read_csv_checked(spark, f"{folder.rstrip('/')}/{table.file}", **contract_options(contract))
+        found[table.schema.name] = contract_typed(read.rows, contract, table.schema) if cast else read.rows
+        rejects = rejects.unionByName(read.rejects.withColumn("table", F.lit(table.schema.name)))
+    return found, rejects
+
+
 def match_schemas(files: DataFrame, schemas: DataFrame, file_col: str = "path", schema_col: str = "schema") -> DataFrame:
     """Files with the schema of the same stem, suffixes such as `_sample` and case aside; null where none fits."""
     stem = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(file_col, r"([^/\\]+)$", 1), r"\.[^.]*$", ""), SUFFIXES, ""))

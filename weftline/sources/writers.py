@@ -53,11 +53,16 @@ def write_triples(triples: DataFrame, path: str) -> None:
     triple_lines(triples).write.text(path)
 
 
+#: Names of mined columns as schema files spell them; other columns keep theirs.
+SPELLED = {"field": "name", "kind": "type"}
+
+
 def schema_documents(fields: DataFrame) -> DataFrame:
-    """(table, document): the mined fields of each table as a JSON list in line order."""
-    names = [c for c in fields.columns if c not in ("file", "table", "cells")]
-    rows = F.array_sort(F.collect_list(F.struct(*names)))
-    return fields.groupBy("table").agg(F.to_json(rows).alias("document"))
+    """(table, document): the mined fields of each table, in line order, as a JSON document that load_schema() reads."""
+    names = [c for c in fields.columns if c not in ("file", "table", "line_no", "cells")]
+    row = F.struct("line_no", F.struct(*(F.col(c).alias(SPELLED.get(c, c)) for c in names)).alias("field"))
+    rows = fields.groupBy("table").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return rows.select("table", F.to_json(F.struct("table", F.transform("rows", lambda r: r["field"]).alias("fields"))).alias("document"))
 
 
 def write_schema_documents(fields: DataFrame, path: str) -> None:
