@@ -32,6 +32,8 @@ from pyspark.sql.window import Window
 
 INT, FLOAT, TEXT, BOOL, OTHER = "int", "float", "text", "bool", "other"
 NUMERIC = (INT, FLOAT)
+#: Somewhat more than the largest whole number of 64 bits.
+LARGE = 2.0**63 * (1 + 1e-9)
 INFINITY, NAN = float("inf"), float("nan")
 
 
@@ -106,25 +108,32 @@ def prepared(text: str) -> tuple[str, dict[str, str]]:
 def whole_power(x: Column, y: Column, literal: int | None) -> Column:
     """An exact integer power: null beyond 64 bits and for negative exponents.
 
-    Small literal exponents are multiplied out. Others are taken by squaring, the square and the product so far
-    being one value of a fold over the exponent's bits. 65 factors are enough: a larger power of anything but 0,
-    1 and -1 has overflowed by then, and those three only alternate.
+    The double's power tells which ones are far beyond, so that they aren't multiplied: a product that overflows
+    costs an exception. Small literal exponents are multiplied out. Others are taken by squaring in a fold, whose
+    value holds the product, the square and what is left of the exponent. 65 factors are enough: a larger power
+    of anything but 0, 1 and -1 has overflowed by then, and those three only alternate.
     """
     one = F.lit(1).cast("bigint")
     if literal is not None and literal < 8:
         found = F.when(x.isNotNull(), one)
         for i in range(literal):
             found = F.try_multiply(found, x) if i else x
-        return found
+        return F.when(F.abs(F.pow(x.cast("double"), F.lit(float(literal)))) < LARGE, found) if literal > 1 else found
     y = F.lit(literal if literal <= 64 else 64 + literal % 2) if literal is not None else F.when(y > 64, F.lit(64) + y % 2).otherwise(y)
-    bits = F.array(*(F.lit(1 << i).cast("bigint") for i in range(7)))
-    start = F.struct(F.when(x.isNotNull() & (y >= 0), one).alias("total"), x.alias("square"))
+    start = F.struct(F.when(x.isNotNull(), one).alias("total"), x.alias("square"), F.when(y >= 0, y.cast("bigint")).alias("left"))
 
-    def fold(found: Column, bit: Column) -> Column:
-        total = F.when(y.bitwiseAND(bit) != 0, F.try_multiply(found["total"], found["square"])).otherwise(found["total"])
-        return F.struct(total.alias("total"), F.try_multiply(found["square"], found["square"]).alias("square"))
+    def fold(found: Column, _: Column) -> Column:
+        half = F.shiftright(found["left"], 1)
+        total = F.when(found["left"].bitwiseAND(F.lit(1).cast("bigint")) == 1, F.try_multiply(found["total"], found["square"])).otherwise(found["total"])
+        square = F.when(half > 0, F.try_multiply(found["square"], found["square"])).otherwise(found["square"])
+        return F.struct(total.alias("total"), square.alias("square"), half.alias("left"))
 
-    return F.aggregate(bits, start, fold, lambda found: found["total"])
+    def fits(found: Column) -> Column:
+        return F.when((found["left"] >= 0) & (F.abs(F.pow(found["square"].cast("double"), found["left"].cast("double"))) < LARGE), found)
+
+    # A list of one value, so that base and exponent are computed once.
+    bound = F.transform(F.array(start), lambda found: F.aggregate(F.array(*map(F.lit, range(7))), fits(found), fold, lambda last: last["total"]))
+    return bound[0]
 
 
 def magnitude(x: Value) -> Column:
@@ -219,6 +228,9 @@ class Translator:
                 rest = x % F.nullif(y, F.lit(0))
                 return Value(F.when((rest != 0) & ((rest < 0) != (y < 0)), rest + y).otherwise(rest), both)
             case ast.Pow():
+                if both == INT and a.literal is not None and b.literal is not None and b.literal >= 0:
+                    known = a.literal ** min(b.literal, 64 + b.literal % 2)
+                    return Value(F.lit(known), INT, known) if abs(known) < 1 << 63 else Value(F.lit(None).cast("bigint"), INT)
                 if both == INT and (b.literal is None or b.literal >= 0):
                     return Value(whole_power(x, y, b.literal), INT)
                 return Value(F.pow(x.cast("double"), y.cast("double")), FLOAT)

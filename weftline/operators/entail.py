@@ -49,8 +49,9 @@ def rdfs_closure(triples: DataFrame, tbox: DataFrame) -> DataFrame:
     triples that may equal them; literals of other properties are passed on as they are.
     """
     above, classes = hierarchy(tbox, "subPropertyOf"), hierarchy(tbox, "subClassOf")
-    higher = classes.groupBy("low").agg(F.collect_set("high").alias("higher"))
-    domains, ranges = classes_of(tbox, "domain", above), classes_of(tbox, "range", above)
+    # Stored, so that their sizes are known when the joins are planned.
+    higher = stored(classes.groupBy("low").agg(F.collect_set("high").alias("higher")))
+    domains, ranges = (stored(classes_of(tbox, rule, above)) for rule in ("domain", "range"))
     made = lambda subject, names: F.transform(names, lambda c: F.struct(subject.alias("s"), c.alias("cls"), F.lit(False).alias("stated")))
     stated = F.when(F.col("p") == RDF_TYPE, F.array(F.struct(F.col("s").alias("s"), F.col("o").alias("cls"), F.lit(True).alias("stated"))))
     found = F.array(made(F.col("s"), F.col("domain")), F.when(F.col("o_kind") == "iri", made(F.col("o"), F.col("range"))), stated)
