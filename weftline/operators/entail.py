@@ -34,31 +34,34 @@ def hierarchy(tbox: DataFrame, relation: str) -> DataFrame:
     return closure(tbox.where(F.col("p") == RDFS + relation).select(F.col("s").alias("low"), F.col("o").alias("high")))
 
 
-def classes_of(tbox: DataFrame, rule: str, above: DataFrame) -> DataFrame:
-    """(p, classes): what a domain or range rule says of a property, by itself and by the properties above it."""
-    rows = tbox.where((F.col("p") == RDFS + rule) & ~F.col("o").startswith(XSD)).select(F.col("s").alias("p"), F.col("o").alias("cls"))
-    inherited = above.join(rows, above["high"] == rows["p"]).select(F.col("low").alias("p"), "cls")
-    return rows.unionByName(inherited).groupBy("p").agg(F.collect_set("cls").alias(rule))
+def type_rules(tbox: DataFrame, above: DataFrame) -> DataFrame:
+    """(p, side, cls): a triple with the property p types its subject (`s`) or object (`o`), by p's own rules and by those of the properties above it.
+
+    One more row says that the property of types states a type itself (`t`).
+    """
+    named = {"domain": "s", "range": "o"}
+    side = F.when(F.col("p") == RDFS + "domain", named["domain"]).otherwise(named["range"])
+    rows = tbox.where(F.col("p").isin([RDFS + r for r in named]) & ~F.col("o").startswith(XSD)).select(F.col("s").alias("p"), side.alias("side"), F.col("o").alias("cls"))
+    inherited = above.join(rows, above["high"] == rows["p"]).select(F.col("low").alias("p"), "side", "cls")
+    stated = tbox.sparkSession.createDataFrame([(RDF_TYPE, "t", None)], "p string, side string, cls string")
+    return rows.unionByName(inherited).distinct().unionByName(stated)
 
 
 def rdfs_closure(triples: DataFrame, tbox: DataFrame) -> DataFrame:
     """A set of triples with what subproperties, domains, object ranges and subclasses entail.
 
-    The schema graph is closed first, and its rules joined as tables of one row per property or class. What is
-    entailed are types and copies of triples under higher properties: only those are made distinct, with the
-    triples that may equal them; literals of other properties are passed on as they are.
+    The schema graph is closed first, and its rules are joined with the data. What is entailed are types and
+    copies of triples under higher properties: only those are made distinct, with the triples that may equal
+    them; literals of other properties are passed on as they are.
     """
     above, classes = hierarchy(tbox, "subPropertyOf"), hierarchy(tbox, "subClassOf")
-    # Stored, so that their sizes are known when the joins are planned.
-    higher = stored(classes.groupBy("low").agg(F.collect_set("high").alias("higher")))
-    domains, ranges = (stored(classes_of(tbox, rule, above)) for rule in ("domain", "range"))
-    made = lambda subject, names: F.transform(names, lambda c: F.struct(subject.alias("s"), c.alias("cls"), F.lit(False).alias("stated")))
-    stated = F.when(F.col("p") == RDF_TYPE, F.array(F.struct(F.col("s").alias("s"), F.col("o").alias("cls"), F.lit(True).alias("stated"))))
-    found = F.array(made(F.col("s"), F.col("domain")), F.when(F.col("o_kind") == "iri", made(F.col("o"), F.col("range"))), stated)
-    types = triples.join(domains, "p", "left").join(ranges, "p", "left").select(F.inline(F.flatten(F.array_compact(found))))
-    raised = F.transform("higher", lambda c: F.struct(c.alias("cls"), F.lit(False).alias("stated")))
-    types = types.join(higher, types["cls"] == higher["low"], "left").select("s", F.inline(F.flatten(F.array_compact(F.array(F.array(F.struct("cls", "stated")), raised)))))
-    new = types.groupBy("s", "cls").agg(F.max("stated").alias("stated")).where(~F.col("stated"))
+    # Stored, so that their sizes are known when the joins are planned; a class that has others above it keeps itself too.
+    rules = stored(type_rules(tbox, above))
+    upward = stored(classes.unionByName(classes.select("low", F.col("low").alias("high"))).distinct())
+    found = triples.join(rules, "p").where((F.col("side") != "o") | (F.col("o_kind") == "iri"))
+    types = found.select(F.when(F.col("side") == "o", F.col("o")).otherwise(F.col("s")).alias("s"), F.coalesce("cls", "o").alias("cls"), (F.col("side") == "t").alias("stated"))
+    raised = types.join(upward, types["cls"] == upward["low"], "left").select("s", F.coalesce("high", "cls").alias("cls"), (F.col("stated") & (F.coalesce("high", "cls") == F.col("cls"))).alias("stated"))
+    new = raised.groupBy("s", "cls").agg(F.max("stated").alias("stated")).where(~F.col("stated"))
     typed = new.select("s", F.lit(RDF_TYPE).alias("p"), F.col("cls").alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("datatype"))
     if above.isEmpty():
         return triples.unionByName(typed)

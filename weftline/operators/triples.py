@@ -112,7 +112,9 @@ def abox(df: DataFrame, schema: TableSchema, base: str = BASE, *, row_id: str |
             there, text, datatype = literal(df, f)
             one = F.struct(F.lit(property_iri(f.name, base, first_token)).alias("p"), text.alias("o"), F.lit("literal").alias("o_kind"), F.lit(datatype).cast("string").alias("datatype"))
             parts.append(F.when(there, one))
-        rows = df.select(s.alias("s"), F.inline(F.array_compact(F.array(*parts)))).where(F.col("s").isNotNull())
+        # The subject comes out of a generator of its own, so that it is computed once for a row, not for a triple.
+        named = df.select(F.inline(F.array(F.struct(s.alias("s"), F.array(*parts).alias("parts"))))).where(F.col("s").isNotNull())
+        rows = named.select("s", F.inline(F.array_compact("parts")))
         found = rows if found is None else found.unionByName(rows)
     return found
 
