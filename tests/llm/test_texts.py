@@ -304,6 +304,57 @@ def test_odd_pages(html, text):
     assert tree_extract.main_text(html) == text
 
 
+def test_short_blocks_of_an_article_stay():
+    long = "Long enough, with commas, to be text of an article, as it is read by people."
+    divs = "".join(f"<div>{'<p>' + t + '</p>'}</div>" for t in (long, "Second.", long, "Last."))
+    assert tree_extract.main_text(f"<body><nav>a</nav>{divs}<footer>f</footer></body>") == f"{long}\nSecond.\n{long}\nLast."
+    menu = "".join(f"<li><a href='/{i}'>one more</a></li>" for i in range(6))
+    many = lambda n: f"<p>{long}</p>" * n
+    mixed = f"<div class='t'>{many(6)}</div><div><ul>{menu}</ul></div><div class='u'>short</div><div class='t'>{many(3)}</div><div class='t'>last</div><div class='z'>after</div>"
+    assert tree_extract.main_text(f"<body>{mixed}</body>") == "\n".join([*[long] * 6, "short", *[long] * 3, "last"])
+
+
+def test_deep_markup_takes_linear_time():
+    text = "deep, text that is read"
+    for html in ("<i>" * 100_000 + text, "<i>" * 50_000 + "<h1>x</h1>" * 20_000 + text, "<p>" + "<b><i>" * 30_000 + "</b>" * 30_000 + text, "<table><tr><td>" * 20_000 + text):
+        began = time.process_time()
+        assert text in tree_extract.main_text(html)
+        assert time.process_time() - began < 8  # a machine three times as slow as usual
+
+
+class WalkingBuilder(tree_extract.TreeBuilder):
+    """The same tags, each found by walking up from the current element."""
+
+    def imply_end(self, tag, ends):
+        depth = 0
+        for node in reversed(self.open[1:]):
+            if node.tag in ends:
+                depth = node.depth
+            elif node.tag in tree_extract.SCOPE and not (tag in ("td", "th", "tr") and node.tag != "table"):
+                break
+        if depth:
+            self.end_from(depth)
+
+    def handle_endtag(self, tag):
+        for node in reversed(self.open[1:]):
+            if node.tag == tag:
+                return self.end_from(node.depth)
+
+
+def test_open_elements_are_those_of_a_walk():
+    rng = random.Random(31)
+    tags = "p div li ul td tr th table i b dl dt dd h1 article option section".split()
+    for _ in range(400):
+        html = "".join(f"<{rng.choice(['', '/'])}{rng.choice(tags)}>{rng.choice(['', 'x'])}" for _ in range(40))
+        shapes = []
+        for kind in (tree_extract.TreeBuilder, WalkingBuilder):
+            builder = kind()
+            builder.feed(html)
+            builder.close()
+            shapes.append([(n.tag, n.parent.depth if n.parent else -1, [c for c in n.children if isinstance(c, str)]) for n in tree_extract.nodes_in_order(builder.root)])
+        assert shapes[0] == shapes[1], html
+
+
 def test_text_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "u", "<p>é日</p>" * 5000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = sorted(((r.page_id or 0, r.n_chars) for r in tree_extract.text_table(pages).collect()))

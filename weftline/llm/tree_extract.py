@@ -15,7 +15,9 @@ off or badly nested is read as far as it goes; repeated rows get equal texts; an
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections.abc import Iterable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -45,10 +47,13 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "points", "chars", "commas", "links", "dropped", "suspect", "mass", "heads", "articles")
+    __slots__ = ("tag", "parent", "children", "points", "chars", "commas", "links", "dropped", "suspect", "mass", "heads", "articles", "kind", "within", "depth")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, suspect: str = ""):
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, suspect: str = "", kind: str | None = None):
         self.tag, self.parent, self.children, self.dropped, self.suspect = tag, parent, [], dropped, suspect
+        self.kind = kind  # the class attribute
+        self.within = tag in ("article", "main") or parent is not None and parent.within
+        self.depth = 0 if parent is None else parent.depth + 1
         self.points, self.chars, self.commas, self.links = 0.0, 0, 0, 0
         self.mass, self.heads, self.articles = 0.0, 0, 0
 
@@ -79,47 +84,63 @@ def suspicion(tag: str, attrs: dict[str, str | None], within_article: bool) -> s
 
 
 class TreeBuilder(HTMLParser):
-    """Builds the tree of what isn't dropped; text of dropped elements is left out."""
+    """Builds the tree of what isn't dropped; text of dropped elements is left out.
+
+    The open elements are kept in order and by tag, so that a tag takes no longer in deep markup.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", None)
+        self.root = Node("#root", None)
+        self.open, self.by_tag = [self.root], {}
+
+    @property
+    def at(self) -> Node:
+        return self.open[-1]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         ends = ENDS.get(tag)
         if ends:
             self.imply_end(tag, ends)
+        above = self.at
         if tag in VOID:
-            if tag in ("br", "hr") and not self.at.dropped:
-                self.at.children.append("\n" if tag == "br" else Node(tag, self.at))
+            if tag in ("br", "hr") and not above.dropped:
+                above.children.append("\n" if tag == "br" else Node(tag, above))
             return
-        inside = self.at
-        while inside is not None and inside.tag not in ("article", "main"):
-            inside = inside.parent
         known = dict(attrs)
-        node = Node(tag, self.at, self.at.dropped or left_out(tag, known), suspicion(tag, known, inside is not None))
+        node = Node(tag, above, above.dropped or left_out(tag, known), suspicion(tag, known, above.within), known.get("class"))
         if not node.dropped:
-            self.at.children.append(node)
-        self.at = node
+            above.children.append(node)
+        self.open.append(node)
+        self.by_tag.setdefault(tag, []).append(node)
+
+    def close(self) -> None:
+        super().close()
+        self.end_from(1)
+
+    def end_from(self, depth: int) -> None:
+        """Ends the open elements of this depth and below."""
+        while len(self.open) > depth:
+            self.by_tag[self.open.pop().tag].pop()
+
+    def innermost(self, tags: Iterable[str]) -> int:
+        """The depth of the innermost open element of these tags, or 0."""
+        return max((nodes[-1].depth for t in tags if (nodes := self.by_tag.get(t))), default=0)
 
     def imply_end(self, tag: str, ends: frozenset[str]) -> None:
-        node, last = self.at, None
-        while node.parent is not None:
-            if node.tag in ends:
-                last = node
-            elif node.tag in SCOPE and not (tag in ("td", "th", "tr") and node.tag != "table"):
-                break
-            node = node.parent
-        if last is not None:
-            self.at = last.parent
+        """Ends the outermost element that the start tag ends, of those within the innermost scope."""
+        scope = self.innermost(["table"] if tag in ("td", "th", "tr") else SCOPE - ends)
+        found = []
+        for t in ends:
+            nodes = self.by_tag.get(t, [])
+            if nodes and nodes[-1].depth > scope:
+                found.append(nodes[bisect.bisect_right(nodes, scope, key=lambda n: n.depth)].depth)
+        if found:
+            self.end_from(min(found))
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent is not None:
-            if node.tag == tag:
-                self.at = node.parent
-                return
-            node = node.parent
+        if depth := self.innermost([tag]):
+            self.end_from(depth)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -240,7 +261,21 @@ def chosen(root: Node) -> list[Node]:
         paragraph = node.tag in PARAGRAPHS and node.chars and (density < 0.25 if node.chars > 80 else density == 0)
         if node is best or node.chars and (node.tag == best.tag == "article" or final(node) >= least and density < 0.5 or paragraph):
             kept.append(node)
-    return kept
+    return with_short_siblings(best, kept)
+
+
+def with_short_siblings(best: Node, kept: list[Node]) -> list[Node]:
+    """The siblings kept, with blocks of the same article that are too short to score.
+
+    These lie between two that are kept, or are of the best one's tag and class where others like it are kept.
+    """
+    alike = lambda n: (n.tag, n.kind) == (best.tag, best.kind)
+    series = sum(alike(n) for n in kept) > 1
+    siblings = [n for n in best.parent.children if isinstance(n, Node)]
+    known = {id(n) for n in kept}
+    places = [i for i, n in enumerate(siblings) if id(n) in known]
+    text = lambda n: n.chars and link_density(n) < 0.5 and n.tag in BLOCK
+    return [n for i, n in enumerate(siblings) if id(n) in known or text(n) and (places[0] < i < places[-1] or series and alike(n))]
 
 
 def blocks(nodes: list[Node]) -> list[str]:
