@@ -218,6 +218,34 @@ def test_interlacing_and_damage():
             gif_media.decode_gif(bad)
 
 
+def test_any_changed_byte_decodes_or_is_refused():
+    rng = random.Random(21)
+    data = gif_media.encode_gif(gif_media.payload_of(b"some bytes, some more bytes " * 9))
+    for at in range(len(data)):
+        if 800 < at < len(data) - 60 and at % 3:  # the palette is long
+            continue
+        for value in {0, 1, 63, 255, rng.randrange(256)}:
+            changed = data[:at] + bytes([value]) + data[at + 1 :]
+            try:
+                gif_media.decode_gif(changed, canvases=False)
+            except ValueError:
+                pass
+    for cut in range(0, len(data), 7):
+        with pytest.raises(ValueError):
+            gif_media.decode_gif(data[:cut])
+    huge = data[:6] + b"\xff\xff\xff\xff" + data[10:]
+    with pytest.raises(ValueError):
+        gif_media.decode_gif(huge)
+
+
+def test_damaged_media_give_nulls(spark):
+    data = gif_media.encode_gif(gif_media.payload_of(b"x"))
+    code_size = data.index(b"\x2c") + 10
+    media = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(data[:6] + b"\xff" * 4 + data[10:])), (3, bytearray(data[:code_size] + b"?" + data[code_size + 1 :])), (4, None)], "doc_id long, media binary")
+    got = {r.doc_id: r for r in gif_media.decode_media(media).collect()}
+    assert len(got[1].frames) == 1 and all(got[i].frames is None for i in (2, 3, 4)) and got[2].media_bytes == len(data)
+
+
 def test_media_table(spark, odd_documents, no_documents):
     got = gif_media.media_table(odd_documents).collect()
     want = []

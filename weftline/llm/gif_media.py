@@ -8,7 +8,8 @@ composed canvas's red, green and blue in 16 bins each.
 Defined results: a null or empty text has a payload of 64 zero bytes; payloads of any length are stored
 whole, in as many frames as needed; equal texts have equal media; bytes that are no GIF raise ValueError
 in `decode_gif` and give a null frame list in `decode_media`, and so do files that are cut off, code streams
-that end before their pixels and codes outside the palette; null media give nulls.
+that end before their pixels, code sizes and codes that no GIF has, codes outside the palette, and screens or
+frames of more than MAX_PIXELS; null media give nulls.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import persisted
 
 WIDTH, FRAME_ROWS, DELAY_MS, BINS = 64, 128, 40, 16
 MAX_CODES = 4096
+#: A screen or frame with more than this is refused before memory is taken for it: 64 million, 4,096 x 16,384.
+MAX_PIXELS = 1 << 26
 #: Grey levels: index i is the colour (i, i, i).
 GREYS = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 FRAME_TYPE = "struct<frame: int, t_ms: long, delay_ms: int, x: int, y: int, w: int, h: int, disposal: int, transparent: int, red: array<int>, green: array<int>, blue: array<int>>"
@@ -129,6 +132,8 @@ def unlzw(stream: bytes, min_bits: int, n_pixels: int) -> bytes:
     Widths follow from the place after the last clear code, so the codes up to the next clear or end code
     are cut out of the bits together.
     """
+    if not 1 <= min_bits <= 8:
+        raise ValueError("a code size that no GIF has")
     clear, end = 1 << min_bits, (1 << min_bits) + 1
     widths, offsets = schedule(min_bits)
     padded = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.uint32)
@@ -223,12 +228,14 @@ def decode_gif(data: bytes, canvases: bool = True) -> list[Frame]:
         raise ValueError("not a GIF file")
     try:
         return _decode(data, canvases)
-    except (struct.error, IndexError) as e:
+    except (struct.error, IndexError, OverflowError) as e:
         raise ValueError("damaged GIF file") from e
 
 
 def _decode(data: bytes, canvases: bool) -> list[Frame]:
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > MAX_PIXELS:
+        raise ValueError("a screen of more than MAX_PIXELS")
     at, frames, t = 13, [], 0
     shared = GREYS
     if flags & 0x80:
@@ -260,6 +267,8 @@ def _decode(data: bytes, canvases: bool) -> list[Frame]:
         elif kind == 0x2C:
             x, y, w, h, bits = struct.unpack_from("<HHHHB", data, at + 1)
             at, palette = at + 10, shared
+            if w * h > MAX_PIXELS:
+                raise ValueError("a frame of more than MAX_PIXELS")
             if bits & 0x80:
                 n = 2 << (bits & 7)
                 palette = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
@@ -360,4 +369,5 @@ def media_table(docs: DataFrame) -> DataFrame:
     last = F.element_at("frames", -1)
     told = [F.concat(F.lit(f"{c}="), F.array_join(x.cast("array<string>"), ",")) for c, x in zip("rgb", sums, strict=True)]
     feature = F.concat_ws(";", F.concat(F.lit("frames="), F.size("frames")), F.concat(F.lit("ms="), last["t_ms"] + last["delay_ms"]), *told)
-    return decode_media(store_media(docs)).withColumn("feature", feature)
+    found = decode_media(store_media(docs)).withColumn("feature", feature)
+    return found.select(*(c for c in found.columns if c not in ("frames", "feature")), "feature", "frames")
