@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 import re
 import zlib
 
@@ -209,6 +210,30 @@ def test_items_with_all_edits_allowed(spark):
     assert sum((i, i) in got for i in range(400)) >= 400 * (cgk_decontam.RECALL - 0.02)
 
 
+def test_long_items(spark):
+    """Items of thousands of words with a fifth of them edited: found, and searched for with the walks of short ones."""
+    rng = random.Random(51)
+    words = lambda n: [f"w{rng.randrange(30_000)}" for _ in range(n)]
+    began = time.process_time()
+    assert all(cgk_decontam.walks_for(cgk_decontam.class_of(n)) <= 6 for n in (64, 127, 128, 1000, 20_000)) and time.process_time() - began < 6
+    lengths = [64, 127, 128, 200, 300, 700, 1500, 5000, 20_000]
+    items, rows = [], []
+    for i, n in enumerate(lengths):
+        item = words(n)
+        items.append((i, " ".join(item)))
+        rows.append((i, " ".join(words(150) + with_edits(rng, item, cgk_decontam.edits_of(n)) + words(90)), "en", "s", 1))
+        rows.append((100 + i, " ".join(words(40) + item[: n // 2]), "en", "s", 1))  # half an item is none
+    got = {(r.doc_id, r.item_id): r.distance for r in cgk_decontam.contamination(spark.createDataFrame(rows, DOCUMENTS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(i, i) for i in range(len(lengths))} and all(d <= cgk_decontam.edits_of(lengths[i]) for (i, _), d in got.items())
+
+
+def test_pieces_cover_an_item():
+    for n in (1, 8, 63, 64, 127, 128, 129, 4999):
+        pieces = cgk_decontam.pieces_of(n)
+        assert pieces[0][0] == 0 and pieces[-1][1] == n and all(a[1] == b[0] for a, b in zip(pieces, pieces[1:], strict=False))
+        assert n < 128 and len(pieces) == 1 or all(64 <= e - b < 128 for b, e in pieces)
+
+
 def test_short_items_are_found_exactly(spark):
     rng = random.Random(5)
     few = VOCABULARY[:12]

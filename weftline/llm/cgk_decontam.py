@@ -6,8 +6,10 @@ string whose Hamming distance stays small where the edit distance is small. A sa
 is a key; each walk has SAMPLES samples. Walks are repeated until simulated passages with as many edits as
 may be are found with a chance of RECALL (walks_for()); unedited passages always are.
 
-Windows are item-sized: items of n words belong to the size class N, the largest power of two up to n.
-Documents are cut into windows of each class in use at every N / 4 words, items at every word, so that
+Windows are item-sized: items of n words belong to the size class N, the largest power of two up to n. An item of
+twice LONGEST words or more is cut into pieces of that class: of a passage with a fifth of its words edited, some
+piece has a fifth of its own edited at most, so it is found at least as surely as that piece, and verified as a
+whole. Walks and windows so depend on no item's length. Documents are cut into windows of each class in use at every N / 4 words, items at every word, so that
 whatever a passage's place in a document some window starts at the same word as the item's.
 
 Items of fewer than MIN_WORDS words may have one edit at most, none below five words. They are found exactly,
@@ -41,6 +43,8 @@ RECALL, SAMPLES, BITS, SEED = 0.98, 4, 2, 47
 TRIALS = 400
 BITMAP_BITS, SALTS = 26, 8
 BLOCK = 1 << 14
+#: The words of the largest size class; a power of two.
+LONGEST = 64
 A, B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -178,7 +182,13 @@ def short_keys(words: np.ndarray, n: int, item: bool) -> list[np.ndarray]:
 
 def class_of(n: int) -> int:
     """The size class of an item of n words; short lengths are classes of their own, as negative numbers."""
-    return size_class(n) if n >= MIN_WORDS else -n
+    return min(size_class(n), size_class(LONGEST)) if n >= MIN_WORDS else -n
+
+
+def pieces_of(n: int) -> list[tuple[int, int]]:
+    """The pieces of an item of n words: itself, or equal parts of LONGEST words and less than twice as many."""
+    ends = [n * k // max(1, n // LONGEST) for k in range(max(1, n // LONGEST) + 1)]
+    return list(zip(ends[:-1], ends[1:], strict=True))
 
 
 def item_classes(items: DataFrame) -> list[int]:
@@ -205,8 +215,11 @@ def item_keys(items: DataFrame, walks: dict[int, int]) -> DataFrame:
                 if size < 0:
                     keys = np.concatenate(short_keys(words, len(words), True))
                 else:
-                    starts = np.arange(max((1 << size) // 4, len(words) - (1 << size) + 1))
-                    keys = np.concatenate([walk_keys(symbols(words), starts, size, w).ravel() for w in range(walks[size])])
+                    found = []
+                    for b, e in pieces_of(len(words)):
+                        starts = np.arange(max((1 << size) // 4, e - b - (1 << size) + 1))
+                        found += [walk_keys(symbols(words[b:e]), starts, size, w).ravel() for w in range(walks[size])]
+                    keys = np.concatenate(found)
                 keys = np.unique(keys[keys != 0]).view(np.int64)
                 yield pa.RecordBatch.from_pydict({"key": keys, "item": pa.array([item] * len(keys), pa.binary())})
 
