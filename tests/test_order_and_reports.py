@@ -209,6 +209,17 @@ def test_streams_of_keys(spark, tmp_path):
     assert sorted(str(r.t) for r in left.collect()) == ["2024-01-01 00:03:00", "2024-01-01 03:00:00"]  # the last is still open
 
 
+def test_graphs_of_unique_subjects_are_not_shuffled(spark):
+    schema = TableSchema("T", [Field("k", "integer"), Field("v")], ["k"])
+    once = pipeline.table_to_triples(spark.createDataFrame([(1, "a"), (2, "a"), (None, "b")], "k long, v string"), schema, [schema])
+    twice = pipeline.table_to_triples(spark.createDataFrame([(1, "a"), (1, "a"), (2, "a")], "k long, v string"), schema, [schema])
+    assert len(once.collect()) == len(set(once.collect())) == 6 + 6 and len(twice.collect()) == len(set(twice.collect())) == 6 + 6
+    assert "REPARTITION" not in final_plan(once) and "REPARTITION" in final_plan(twice)
+    both = TableSchema("T", [Field("k", "integer"), Field("V"), Field("v")], ["k"])
+    clash = spark.createDataFrame([(1, "a", "x")], "k long, v string, w string")
+    assert pipeline.table_to_triples(clash, both, [both]).where("o = 'a'").count() == 1
+
+
 EXTREMES = [
     (-(1 << 63), float("nan"), "", None, True, "2024-01-01", "["), ((1 << 63) - 1, float("inf"), "abc", "x", False, "1900-01-01", "(("), (0, -0.0, "日本", "", None, None, None), (None, None, None, None, None, "2024-12-31", "12"), (-1, 1e308, "  ", "1", True, "2024-01-01", "abc"), (3, -2.5, "12", "12", False, "2024-02-29", "é"),
 ]

@@ -20,12 +20,18 @@ class Inconsistent(ValueError):
 
 
 def table_to_triples(df: DataFrame, schema: TableSchema, schemas: Iterable[TableSchema], *, base: str = BASE, row_id: str | None = None, check: bool = True) -> DataFrame:
-    """The graph of a table and of all declared schemas; with check, raises Inconsistent before anything is written."""
+    """The graph of a table and of all declared schemas; with check, raises Inconsistent before anything is written.
+
+    Where each subject is of one row, which one narrow count of subjects tells, and each field has a property of
+    its own, the triples are a set as they are, none is one of the schemas', and no triple is shuffled.
+    """
     tbox = triples.tbox(triples.schema_fields(df.sparkSession, schemas), base)
     abox = triples.abox(df, schema, base, row_id=row_id)
     if check and not entail.consistent(abox, tbox):
         raise Inconsistent("literals outside their properties' ranges; see entail.inconsistencies()")
-    return triples.graph_union(tbox, abox)
+    properties = [triples.property_iri(f.name, base) for f in schema.fields if f.name in df.columns]
+    unique = len(set(properties)) == len(properties) and triples.subjects_are_unique(df, triples.subject(df, schema, base, row_id=row_id))
+    return triples.graph_union(tbox, abox, disjoint=unique)
 
 
 def csv_to_triples(spark, schema_path: str, csv_path: str, output: str, *, schema_folder: str, order_by: list[str] | None = None, check: bool = True) -> None:
