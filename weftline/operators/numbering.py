@@ -86,9 +86,19 @@ def with_running_total(df: DataFrame, value: Column, column: str, row_id: str =
 
 
 def with_shift(df: DataFrame, value: Column, by: int, column: str, row_id: str = "row_id") -> DataFrame:
-    """The value of the row `by` places before, by row number."""
-    others = df.select((name_of(row_id) + by).alias("__to"), value.alias(column))
-    return df.join(others, name_of(row_id) == F.col("__to"), "left").drop("__to")
+    """The value of the row `by` places before, or after if it is negative, by contiguous row numbers.
+
+    Rows are dealt in runs of CHUNK; the border rows that the next run looks back at go there too, as copies that
+    are dropped again, so that rows meet in one shuffle. Shifts by whole runs are a join by number.
+    """
+    if abs(by) >= CHUNK:
+        others = df.select((name_of(row_id) + by).alias("__to"), value.alias(column))
+        return df.join(others, name_of(row_id) == F.col("__to"), "left").drop("__to")
+    run = F.shiftright(name_of(row_id), CHUNK.bit_length() - 1)
+    needed = F.shiftright(name_of(row_id) + by, CHUNK.bit_length() - 1)  # the run of the row that looks here
+    rows = df.select("*", run.alias("__own"), F.explode(F.array_distinct(F.array(run, needed))).alias("__run"))
+    within = Window.partitionBy("__run").orderBy(row_id)
+    return rows.withColumn(column, F.lag(value, by).over(within)).where("__own = __run").drop("__own", "__run")
 
 
 def ranked_values(df: DataFrame, value: Column, column: str) -> DataFrame:
