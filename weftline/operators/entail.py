@@ -29,9 +29,12 @@ def closure(pairs: DataFrame) -> DataFrame:
         found, power = found.unionByName(new), stored(on(power))
 
 
-def hierarchy(tbox: DataFrame, relation: str) -> DataFrame:
-    """The closure of a subclass or subproperty relation, as (low, high)."""
-    return closure(tbox.where(F.col("p") == RDFS + relation).select(F.col("s").alias("low"), F.col("o").alias("high")))
+def hierarchies(tbox: DataFrame, *relations: str) -> list[DataFrame]:
+    """The closures of subclass and subproperty relations, each as (low, high), found together: names carry their relation."""
+    rows = tbox.where(F.col("p").isin([RDFS + r for r in relations]))
+    found = closure(rows.select(F.concat_ws(" ", "p", "s").alias("low"), F.concat_ws(" ", "p", "o").alias("high")))
+    bare = lambda c, r: F.substr(c, F.lit(len(RDFS + r) + 2)).alias(c)
+    return [found.where(F.startswith("low", F.lit(f"{RDFS}{r} "))).select(bare("low", r), bare("high", r)) for r in relations]
 
 
 def type_rules(tbox: DataFrame, above: DataFrame) -> DataFrame:
@@ -54,7 +57,7 @@ def rdfs_closure(triples: DataFrame, tbox: DataFrame) -> DataFrame:
     copies of triples under higher properties: only those are made distinct, with the triples that may equal
     them; literals of other properties are passed on as they are.
     """
-    above, classes = hierarchy(tbox, "subPropertyOf"), hierarchy(tbox, "subClassOf")
+    above, classes = hierarchies(tbox, "subPropertyOf", "subClassOf")
     # Stored, so that their sizes are known when the joins are planned; a class that has others above it keeps itself too.
     rules = stored(type_rules(tbox, above))
     upward = stored(classes.unionByName(classes.select("low", F.col("low").alias("high"))).distinct())
