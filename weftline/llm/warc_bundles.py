@@ -5,9 +5,10 @@ the seekable format (a skippable frame), and returns an index that maps record i
 offsets within them. Reading goes through the seek tables: a task reads runs of FRAMES_PER_READ frames.
 
 Records with equal payloads of at least MIN_SHARED bytes share one: that with the smallest page_id is a
-response, the others are revisits that name it and carry no payload. Responses are written first, where
-their pages were read; only digests are shuffled to find equal payloads. Revisits follow, with the
-identifiers that the index gives for the responses.
+response, the others are revisits that name it and carry no payload. Equal payloads are found by their digests
+alone. Responses are written first, where their pages were read as long as the table of shared digests is
+small enough for Spark to broadcast; beyond that this join deals payloads by digest once, hot digests aside.
+Revisits follow, with the identifiers that the index gives for the responses.
 
 Identifiers hold the bundle and the place in it besides the page, so repeated rows have different ones.
 
