@@ -70,13 +70,13 @@ def test_clusters_are_those_of_all_distances(spark, n):
 
 def test_bounds_never_pass_the_distance():
     random = np.random.default_rng(1)
-    for scale in (1, 1000, 1 << 26):
+    for scale in (1, 1000, 1 << 26, (1 << 31) - 1):
         x, c, p = (random.integers(-scale, scale + 1, (n, 64)) for n in (300, 9, 8))
         c[0], c[1], p[1] = p[0], x[0], p[0]  # a centroid on a pivot and one on a vector, equal pivots
         pivots = ptolemaic_kmeans.Pivots.of(p)
         exact = ptolemaic_kmeans.squared(x, c)
         bound = ptolemaic_kmeans.lower_bounds(ptolemaic_kmeans.squared(x, p), ptolemaic_kmeans.squared(c, p), pivots)
-        assert (bound <= exact * (1 + 2.0**-50)).all()
+        assert (bound <= exact.astype(float) * (1 + 2.0**-50)).all()
         cluster, distance, _ = ptolemaic_kmeans.nearest(x, ptolemaic_kmeans.squared(x, p), c, pivots)
         assert (cluster == exact.argmin(axis=1)).all() and (distance == exact.min(axis=1)).all()
 
@@ -90,6 +90,17 @@ def test_bounds_leave_out_far_centroids():
     assert checked.mean() < 1.5
 
 
+def test_kmeans_of_outliers(spark):
+    vectors = [v.tolist() for v in random_vectors(60)]
+    vectors += [[1e6, *vectors[0][1:]], [-2e5] * 64, [2e6] * 64, [-2e6] * 64]
+    ids = list(range(len(vectors)))
+    want, _ = plain_kmeans(vectors, ids)
+    got = {r.vec_id: r for r in ptolemaic_kmeans.cluster_table(frame(spark, vectors)).collect()}
+    for i, (d, j) in enumerate(want):
+        assert got[i].cluster == j and got[i].distance == (d if d < 1 << 63 else None)
+    assert any(d >= 1 << 63 for d, _ in want) == any(r.inertia is None for r in got.values())
+
+
 def test_kmeans_ties_and_no_rows(spark):
     got = ptolemaic_kmeans.cluster_table(frame(spark, [[0.25] * 64] * 20)).collect()
     assert {(r.cluster, r.distance, r.inertia) for r in got} == {(0, 0, 0)} and len(got) == 20

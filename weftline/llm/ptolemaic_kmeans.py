@@ -1,6 +1,6 @@
 """Centroid clustering over integer vectors, with Ptolemaic lower bounds from pivot distances.
 
-The vectors are scaled to integers and stored once, with their exact squared distances to fixed pivots. In
+The vectors are scaled to integers and stored once, with their squared distances to fixed pivots as doubles. In
 each round the centroids' distances to the pivots are computed on the driver (a few dozen numbers); a task
 then bounds every distance from a vector x to a centroid c from below by Ptolemy's inequality,
 
@@ -12,8 +12,8 @@ a left-out centroid is strictly farther and ties are seen: the result is that of
 A round's centroid sums are added in each task first; what meets in a shuffle is one row per task and number.
 
 Defined results: vectors that are null, hold null or non-finite entries or have another number of components
-are left out; scaled components beyond LIMIT in absolute value count as LIMIT, so that squared distances fit
-in 64 bits; a null identifier hashes as an empty one and comes out null; rows with one identifier are separate
+are left out; scaled components beyond LIMIT in absolute value count as LIMIT; distances beyond 64 bits are
+compared exactly too, and null in the result, as are sums; a null identifier hashes as an empty one and comes out null; rows with one identifier are separate
 vectors, put in the order of their components where the order of the start matters; with fewer vectors than
 centroids there are as many centroids as vectors; an empty table gives no rows. Other columns are not read.
 """
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from .common import persisted, scratch
 from .vectors import SCALE, integer_vectors, matrix, stored_rows, summed
 
-LIMIT = 1 << 27
+LIMIT = (1 << 31) - 1
 CLUSTERS, ROUNDS, DIMS, SEED, PIVOTS = 8, 10, 64, 3, 8
 #: More than the relative error of any bound here, and far more than doubles of 64-bit integers lose.
 MARGIN = 2.0**-46
-FAR = np.iinfo(np.int64).max
+LARGEST = np.iinfo(np.int64).max
 
 
 @dataclass
@@ -54,12 +54,19 @@ class Pivots:
         return cls(vectors, [(p, s, float(np.sqrt(float(square[p, s])))) for p, s in sorted(found)])
 
 
+def exact_type(x: np.ndarray, y: np.ndarray) -> type:
+    """What holds all squared distances between rows: 64 bits, or Python's integers."""
+    most = sum(int(np.abs(a).max()) if a.size else 0 for a in (x, y))
+    return np.int64 if x.shape[1] * most**2 < LARGEST else object
+
+
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Exact squared distances of the rows of x to each of the few rows of y."""
-    out = np.empty((len(x), len(y)), np.int64)
-    for j, row in enumerate(y):
+    kind = exact_type(x, y)
+    out, x = np.empty((len(x), len(y)), kind), x.astype(kind)
+    for j, row in enumerate(y.astype(kind)):
         gap = x - row
-        out[:, j] = np.einsum("ij,ij->i", gap, gap)
+        out[:, j] = (gap * gap).sum(axis=1)
     return out
 
 
@@ -76,16 +83,17 @@ def lower_bounds(to_pivots: np.ndarray, centroid_to_pivots: np.ndarray, pivots:
 def nearest(x: np.ndarray, to_pivots: np.ndarray, centroids: np.ndarray, pivots: Pivots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each row the nearest centroid (the smallest number of equally near ones), its squared distance, and how many were computed."""
     bound = lower_bounds(to_pivots, squared(centroids, pivots.vectors), pivots)
-    rows, first = np.arange(len(x)), bound.argmin(axis=1)
-    exact = np.full(bound.shape, FAR)
+    rows, first, kind = np.arange(len(x)), bound.argmin(axis=1), exact_type(x, centroids)
+    far = LARGEST if kind is np.int64 else 1 << 100
+    x, centroids, exact = x.astype(kind), centroids.astype(kind), np.full(bound.shape, far, kind)
     gap = x - centroids[first]
-    best = exact[rows, first] = np.einsum("ij,ij->i", gap, gap)
+    best = exact[rows, first] = (gap * gap).sum(axis=1)
     for j, centroid in enumerate(centroids):
-        left = np.flatnonzero((bound[:, j] <= best * (1 + MARGIN)) & (first != j))
+        left = np.flatnonzero((bound[:, j] <= best.astype(np.float64) * (1 + MARGIN)) & (first != j))
         gap = x[left] - centroid
-        exact[left, j] = np.einsum("ij,ij->i", gap, gap)
+        exact[left, j] = (gap * gap).sum(axis=1)
         best[left] = np.minimum(best[left], exact[left, j])
-    return exact.argmin(axis=1), best, (exact != FAR).sum(axis=1)
+    return exact.argmin(axis=1), best, (exact != far).sum(axis=1)
 
 
 def first_vectors(rows: DataFrame, n: int, seed: int) -> np.ndarray:
@@ -100,11 +108,16 @@ def with_pivots(rows: DataFrame, pivots: Pivots, dims: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = squared(matrix(batch.column(1), dims, 0), pivots.vectors)
+            d = squared(matrix(batch.column(1), dims, 0), pivots.vectors).astype(np.float64)
             offsets = pa.array(np.arange(len(d) + 1, dtype=np.int32) * d.shape[1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(d.ravel()))], ["vec_id", "x", "p"])
 
-    return rows.mapInArrow(work, "vec_id long, x array<int>, p array<long>")
+    return rows.mapInArrow(work, "vec_id long, x array<int>, p array<double>")
+
+
+def cached(batch: pa.RecordBatch) -> np.ndarray:
+    """A batch's squared distances to the pivots."""
+    return batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
 def moved(rows: DataFrame, centroids: np.ndarray, pivots: Pivots) -> np.ndarray:
@@ -113,7 +126,7 @@ def moved(rows: DataFrame, centroids: np.ndarray, pivots: Pivots) -> np.ndarray:
 
     def part(batch: pa.RecordBatch) -> np.ndarray:
         x = matrix(batch.column(1), dims, 0)
-        cluster, _, _ = nearest(x, matrix(batch.column(2), len(pivots.vectors), 0), centroids, pivots)
+        cluster, _, _ = nearest(x, cached(batch), centroids, pivots)
         sums = np.zeros((k, dims + 1), np.int64)
         for j in range(k):
             own = x[cluster == j]
@@ -135,8 +148,9 @@ def assigned(rows: DataFrame, centroids: np.ndarray, pivots: Pivots) -> DataFram
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cluster, distance, checked = nearest(matrix(batch.column(1), dims, 0), matrix(batch.column(2), len(pivots.vectors), 0), centroids, pivots)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cluster.astype(np.int32)), pa.array(distance), pa.array(checked.astype(np.int32))], ["vec_id", "cluster", "distance", "checked"])
+            cluster, distance, checked = nearest(matrix(batch.column(1), dims, 0), cached(batch), centroids, pivots)
+            distance = pa.array([d if d <= LARGEST else None for d in distance.tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cluster.astype(np.int32)), distance, pa.array(checked.astype(np.int32))], ["vec_id", "cluster", "distance", "checked"])
 
     return rows.mapInArrow(work, "vec_id long, cluster int, distance long, checked int")
 
@@ -176,8 +190,9 @@ def cluster_table(vectors: DataFrame, **options) -> DataFrame:
     if found is None:
         return vectors.sparkSession.createDataFrame([], "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string, checked int")
     rows = persisted(found.assign(), "clusters")
-    sums = {r["cluster"]: int(r["d"]) for r in rows.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("d")).collect()}
-    total, most = sum(sums.values()), (1 << 63) - 1
+    counted = rows.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("d"), F.count_if(F.col("distance").isNull()).alias("beyond")).collect()
+    sums = {r["cluster"]: int(r["d"]) if not r["beyond"] else LARGEST + 1 for r in counted}
+    total, most = sum(sums.values()), LARGEST
     digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in found.centroids.tolist()]
     per = [(j, d if d <= most else None, total if total <= most else None, digests[j]) for j, d in sums.items()]
     of = vectors.sparkSession.createDataFrame(per, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")

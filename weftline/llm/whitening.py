@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import persisted, scratch
 from .vectors import integer_vectors, matrix, stored_rows, summed
 
-SHIFT, LIMIT = 100_000, 1 << 30
+SHIFT, LIMIT = 100_000, (1 << 31) - 1 - 100_000
 COMPONENTS, SEED = 8, 11
 #: A coefficient below this part of X's norm is a breakdown; a residual below CONVERGED of the largest singular value is rounding.
 BREAKDOWN, CONVERGED, RANK = 1e-10, 1e-15, 1e-12
