@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.iri import BASE
 from .operators import entail, numbering, specmine, triples
 from .operators.steps import apply_steps
+from .plans import pipeline
 from .plans.config import Contract, ContractTable, Field, Step, TableSchema
 from .registry import formula, query, table
 from .samples import spec_lines
-from .sources import readers
+from .sources import readers, writers
 from .sources.shared import new_folder
 
-RDF, RDFS = triples.RDF_TYPE, triples.RDFS
+RDF, RDFS, OWL, XSD = triples.RDF_TYPE, triples.RDFS, triples.OWL, triples.XSD
 
 
 def lineitem_files(spark: SparkSession, sf_dir: str) -> str:
@@ -49,6 +51,19 @@ def write_lines(df: DataFrame, line: Column, header: str, path: str) -> None:
     both.repartition("part").sortWithinPartitions("part", "at").select("line", "part").write.partitionBy("part").text(path)
 
 
+@query(f"""
+WITH r AS (SELECT '<{BASE}Lines_' || row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) || '> ' AS s, * FROM lineitem)
+SELECT s || '<{RDF}> <{BASE}LINES> .' AS value FROM r UNION ALL SELECT s || '<{BASE}L_PARTKEY> "' || l_partkey || '"^^<{XSD}integer> .' FROM r UNION ALL
+SELECT '<{BASE}' || x[1] || '> <' || x[2] || '> <' || x[3] || '> .' FROM (SELECT unnest([['LINES', '{RDF}', '{OWL}Class'], ['L_PARTKEY', '{RDF}', '{OWL}DatatypeProperty'], ['L_PARTKEY', '{RDFS}domain', '{BASE}LINES'], ['L_PARTKEY', '{RDFS}range', '{XSD}integer']]) AS x)""")
+def csv_to_triples_in_file_order(spark, sf_dir):
+    """CSV files without a key to statements: subjects are numbered as the rows stand in the files."""
+    folder = new_folder(spark, "e1")
+    schema = "table: Lines\nfields:\n  - {name: l_partkey, type: integer}\n"
+    writers.write_files(spark.createDataFrame([("lines.yaml", schema)], "name string, value string"), f"{folder}/schemas")
+    pipeline.csv_to_triples(spark, f"{folder}/schemas/lines.yaml", lineitem_files(spark, sf_dir), f"{folder}/out", schema_folder=f"{folder}/schemas")
+    return spark.read.text(f"{folder}/out")
+
+
 def ragged(spark: SparkSession, sf_dir: str) -> str:
     """Customers as CSV files: every seventh record has a cell too many, others lack one or hold a line break."""
     path, key = new_folder(spark, "ragged"), F.col("c_custkey")
