@@ -368,4 +368,4 @@ def test_pipeline_of_odd_documents(spark, odd_documents, no_documents, tmp_path)
 def test_every_operator_is_registered():
     from weftline.llm.queries import ORACLE_SQL, QUERIES
 
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)

@@ -240,7 +240,7 @@ def test_any_changed_byte_decodes_or_is_refused():
 
 def test_damaged_media_give_nulls(spark):
     data = gif_media.encode_gif(gif_media.payload_of(b"x"))
-    code_size = data.index(b"\x2c") + 10
+    code_size = data.index(b"\x2c\0\0\0\0\x40\0") + 10  # after the image's place, width 64, height and flags
     media = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(data[:6] + b"\xff" * 4 + data[10:])), (3, bytearray(data[:code_size] + b"?" + data[code_size + 1 :])), (4, None)], "doc_id long, media binary")
     got = {r.doc_id: r for r in gif_media.decode_media(media).collect()}
     assert len(got[1].frames) == 1 and all(got[i].frames is None for i in (2, 3, 4)) and got[2].media_bytes == len(data)
