@@ -7,6 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from weftline import queries_reports
 from weftline.functions.formula import FormulaError, compile_formula
 from weftline.operators import contract, entail, numbering, specmine, triples
 from weftline.operators.steps import apply_steps
@@ -274,3 +275,24 @@ def test_stated_values(spark):
         with pytest.raises(FormulaError):
             compile_formula(text, df.schema)
             compile_formula("nope", df.schema)
+
+
+def test_schema_files_are_read_in_tasks(spark, tmp_path, monkeypatch):
+    files = {
+        "a.yaml": '{"table": "A", "fields": [{"name": "x", "length": 1e1, "enum": [1, 1.50, 1E5, "b"], "precision": NaN}, {"name": "y", "type": "int", "required": "sí", "length": 3}]}',
+        "b.yml": "- {Campo: z, Tipo: float, Longitud: '20,6'}\n", "bad.yaml": "foo: [bar\n", "no.yaml": '{"foo": 1}', "metadatos.yaml": "fields: [b]\n", "other.txt": "fields: [c]\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    schemas, errors = config.load_schemas(tmp_path)
+    assert schemas[0].fields[0].enum == ["1", "1.5", "1E5", "b"] and schemas[0].fields[0].length is None  # as YAML reads them
+    want = [(s.name, at, f.name, f.kind, f.required, f.length, config.whole_number(f.precision), f.enum) for s in schemas for at, f in enumerate(s.fields)]
+
+    def on_driver(*_):
+        raise AssertionError("documents on the driver")
+
+    monkeypatch.setattr(config, "file_texts", on_driver)
+    found = readers.read_schema_fields(spark, str(tmp_path))
+    assert rows(found.where("error IS NULL").select("table", "place", "field", "kind", "required", "length", "precision", "enum")) == sorted(want, key=str)
+    assert {r.file: r.error for r in found.where("error IS NOT NULL").collect()} == errors and set(errors) == {"bad.yaml", "no.yaml"}
+    assert queries_reports.schema_documents_read(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()

@@ -1,7 +1,7 @@
 """Table schemas, data contracts and step lists that parameterise the jobs.
 
-Only configuration passes through here: a few kilobytes, read on the driver. Schemas come from parsed YAML
-in any of these layouts: `table` with `columns`/`fields`/`campos`; one upper-case key holding those; a bare
+Only configuration passes through here: a few kilobytes, read on the driver; `readers.read_schema_fields` gives
+what long or many schema files declare as a table. Schemas come from parsed YAML in any of these layouts: `table` with `columns`/`fields`/`campos`; one upper-case key holding those; a bare
 definition; a list of `Campo` entries; tables keyed by name, each a list of `Campo` entries; and files with
 `esquema` entries. English and Spanish keys are read alike, whatever their case.
 """
@@ -211,33 +211,46 @@ def file_texts(path: str | Path, spark: SparkSession | None = None) -> dict[str,
     return found if len(found) == 1 else {n: t for n, t in found.items() if n.endswith((".yaml", ".yml"))}
 
 
-def read_yaml(path: str | Path, spark: SparkSession | None = None) -> Any:
+def parse_text(text: str) -> Any:
+    """A document's data; JSON, which long ones are written in, goes past the YAML reader, with the same values."""
     import yaml
 
-    return yaml.safe_load(next(iter(file_texts(path, spark).values())))
+    try:
+        return json.loads(text, parse_float=yaml.safe_load, parse_constant=str)
+    except ValueError:
+        return yaml.safe_load(text)
+
+
+def read_yaml(path: str | Path, spark: SparkSession | None = None) -> Any:
+    return parse_text(next(iter(file_texts(path, spark).values())))
 
 
 def load_schema(path: str | Path, spark: SparkSession | None = None) -> TableSchema | None:
     return parse_schema(read_yaml(path, spark), Path(path).stem)
 
 
-def load_schemas(folder: str | Path, spark: SparkSession | None = None) -> tuple[list[TableSchema], dict[str, str]]:
-    """All schemas of a folder, and what is wrong with each file that has none; files named `metadatos` don't count."""
+def schemas_of(name: str, text: str) -> tuple[list[TableSchema], str | None]:
+    """The tables of one file, or what is wrong with it; files named `metadatos` have neither."""
     import yaml
 
+    stem = name.rpartition(".")[0]
+    if "metadatos" in stem.lower():
+        return [], None
+    try:
+        schemas = parse_schemas(parse_text(text), stem)
+    except yaml.YAMLError as e:
+        return [], str(e)
+    return schemas, None if schemas else "layout not recognised"
+
+
+def load_schemas(folder: str | Path, spark: SparkSession | None = None) -> tuple[list[TableSchema], dict[str, str]]:
+    """All schemas of a folder, and what is wrong with each file that has none; files named `metadatos` don't count."""
     found, errors = [], {}
     for name, text in file_texts(folder, spark).items():
-        stem = name.rpartition(".")[0]
-        if "metadatos" in stem.lower():
-            continue
-        try:
-            schemas = parse_schemas(yaml.safe_load(text), stem)
-        except yaml.YAMLError as e:
-            errors[name] = str(e)
-            continue
+        schemas, error = schemas_of(name, text)
         found += schemas
-        if not schemas:
-            errors[name] = "layout not recognised"
+        if error is not None:
+            errors[name] = error
     return found, errors
 
 

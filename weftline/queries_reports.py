@@ -14,7 +14,7 @@ from .plans import config, pipeline
 from .plans.config import Contract, ContractTable, Field, Step, TableSchema
 from .registry import formula, query, table
 from .samples import GAPPY, NATION, ORDERS, gappy_customers, order_rows, spec_lines
-from .sources import writers
+from .sources import readers, writers
 from .sources.shared import new_folder
 from .streaming import keys
 from .streaming.run import run_to_table, stream_of
@@ -92,9 +92,8 @@ def schema_documents_read(spark, sf_dir):
     path = new_folder(spark, "documents")
     documents = writers.schema_documents(fields)
     writers.write_files(documents.select(F.concat(F.translate("table", "#", "_"), F.lit(".yaml")).alias("name"), F.col("document").alias("value")), path)
-    schemas, _ = config.load_schemas(path, spark)
-    rows = [(s.name, f.name, f.kind, f.required, f.length, None if f.enum is None else "|".join(f.enum), f.foreign_key) for s in schemas for f in s.fields]
-    return spark.createDataFrame(rows, "table string, field string, kind string, required boolean, length int, enum string, foreign_key string")
+    read = readers.read_schema_fields(spark, path).where("error IS NULL")
+    return read.select("table", "field", "kind", "required", F.col("length").cast("int").alias("length"), F.array_join("enum", "|").alias("enum"), "foreign_key")
 
 
 @query(f"""

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.contract import parsed_date
 from ..operators.numbering import name_of, with_file_order
-from ..plans.config import Contract, TableSchema
+from ..plans.config import Contract, TableSchema, schemas_of, whole_number
 
 SUFFIXES = r"(?i)(_sample|_muestra|_datos|_data)+$"
 
@@ -146,6 +149,44 @@ def read_contract_checked(spark: SparkSession, contract: Contract, folder: str,
     return found, rejects
 
 
+#: What read_schema_fields() gives of a field.
+FIELD_ROW = pa.schema([
+    ("file", pa.string()), ("table", pa.string()), ("place", pa.int64()), ("field", pa.string()), ("kind", pa.string()), ("required", pa.bool_()), ("length", pa.int64()), ("precision", pa.int64()), ("scale", pa.int64()),
+    ("format", pa.string()), ("enum", pa.list_(pa.string())), ("foreign_key", pa.string()), ("deprecated", pa.bool_()), ("error", pa.string()),
+])
+FIELD_DDL = "file string, table string, place long, field string, kind string, required boolean, length long, precision long, scale long, format string, enum array<string>, foreign_key string, deprecated boolean, error string"
+#: So many fields make a batch.
+FIELDS_PER_BATCH = 10_000
+
+
+def field_rows(name: str, text: str) -> Iterator[tuple]:
+    """The rows of FIELD_ROW of one schema file."""
+    schemas, error = schemas_of(name, text)
+    for s in schemas:
+        for at, f in enumerate(s.fields):
+            yield name, s.name, at, f.name, f.kind, f.required, f.length, whole_number(f.precision), whole_number(f.scale), f.format, f.enum, f.foreign_key, f.deprecated, None
+    if error is not None:
+        yield name, *[None] * (len(FIELD_ROW) - 2), error
+
+
+def read_schema_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """The fields that a folder's schema files declare, a row each, in the order `place` of their table; a file without any schema gives its error.
+
+    Files are parsed where they are read, one at a time in a task, so that many or long ones never meet on the
+    driver; config.load_schemas() gives the few that jobs are configured by as objects.
+    """
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0), batch.column(1), strict=True):
+                found = field_rows(name.as_py(), text.as_py())
+                while part := list(islice(found, FIELDS_PER_BATCH)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*part, strict=True), FIELD_ROW, strict=True)], schema=FIELD_ROW)
+
+    files = spark.read.text(folder, wholetext=True).select("_metadata.file_name", "value")
+    return files.where("file_name LIKE '%.yaml' OR file_name LIKE '%.yml'").mapInArrow(parse, FIELD_DDL)
+
+
 def match_schemas(files: DataFrame, schemas: DataFrame, file_col: str = "path", schema_col: str = "schema") -> DataFrame:
     """Files with the schema of the same stem, suffixes such as `_sample` and case aside; null where none fits."""
     stem = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(file_col, r"([^/\\]+)$", 1), r"\.[^.]*$", ""), SUFFIXES, ""))
