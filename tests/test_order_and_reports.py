@@ -96,6 +96,19 @@ def test_closure_of_chains_trees_and_cycles(spark):
     assert entail.closure(spark.createDataFrame([], "low string, high string")).collect() == []
 
 
+def test_closure_joins_no_pair_again_in_later_rounds(spark, monkeypatch):
+    kept, pairs = [], [(f"n{i}", f"n{i + 1}") for i in range(40)] + [(f"c{i}", f"c{(i + 1) % 3}") for i in range(3)] + [(f"leaf{i}", "c0") for i in range(200)]
+
+    def counted(df, keep=entail.stored):
+        kept.append(keep(df))
+        return kept[-1]
+
+    monkeypatch.setattr(entail, "stored", counted)
+    got = rows(entail.closure(spark.createDataFrame(pairs, "low string, high string")))
+    assert got == sorted(plain_closure(pairs), key=str)
+    assert sum(df.count() for df in kept) <= len(got) + 2 * len(pairs)
+
+
 def test_rdfs_closure_with_all_rules(spark):
     t, sub, prop, dom, ran = triples.RDF_TYPE, triples.RDFS + "subClassOf", triples.RDFS + "subPropertyOf", triples.RDFS + "domain", triples.RDFS + "range"
     tbox = spark.createDataFrame([(s, p, o, "iri", None) for s, p, o in [("A", sub, "B"), ("B", sub, "C"), ("p", prop, "q"), ("q", dom, "A"), ("q", ran, "D"), ("q", ran, triples.XSD + "integer")]], triples.TRIPLE)
