@@ -309,3 +309,14 @@ def test_schema_files_are_read_in_tasks(spark, tmp_path, monkeypatch):
     assert rows(found.where("error IS NULL").select("table", "place", "field", "kind", "required", "length", "precision", "enum")) == sorted(want, key=str)
     assert {r.file: r.error for r in found.where("error IS NOT NULL").collect()} == errors and set(errors) == {"bad.yaml", "no.yaml"}
     assert queries_reports.schema_documents_read(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+
+
+def test_triples_of_numbered_rows_are_small_and_not_counted(spark, tmp_path, monkeypatch):
+    (tmp_path / "schemas").mkdir()
+    (tmp_path / "schemas" / "t.yaml").write_text("table: T\ncolumns: [{name: v, type: integer}]\n")
+    (tmp_path / "in.csv").write_text("v\n" + "".join(f"{i % 7}\n" for i in range(20000)))
+    monkeypatch.setattr(triples, "subjects_are_unique", lambda *_: pytest.fail("row numbers are counted"))
+    pipeline.csv_to_triples(spark, str(tmp_path / "schemas" / "t.yaml"), str(tmp_path / "in.csv"), str(tmp_path / "out"), schema_folder=str(tmp_path / "schemas"))
+    got = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len(got) == len(set(got)) == 40000 + 4
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("part-*")) * 8 < sum(map(len, got))

@@ -19,18 +19,20 @@ class Inconsistent(ValueError):
     """The triples contradict the declared ranges."""
 
 
-def table_to_triples(df: DataFrame, schema: TableSchema, schemas: Iterable[TableSchema], *, base: str = BASE, row_id: str | None = None, check: bool = True) -> DataFrame:
+def table_to_triples(df: DataFrame, schema: TableSchema, schemas: Iterable[TableSchema], *, base: str = BASE, row_id: str | None = None, check: bool = True, numbered: bool = False) -> DataFrame:
     """The graph of a table and of all declared schemas; with check, raises Inconsistent before anything is written.
 
     Where each subject is of one row, which one narrow count of subjects tells, and each field has a property of
-    its own, the triples are a set as they are, none is one of the schemas', and no triple is shuffled.
+    its own, the triples are a set as they are, none is one of the schemas', and no triple is shuffled. numbered:
+    no two rows have the same row_id, so that without key columns nothing need be counted.
     """
     tbox = triples.tbox(triples.schema_fields(df.sparkSession, schemas), base)
     abox = triples.abox(df, schema, base, row_id=row_id)
     if check and not entail.consistent(abox, tbox):
         raise Inconsistent("literals outside their properties' ranges; see entail.inconsistencies()")
     properties = [triples.property_iri(f.name, base) for f in schema.fields if f.name in df.columns]
-    unique = len(set(properties)) == len(properties) and triples.subjects_are_unique(df, triples.subject(df, schema, base, row_id=row_id))
+    by_number = numbered and row_id is not None and not any(k in df.columns for k in schema.primary_key)
+    unique = len(set(properties)) == len(properties) and (by_number or triples.subjects_are_unique(df, triples.subject(df, schema, base, row_id=row_id)))
     return triples.graph_union(tbox, abox, disjoint=unique)
 
 
@@ -41,7 +43,7 @@ def csv_to_triples(spark, schema_path: str, csv_path: str, output: str, *, schem
         raise ValueError(f"{schema_path}: layout not recognised")
     df = readers.read_csv(spark, csv_path)
     df = numbering.with_row_number(df, order_by) if order_by else numbering.with_file_order(df)
-    graph = table_to_triples(df, schema, load_schemas(schema_folder, spark)[0], row_id="row_id", check=check)
+    graph = table_to_triples(df, schema, load_schemas(schema_folder, spark)[0], row_id="row_id", check=check, numbered=True)
     writers.write_triples(graph, output)
 
 

@@ -49,8 +49,9 @@ def triple_lines(triples: DataFrame) -> DataFrame:
     return triples.where(F.col("o").isNotNull()).select(F.concat(iri(F.col("s")), F.lit(" "), iri(F.col("p")), F.lit(" "), value, F.lit(" .")).alias("value"))
 
 
-def write_triples(triples: DataFrame, path: str) -> None:
-    triple_lines(triples).write.text(path)
+def write_triples(triples: DataFrame, path: str, compression: str = "gzip") -> None:
+    """A folder of N-Triples; statements repeat their names, so that compressed ones take a small part of the room."""
+    triple_lines(triples).write.options(**{"compression": compression, "zlib.compress.level": "BEST_SPEED"}).text(path)
 
 
 #: Names of mined columns as schema files spell them; other columns keep theirs.
