@@ -180,6 +180,15 @@ def test_lines_are_escaped(spark):
     assert [r.value for r in writers.triple_lines(df).collect()] == ['<s> <p> "a\\"b\\\\c\\nd" .', f'<s> <p> "1"^^<{XSD}integer> .']
 
 
+def test_larger_graphs_are_made_distinct_by_more_tasks(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("concat('s', id) AS s", "'p' AS p", "'o' AS o", "'iri' AS o_kind", "CAST(null AS string) AS datatype")
+    for most, wanted in ((10000, 4), (100, 61)):
+        monkeypatch.setattr(quality, "TRIPLES_PER_TASK", most)
+        union = triples.graph_union(df, df)
+        assert union.rdd.getNumPartitions() == wanted and union.count() == 3000
+        assert [tuple(r) for r in quality.triple_statistics(union, is_set=True).collect()] == [("p", 3000, 3000)]
+
+
 def test_csv_to_triples(spark, tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "schemas").mkdir()

@@ -11,6 +11,8 @@ from .numbering import name_of
 
 #: Distinct subjects are counted by sketches of 2**SKETCH_BITS registers.
 SKETCH_BITS = 12
+#: Where triples are made distinct, a task holds about so many.
+TRIPLES_PER_TASK = 1 << 18
 
 
 def is_empty(c: Column) -> Column:
@@ -43,6 +45,12 @@ def violation_summary(violations: DataFrame) -> DataFrame:
     return violations.groupBy("path", "constraint").agg(F.count("*").alias("n"))
 
 
+def dealt_set(triples: DataFrame) -> DataFrame:
+    """The distinct triples, dealt by subject and property to as many tasks as their number asks for, so that a task holds no more of a larger graph."""
+    n = int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return triples.repartition(max(n, triples.count() // TRIPLES_PER_TASK + 1), "s", "p").distinct()
+
+
 def triple_statistics(triples: DataFrame, is_set: bool = False) -> DataFrame:
     """(p, n_triples, n_subjects) over the set of triples; is_set where they are one already.
 
@@ -50,7 +58,7 @@ def triple_statistics(triples: DataFrame, is_set: bool = False) -> DataFrame:
     """
     rows = triples.select("s", "p", "o", "o_kind", "datatype")
     if not is_set:
-        rows = rows.repartition("s", "p").distinct()
+        rows = dealt_set(rows)
     pairs = rows.groupBy("s", "p").agg(F.count("*").alias("n"))
     return pairs.groupBy("p").agg(F.sum("n").alias("n_triples"), F.count("*").alias("n_subjects"))
 

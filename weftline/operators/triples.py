@@ -17,7 +17,7 @@ from ..functions.iri import BASE, iri, python_token, token
 from ..plans.config import Field, TableSchema
 from ..sources.shared import new_folder, stored
 from .numbering import name_of
-from .quality import estimated, merged_statistics, with_sketches
+from .quality import dealt_set, estimated, merged_statistics, with_sketches
 
 # The vocabularies' IRIs.
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -163,12 +163,12 @@ def untyped_graph(df: DataFrame | None, schemas: Iterable[TableSchema], class_na
 def graph_union(*graphs: DataFrame, disjoint: bool = False) -> DataFrame:
     """The set union; disjoint skips the shuffle where the parts are sets that share no triple.
 
-    The rows are dealt by subject and property, which serves what groups by these afterwards too.
+    The rows are counted and dealt by subject and property, which serves what groups by these afterwards too.
     """
     found, *rest = graphs
     for g in rest:
         found = found.unionByName(g)
-    return found if disjoint else found.repartition("s", "p").distinct()
+    return found if disjoint else dealt_set(found)
 
 
 #: What tells triples apart, as one text: the kind, the datatype and the text of the object.
