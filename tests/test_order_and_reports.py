@@ -320,3 +320,15 @@ def test_triples_of_numbered_rows_are_small_and_not_counted(spark, tmp_path, mon
     got = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert len(got) == len(set(got)) == 40000 + 4
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("part-*")) * 8 < sum(map(len, got))
+
+
+def test_keys_of_streams_are_counted_without_python(spark, tmp_path):
+    path = str(tmp_path / "in")
+    for _ in range(3):
+        spark.createDataFrame([(k, "t") for k in (1, 1, 2, 3, None)] , "k long, t string").where("k <> 3 OR k IS NULL").coalesce(1).write.mode("append").parquet(path)
+    spark.range(50, 51).selectExpr("id AS k", "'t' AS t").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("k long, t string").option("maxFilesPerTrigger", 1).parquet(path)
+    found = keys.key_violations(stream, ["k"], "t")
+    assert "Python" not in found._jdf.queryExecution().analyzed().toString() and "Pandas" not in found._jdf.queryExecution().analyzed().toString()
+    told = run_to_table(found)
+    assert rows(told) == rows(spark.createDataFrame([(1, 2), (1, 4), (1, 6), (2, 2), (2, 3)], "k long, n long")) and told.columns == ["k", "n"]

@@ -19,7 +19,7 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 class KeyCounter(StatefulProcessor):
     """Counts the rows of each key and tells it whenever it has come again; a pause of more than `keep_ms` starts anew."""
 
-    def __init__(self, keys: list[str], keep_ms: int | None):
+    def __init__(self, keys: list[str], keep_ms: int):
         self.keys, self.keep_ms = keys, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -28,12 +28,12 @@ class KeyCounter(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the interface's names
         n, last = self.seen.get() if self.seen.exists() else (0, 0)
-        if self.keep_ms is not None and n:
+        if n:
             self.handle.deleteTimer(last + self.keep_ms)
         told: list[int] = []
         for part in rows:
             for ms in sorted(part.iloc[:, -1].tolist()):  # the time: Spark loses the column's name here
-                if self.keep_ms is not None and n and ms - last > self.keep_ms:
+                if n and ms - last > self.keep_ms:
                     n = 0
                 n, last = n + 1, max(last, ms)
                 if n == 2 or not told and n > 2:
@@ -41,8 +41,7 @@ class KeyCounter(StatefulProcessor):
                 elif n > 2:
                     told[-1] = n
         self.seen.update((n, last))
-        if self.keep_ms is not None:
-            self.handle.registerTimer(last + self.keep_ms)
+        self.handle.registerTimer(last + self.keep_ms)
         if told:
             yield pd.DataFrame({**{k: [v] * len(told) for k, v in zip(self.keys, key, strict=True)}, "n": told})
 
@@ -57,16 +56,19 @@ class KeyCounter(StatefulProcessor):
 def key_violations(df: DataFrame, keys: list[str], time_col: str, keep: str | None = None, late: str = "10 minutes") -> DataFrame:
     """(keys, n): a row whenever a key has come again, with the number of its rows so far; keys with a null don't count.
 
-    A key takes two numbers of state. keep, such as `1 hour`, forgets a key after so long a pause, and then rows
-    later than `late` are ignored; without it keys are kept and no row is too late.
+    Without keep, keys are kept, no row is too late, and the counts are Spark's own, updated in each batch. keep,
+    such as `1 hour`, forgets a key after so long a pause, and then rows later than `late` are ignored; a key takes
+    two numbers of state then, and a call of Python in each batch that has it.
     """
     rows = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
-    rows = timed(rows, time_col, late) if keep else rows.withColumn(time_col, name_of(time_col).cast("timestamp"))
-    narrow = rows.select(*(name_of(k) for k in keys), *([name_of(time_col)] if keep else []), F.coalesce(F.unix_millis(time_col), F.lit(0)).alias("__ms"))
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the only one that keeps a counter's state
+    if keep is None:
+        return rows.groupBy(*(name_of(k) for k in keys)).agg(F.count("*").alias("n")).where("n > 1")
+    rows = timed(rows, time_col, late)
+    narrow = rows.select(*(name_of(k) for k in keys), name_of(time_col), F.coalesce(F.unix_millis(time_col), F.lit(0)).alias("__ms"))
     schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("n", T.LongType())])
-    keep_ms = None if keep is None else int(df.sparkSession.sql(f"SELECT unix_millis(timestamp '1970-01-01 00:00:00 UTC' + interval '{keep}')").head()[0])
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the only one that keeps such state
-    return narrow.groupBy(*(name_of(k) for k in keys)).transformWithStateInPandas(KeyCounter(keys, keep_ms), schema, "append", "EventTime" if keep else "None")
+    keep_ms = int(df.sparkSession.sql(f"SELECT unix_millis(timestamp '1970-01-01 00:00:00 UTC' + interval '{keep}')").head()[0])
+    return narrow.groupBy(*(name_of(k) for k in keys)).transformWithStateInPandas(KeyCounter(keys, keep_ms), schema, "append", "EventTime")
 
 
 def orphan_stream(child: DataFrame, column: str, child_time: str, parent: DataFrame, parent_column: str, parent_time: str, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:

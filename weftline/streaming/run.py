@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import new_folder
@@ -20,10 +21,20 @@ def stream_of(spark: SparkSession, path: str) -> DataFrame:
 def run_to_table(stream: DataFrame) -> DataFrame:
     """The stream's appended rows after all available input, kept in the shared folder.
 
-    Windows are appended once the watermark has passed their end.
+    Windows are appended once the watermark has passed their end. A stream that can't append, counts without a
+    watermark, gives the rows that each batch updates; a batch that is run again replaces its rows.
     """
     spark = stream.sparkSession
     folder = new_folder(spark, "stream")
-    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows")
+    started = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    try:
+        query = started.format("parquet").outputMode("append").start(f"{folder}/rows")
+    except AnalysisException as e:
+        if not (e.getCondition() or "").startswith("STREAMING_OUTPUT_MODE"):
+            raise
+        spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/batches/none")
+        query = stream.writeStream.option("checkpointLocation", f"{folder}/updates").trigger(availableNow=True).outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/batches/{n}")).start()
+        query.awaitTermination()
+        return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{folder}/batches")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
