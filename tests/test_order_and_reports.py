@@ -332,3 +332,10 @@ def test_keys_of_streams_are_counted_without_python(spark, tmp_path):
     assert "Python" not in found._jdf.queryExecution().analyzed().toString() and "Pandas" not in found._jdf.queryExecution().analyzed().toString()
     told = run_to_table(found)
     assert rows(told) == rows(spark.createDataFrame([(1, 2), (1, 4), (1, 6), (2, 2), (2, 3)], "k long, n long")) and told.columns == ["k", "n"]
+
+
+def test_stored_graph_writes_each_part_once(spark):
+    kept = triples.StoredGraph.create(graph(spark, ("a", "1", "literal", None)), f"graph_test_{uuid.uuid4().hex}")
+    kept.append(graph(spark, ("a", "1", "literal", None), ("b", "1", "literal", None)))
+    assert not hasattr(triples, "stored") and rows(spark.table(kept.name).groupBy("s").agg(F.count_distinct("part"))) == [("a", 1), ("b", 1)]
+    assert spark.table(kept.name).select("part").distinct().count() == 2

@@ -6,6 +6,7 @@ union of graphs ends in distinct() unless its parts are known to be sets that do
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.iri import BASE, iri, python_token, token
 from ..plans.config import Field, TableSchema
-from ..sources.shared import new_folder, stored
+from ..sources.shared import new_folder
 from .numbering import name_of
 from .quality import dealt_set, estimated, merged_statistics, with_sketches
 
@@ -179,7 +180,7 @@ TERM = "concat_ws(' ', o_kind, coalesce(datatype, ''), coalesce(o, 'null'), o IS
 class StoredGraph:
     """A set of triples kept as a table in buckets of subject, property and object, with statistics by property.
 
-    The tables' files are in the shared folder; their names are in the session's catalog. Each append is a further set of files of the same buckets, so that a union shuffles only what is new.
+    The tables' files are in the shared folder; their names are in the session's catalog. Each append is a further set of files of the same buckets, marked as a part of its own, so that a union shuffles only what is new. Files aren't sorted: Spark uses no order of a bucket that has several.
     """
 
     spark: SparkSession
@@ -191,11 +192,18 @@ class StoredGraph:
         spark = graph.sparkSession
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         keyed = graph.select("s", "p", "o", "o_kind", "datatype", F.expr(TERM).alias("term"))
-        keyed.repartition(n, "s", "p", "term").dropDuplicates(["s", "p", "term"]).write.bucketBy(n, "s", "p", "term").sortBy("s", "p", "term").option("path", new_folder(spark, "graph")).saveAsTable(name)
         kept = cls(spark, name)
-        with_sketches(kept.triples()).write.option("path", new_folder(spark, "graph-statistics")).saveAsTable(f"{name}_statistics")
+        kept.add(keyed.repartition(n, "s", "p", "term").dropDuplicates(["s", "p", "term"]), n, path=new_folder(spark, "graph"), statistics_path=new_folder(spark, "graph-statistics"))
         return kept
 
+    def add(self, new: DataFrame, n: int, path: str | None = None, statistics_path: str | None = None) -> None:
+        """Writes triples that aren't there once, as a part of the table, and their statistics; paths where tables are made."""
+        part = uuid.uuid4().hex
+        at = lambda p: {} if p is None else {"path": p}
+        new.withColumn("part", F.lit(part)).write.mode("append").options(**at(path)).bucketBy(n, "s", "p", "term").saveAsTable(self.name)
+        written = self.spark.table(self.name).where(F.col("part") == part)
+        with_sketches(written).write.mode("append").options(**at(statistics_path)).saveAsTable(f"{self.name}_statistics")
+
     def triples(self) -> DataFrame:
         return self.spark.table(self.name).select("s", "p", "o", "o_kind", "datatype")
 
@@ -207,9 +215,7 @@ class StoredGraph:
     def append(self, graph: DataFrame) -> None:
         """Adds what is missing, and its statistics beside those of earlier parts."""
         n = next(int(r["data_type"]) for r in self.spark.sql(f"DESCRIBE EXTENDED {self.name}").collect() if r["col_name"] == "Num Buckets")
-        new = stored(self.missing(graph))
-        new.write.mode("append").bucketBy(n, "s", "p", "term").sortBy("s", "p", "term").saveAsTable(self.name)
-        with_sketches(new).write.mode("append").saveAsTable(f"{self.name}_statistics")
+        self.add(self.missing(graph), n)
 
     def statistics(self) -> DataFrame:
         """(p, n_triples, n_subjects) of all parts, from what was kept with each."""
